@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bidframe.llm.line_dedup import dedup_lines
+from bidframe.llm.sharding import shard_documents
 from bidframe.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +21,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_kk_sharding": op4_kk_sharding,
     "op6_simhash_bitslice": op6_simhash_bitslice,
 }
 
