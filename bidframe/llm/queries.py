@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bidframe.llm.line_dedup import dedup_lines
 from bidframe.llm.sharding import shard_documents
 from bidframe.llm.simhash import simhash_components
+from bidframe.llm.toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +30,15 @@ def op6_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_kk_sharding": op4_kk_sharding,
     "op6_simhash_bitslice": op6_simhash_bitslice,
+    "op8_toxicity": op8_toxicity,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
