@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bidframe.llm.decontam import leaks
 from bidframe.llm.line_dedup import dedup_lines
+from bidframe.llm.mixing import mixed
 from bidframe.llm.sharding import shard_documents
 from bidframe.llm.simhash import simhash_components
 from bidframe.llm.toxicity import score_documents
@@ -22,6 +25,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its source's weight (six decimals) and the copies that the mixture takes."""
+    found = mixed(_table(spark, sf_dir, "documents"), budget_share=1.0, max_repeats=2.0)
+    return found.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
+
+
 def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -34,11 +43,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item that it leaks."""
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "windows", "coverage", "reparameterised")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_temperature_mixing": op2_temperature_mixing,
     "op4_kk_sharding": op4_kk_sharding,
     "op6_simhash_bitslice": op6_simhash_bitslice,
     "op8_toxicity": op8_toxicity,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -56,4 +73,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op2_temperature_mixing": f"""
+        WITH RECURSIVE r AS (SELECT doc_id, source, md5(concat_ws(':', 'mix', doc_id::VARCHAR)) AS o,
+            trim(coalesce(text, ''), {_STRIP}) AS t FROM documents),
+        d AS (SELECT doc_id, source, o, CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '[\\x20\\x09-\\x0D]+')) END AS n_tokens FROM r),
+        s AS (SELECT source, sum(n_tokens)::BIGINT AS t, count(*) AS n FROM d GROUP BY source),
+        p AS (SELECT *, t::DOUBLE / (SELECT sum(t)::DOUBLE FROM s) AS p FROM s WHERE t > 0),
+        b(i, low, high) AS (
+            SELECT 0, 0.0::DOUBLE, CASE WHEN (SELECT pow(min(p), -1) / count(*) FROM p) <= 2.0 THEN 0.0 ELSE 1.0 END::DOUBLE
+            UNION ALL
+            SELECT i + 1, CASE WHEN fits THEN low ELSE mid END, CASE WHEN fits THEN mid ELSE high END
+            FROM (SELECT i, low, high, (low + high) / 2 AS mid,
+                  (SELECT pow(min(p), (low + high) / 2 - 1) / sum(pow(p, (low + high) / 2)) FROM p) <= 2.0 AS fits FROM b WHERE i < 40)),
+        e AS (SELECT high AS t FROM b WHERE i = 40),
+        w AS (SELECT source, t, n, pow(p, (SELECT t FROM e)) / (SELECT sum(pow(p, (SELECT t FROM e))) FROM p) AS weight, ceil(n / 10000.0)::BIGINT AS blocks FROM p),
+        q AS (SELECT *, floor(weight * (SELECT sum(t) FROM s))::BIGINT AS quota FROM w),
+        x AS (SELECT d.*, q.t, q.quota, q.weight, ('0x' || substr(o, 1, 8))::BIGINT % coalesce(blocks, 1) AS block FROM d LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+        y AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 'mix', source, block::VARCHAR)), block, o, doc_id
+              ROWS UNBOUNDED PRECEDING) AS upto FROM x)
+        SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, coalesce(round(weight, 6), 0.0) AS weight,
+               (CASE WHEN n_tokens > 0 AND quota IS NOT NULL THEN quota // t + (upto <= quota % t)::BIGINT ELSE 0 END)::BIGINT AS copies FROM y""",
 }

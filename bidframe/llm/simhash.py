@@ -27,7 +27,7 @@ from bidframe.llm.components import components
 #: Rows of a tile, and rows that small blocks are gathered to before they are compared.
 TILE, GATHER = 2048, 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent hash made of ``h`` (splitmix64 finaliser)."""
-    z = h + _GOLDEN * np.uint64(k)
+    z = h + np.uint64(_GOLDEN * k % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
