@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidframe.llm.decontam import leaks
+from bidframe.llm.fingerprint import fingerprint_documents
 from bidframe.llm.line_dedup import dedup_lines
 from bidframe.llm.mixing import mixed
+from bidframe.llm.pii import find_personal_data
 from bidframe.llm.sharding import shard_documents
 from bidframe.llm.simhash import simhash_components
 from bidframe.llm.toxicity import score_documents
@@ -35,10 +37,18 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,7 +63,9 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_temperature_mixing": op2_temperature_mixing,
     "op4_kk_sharding": op4_kk_sharding,
+    "op5_pii_offsets": op5_pii_offsets,
     "op6_simhash_bitslice": op6_simhash_bitslice,
+    "op7_ctph": op7_ctph,
     "op8_toxicity": op8_toxicity,
     "op10_template_decontamination": op10_template_decontamination,
 }
