@@ -14,6 +14,7 @@ from bidframe.llm.mixing import mixed
 from bidframe.llm.pii import find_personal_data
 from bidframe.llm.sharding import shard_documents
 from bidframe.llm.simhash import simhash_components
+from bidframe.llm.suffix import remove_repeats
 from bidframe.llm.toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item that it leaks."""
     found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash_bitslice": op6_simhash_bitslice,
     "op7_ctph": op7_ctph,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_template_decontamination": op10_template_decontamination,
 }
 
