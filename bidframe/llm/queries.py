@@ -12,6 +12,7 @@ from bidframe.llm.fingerprint import fingerprint_documents
 from bidframe.llm.line_dedup import dedup_lines
 from bidframe.llm.mixing import mixed
 from bidframe.llm.pii import find_personal_data
+from bidframe.llm.secret_scan import BASE, RULES, scan_secrets
 from bidframe.llm.sharding import shard_documents
 from bidframe.llm.simhash import simhash_components
 from bidframe.llm.suffix import remove_repeats
@@ -34,6 +35,10 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_temperature_mixing": op2_temperature_mixing,
+    "op3_secret_scan": op3_secret_scan,
     "op4_kk_sharding": op4_kk_sharding,
     "op5_pii_offsets": op5_pii_offsets,
     "op6_simhash_bitslice": op6_simhash_bitslice,
@@ -79,6 +85,39 @@ QUERIES: dict[str, Query] = {
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _secret_sql() -> str:
+    """Positions follow from the lengths of the texts between matches."""
+
+    def spans(number: int) -> str:
+        rule = RULES[number]
+        return f"""list_filter(list_transform(range(1, len(m{number}) + 1), lambda i: {{
+            'a': (coalesce(list_sum(list_transform(g{number}[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m{number}[1:i-1], lambda x: length(x))), 0))::BIGINT,
+            'k': {number}, 'n': length(m{number}[i])::BIGINT, 'own': length(o{number}[i])}}), lambda x: x.own >= {rule.least})"""
+
+    def found(number: int) -> str:
+        rule = RULES[number]
+        regex = rule.regex.replace("'", "''")
+        return (f"regexp_extract_all(t, '{regex}', 0) AS m{number}, regexp_extract_all(t, '{regex}', {rule.group}) AS o{number}, "
+                f"string_split_regex(t, '{regex}') AS g{number}")
+
+    n = len(RULES)
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+
+    def joined(numbers: range) -> str:
+        every = " || ".join(f"s{k}" for k in numbers)
+        return f"array_to_string(list_transform(list_sort({every}), lambda x: {kinds}[x.k + 1] || ':' || x.a || ':' || (x.a + x.n)), ',')"
+
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS (SELECT doc_id, {", ".join(found(k) for k in range(n))} FROM d),
+        s AS (SELECT doc_id, {", ".join(f"{spans(k)} AS s{k}" for k in range(n))} FROM f)
+        SELECT doc_id, {", ".join(f"len(s{k})::BIGINT AS n_{RULES[k].kind}" for k in range(BASE))},
+               sha256({joined(range(BASE))}) AS base_sha256, {joined(range(n))} AS spans,
+               ({" + ".join(f"len(s{k})" for k in range(BASE, n))})::BIGINT AS n_added FROM s"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -91,6 +130,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op3_secret_scan": _secret_sql(),
     "op2_temperature_mixing": f"""
         WITH RECURSIVE r AS (SELECT doc_id, source, md5(concat_ws(':', 'mix', doc_id::VARCHAR)) AS o,
             trim(coalesce(text, ''), {_STRIP}) AS t FROM documents),
