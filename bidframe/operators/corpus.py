@@ -70,9 +70,9 @@ def date_roles(contexts: DataFrame) -> DataFrame:
 def date_contexts(docs: DataFrame, month_first: bool = False) -> DataFrame:
     """Dates with the text of their line up to them: the input of ``date_roles``."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("_key", F.struct("doc_id", "line"))
-    dates = find_dates(lines.select(F.col("_key").alias("doc_id"), "text"), month_first)
-    joined = dates.join(lines, dates.doc_id == lines._key).select(lines.doc_id, (F.col("line") * 1000 + F.col("pos")).alias("pos"), "raw", "date", lines.text)
-    return joined.select("doc_id", "pos", "date", F.expr("substring(text, 1, instr(text, raw) - 1)").alias("context"))
+    dates = find_dates(lines.select(F.col("_key").alias("doc_id"), "text"), month_first).select(F.col("doc_id").alias("_of"), F.col("pos").alias("_pos"), "raw", "date")
+    joined = dates.join(lines, F.col("_of") == F.col("_key"))
+    return joined.select("doc_id", (F.col("line") * 1000 + F.col("_pos")).alias("pos"), "date", F.expr("substring(text, 1, instr(text, raw) - 1)").alias("context"))
 
 
 def extract_terms(docs: DataFrame) -> DataFrame:

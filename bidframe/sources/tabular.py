@@ -50,10 +50,19 @@ def map_headers(rows: DataFrame, headers: DataFrame, synonyms: dict[str, list[st
     """
     joined = rows.join(headers, "file").where("row_no > header_row").withColumn("_h", F.transform("header", norm_header))
     used, out = F.array().cast("array<int>"), {}
+    index = F.sequence(F.lit(0), F.size("_h") - 1)
+
+    def free(test, taken):
+        return F.filter(index, lambda i: test(i) & ~F.array_contains(taken, i))
+
+    def equal(words):
+        return lambda i: F.get("_h", i) == words
+
+    def holds(words):
+        return lambda i: F.size(F.array_except(F.split(F.lit(words), " "), F.split(F.get("_h", i), " "))) == 0
+
     for field, words in synonyms.items():
-        index = F.sequence(F.lit(0), F.size("_h") - 1)
-        exact = F.array_compact(F.flatten(F.array(*(F.filter(index, lambda i, w=w, u=used: (F.get("_h", i) == w) & ~F.array_contains(u, i)) for w in words))))
-        subset = F.flatten(F.array(*(F.filter(index, lambda i, w=w, u=used: (F.size(F.array_except(F.split(F.lit(w), " "), F.split(F.get("_h", i), " "))) == 0) & ~F.array_contains(u, i)) for w in words)))
+        exact, subset = (F.flatten(F.array(*(free(test(w), used) for w in words))) for test in (equal, holds))
         pick = F.coalesce(F.get(exact, F.lit(0)), F.get(subset, F.lit(0)))
         out[field] = F.when(pick.isNotNull(), F.get("cells", pick))
         used = F.when(pick.isNotNull(), F.concat(used, F.array(pick))).otherwise(used)
@@ -99,7 +108,7 @@ def read_markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     title = F.trim(F.regexp_extract("value", r"(?m)^# (.+)$", 1))
     parts = files.select("file", title.alias("title"), F.posexplode(F.split("value", r"(?m)^## ")).alias("pos", "part")).where("pos > 0")
-    return parts.select("file", "title", "pos", F.trim(F.substring_index("part", "\n", 1)).alias("heading"), F.trim(F.expr("substring(part, instr(part, '\n') + 1)")).alias("body"))
+    return parts.select("file", "title", "pos", F.trim(F.substring_index("part", "\n", 1)).alias("heading"), F.btrim(F.expr("substring(part, instr(part, '\n') + 1)"), F.lit(" \n\r\t")).alias("body"))
 
 
 @F.pandas_udf(T.StringType())
