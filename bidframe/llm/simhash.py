@@ -91,8 +91,8 @@ def _prints(shingle: int, bits: int, distinct: bool, bands: int, rows: int):
     return work
 
 
-def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (i < j) of ``prints`` (m x bytes, uint8) that differ in at most ``radius`` bits."""
+def close_rows(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``prints`` (m x bytes, uint8) that have later rows within ``radius`` bits, and these as bits in words."""
     m = len(prints)
     width = -(-m // 64)
     bits = np.unpackbits(prints, axis=1)
@@ -116,25 +116,35 @@ def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
             alive = (over != ones).any(axis=1)
             if not alive.all():
                 if not alive.any():
-                    return np.empty(0, np.int64), np.empty(0, np.int64)
+                    return np.empty(0, np.int64), np.empty((0, width), np.uint64)
                 rows, over = rows[alive], over[alive]
                 counters = [c[alive] for c in counters]
-    i, j = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
+    return rows, ~over
+
+
+def _pairs(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.nonzero(np.unpackbits(words.view(np.uint8), axis=1, bitorder="little"))
     return rows[i], j
 
 
-def forest(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row that each of ``m`` rows reaches over the links (i, j)."""
+def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of ``close_rows``."""
+    return _pairs(*close_rows(prints, radius))
+
+
+def forest(m: int, rows: np.ndarray, words: np.ndarray, at_once: int = 128) -> np.ndarray:
+    """The smallest row that each of ``m`` rows reaches; links are unpacked for ``at_once`` rows at a time."""
     label = np.arange(m)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
+    while len(rows):
+        before = label.copy()
+        for at in range(0, len(rows), at_once):
+            i, j = _pairs(rows[at : at + at_once], words[at : at + at_once])
+            low = np.minimum(label[i], label[j])
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
             break
-        label = new
     return label
 
 
@@ -143,7 +153,7 @@ def _links(radius: int):
         order = np.argsort(np.array(nodes, np.int64), kind="stable")
         ids = np.array(nodes, np.int64)[order]
         data = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)[order]
-        label = forest(len(ids), *close_pairs(data, radius))
+        label = forest(len(ids), *close_rows(data, radius))
         moved = ids[label] != ids
         return ids[moved].tolist(), ids[label][moved].tolist()
 

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from bidframe.llm.components import components
-from bidframe.llm.simhash import close_pairs, drop_near_copies, near_components, simhash_components
+from bidframe.llm.simhash import close_pairs, close_rows, drop_near_copies, forest, near_components, simhash_components
 
 from .helpers import documents
 
@@ -50,6 +50,18 @@ def test_close_pairs_match_brute_force(radius):
     assert set(zip(*(x.tolist() for x in close_pairs(rows, radius)))) == want
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 128])
+def test_forest_matches_brute_force(at_once):
+    rng = np.random.default_rng(8)
+    prints = np.repeat(rng.integers(0, 256, (30, 8), dtype=np.uint8), 5, axis=0)
+    for r in prints:
+        for b in rng.integers(0, 64, rng.integers(0, 4)):
+            r[b // 8] ^= np.uint8(1 << (b % 8))
+    prints = prints[rng.permutation(150)]
+    want = brute_components({i: int.from_bytes(r.tobytes(), "big") for i, r in enumerate(prints)}, 3)
+    assert dict(enumerate(forest(150, *close_rows(prints, 3), at_once).tolist())) == want
+
+
 def test_operator_matches_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(60)]
