@@ -119,3 +119,55 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 101), (100, 101)], "u long, v long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def shingled(text, size=5):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+
+def test_links_are_those_of_exact_similarity(spark):
+    rng = random.Random(11)
+    texts, words = [], [f"w{k}" for k in range(9000)]
+    for _ in range(40):  # 4 against 5 shingles, Jaccard 0.8
+        w = [rng.choice(words) for _ in range(9)]
+        texts += [" ".join(w), " ".join(w[:8])]
+    for extra in (50, 60, 65, 66, 75):  # a text within another: 0.8, 0.77, 0.75, 0.75, 0.73 and chains of these
+        for _ in range(12):
+            w = [rng.choice(words) for _ in range(204 + 2 * extra)]
+            texts += [" ".join(w[:204]), " ".join(w[: 204 + extra]), " ".join(w)]
+    sets = dict(enumerate(map(shingled, texts)))
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets.items():
+        for j in range(i):
+            if 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_components(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {d: find(d) for d in sets}
+
+
+def test_rejected_candidates_are_replaced_by_others(spark):
+    from bidframe.llm.simhash import similar_components
+
+    rng = random.Random(12)
+    base, texts = [f"u{k}" for k in range(104)], {}
+    for group in range(4):  # groups at similarity 0.7 of one another, members at 0.9
+        w = list(base)
+        w[10 * group + 5 : 10 * group + 13] = [f"g{group}-{k}" for k in range(8)]
+        for member in range(5):
+            texts[4 * member + group] = " ".join([*w, *(f"m{group}-{member}-{k}" for k in range(3))])
+    sets = {d: shingled(t) for d, t in texts.items()}
+    for i in sets:
+        for j in range(i):
+            assert (9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))) == (i % 4 == j % 4)
+    print_ = rng.randbytes(64).hex()
+    blocks = spark.createDataFrame([(b, d, print_, len(s)) for b in (1, 2) for d, s in sets.items()], "block long, node long, fingerprint string, shingles long")
+    found = {r.node: r.component for r in similar_components(documents(spark, list(texts.items())), blocks, 5, 150).collect()}
+    assert found == {d: d % 4 for d in texts}
