@@ -4,7 +4,9 @@ A character language model is counted over all documents. Words that look
 disguised (digits and signs for letters, separators between letters, repeated
 letters) become lattices: every sign offers the letters it may stand for, a
 separator or a repeated letter may be dropped, each at a price. Viterbi
-decoding finds the cheapest reading under the language model. Words and
+decoding finds the cheapest reading under the language model; in runs of
+spaced letters it also places word breaks. Disguised words and runs of any
+length are decoded whole. Words and
 restored words give evidence by a lexicon of words and word beginnings, and a
 logistic regression turns the strongest evidence into a score.
 
@@ -81,24 +83,36 @@ def _options(token: str, i: int) -> list[tuple[str, float]]:
     return found
 
 
-def decode(token: str, model: list) -> str:
-    """The likeliest reading of a lower-case token: Viterbi over states of the last two letter classes."""
+def decode(token: str, model: list, breaks: bool = False) -> str:
+    """The likeliest reading of a lower-case token: Viterbi over states of the last two letter classes.
+
+    With ``breaks`` a space of the token may also end a word. Readings are
+    linked backwards, so that time and memory grow with the token's length.
+    """
 
     def of(x: str) -> int:
-        return ord(x) - 96 if "a" <= x <= "z" else 27
+        return 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
 
-    states = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i in range(len(token)):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        options = _options(token, i)
+        if breaks and token[i] == " ":
+            options.append((" ", DROP_PRICE))
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (price, read) in states.items():
-            for letter, extra in _options(token, i):
+            for letter, extra in options:
                 c = of(letter) if letter else b
                 state = (b, c) if letter else (a, b)
                 total = price + extra - (model[a][b][c] if letter else 0.0)
                 if state not in new or total < new[state][0]:
-                    new[state] = (total, read + letter)
+                    new[state] = (total, (letter, read) if letter else read)
         states = new
-    return min(((p - model[a][b][0], r) for (a, b), (p, r) in states.items()))[1]
+    read = min(((p - model[a][b][0], r) for (a, b), (p, r) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while read:
+        letters.append(read[0])
+        read = read[1]
+    return "".join(reversed(letters))
 
 
 class Reader:
@@ -106,7 +120,9 @@ class Reader:
 
     def __init__(self, model: np.ndarray) -> None:
         table = model.tolist()
-        self.decode = functools.lru_cache(maxsize=200_000)(lambda token: decode(token, table))
+        known = functools.lru_cache(maxsize=200_000)(lambda token: decode(token, table))
+        self.decode = lambda token: known(token) if len(token) <= 80 else decode(token, table)  # long tokens are not kept
+        self.split = lambda run: decode(run, table, True).split()
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
@@ -116,11 +132,13 @@ class Reader:
         for w in raw:
             if not w.isalpha():
                 core = w.strip(".,;:?\"'()[]{}*%&#<>=_-~")
-                if not core.isalpha() and len(core) <= 40 and any(map(str.isalpha, core)):
+                if not core.isalpha() and any(map(str.isalpha, core)):
                     odd.append(core)
-        odd += [w for w in found if len(w) > 3 and len(w) <= 60 and w.isalpha() and _TRIPLE.search(w)]
+        odd += [w for w in found if len(w) > 3 and w.isalpha() and _TRIPLE.search(w)]
         if sum(len(w) == 1 for w in tokens) >= 3:
-            odd += [m.group()[:80] for m in _SPACED.finditer(" ".join(tokens))]
+            for run in {m.group() for m in _SPACED.finditer(" ".join(tokens))}:
+                odd.append(run)
+                found.update(self.split(run))
         found.update(map(self.decode, odd))
         found.discard("")
         return found

@@ -44,6 +44,14 @@ def test_decoding(model, token, word):
     assert word in Reader(model).words(f"lona {token} basto")
 
 
+@pytest.mark.parametrize(("text", "word"), [
+    ("b a n a i d i o t", "idiot"), ("l o n a " * 15 + "i d i o t", "idiot"), ("s t u p i d m o r o n", "moron"),
+    ("i" + "." * 20 + "d" + "." * 20 + "i.o.t", "idiot"), ("stu" + "u" * 70 + "pid", "stupid"), ("m" + "-" * 300 + "0r0n", "moron"),
+])
+def test_disguises_of_any_length(model, text, word):
+    assert word in Reader(model).words(f"terri {text} basto")
+
+
 def test_held_out_accuracy_and_disguises(spark):
     rows, labels = corpus(600)
     extra = [(1000, "bana 1d10t lori m0r0n"), (1001, "bana s t u p i d loston"), (1002, None), (1003, ""), (1004, "bana lori"), (None, "idiot moron stupid"), (1000, "bana 1d10t lori m0r0n"), (1005, "bana lori " * 30_000)]
