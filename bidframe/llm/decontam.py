@@ -5,7 +5,7 @@ question with other numbers or names has the same template. Windows of
 template tokens of the documents are hash-joined with those of the benchmark.
 A run of matches on one diagonal (document position less item position) is
 one occurrence; it counts if its slots are consistent: each value of the item
-stands for one value of the document and the reverse. A document leaks an item
+stands for one value of the document (two values may become equal). A document leaks an item
 if consistent occurrences cover enough of the item's windows.
 """
 
@@ -71,11 +71,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: float
     pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
     runs = matched.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(F.collect_set("item_pos").alias("places"), pairs.alias("pairs"))
 
-    def distinct(side: str) -> F.Column:
-        return F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
-
+    distinct = F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
     same_kind = F.forall("pairs", lambda x: F.substring(x["i"], 1, 1) == F.substring(x["d"], 1, 1))
-    runs = runs.where(same_kind & (distinct("i") == F.size("pairs")) & (distinct("d") == F.size("pairs")))
+    runs = runs.where(same_kind & (distinct == F.size("pairs")))
     by_item = runs.groupBy("doc_id", "text_key", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("matched"),
         F.max(F.exists("pairs", lambda x: x["i"] != x["d"])).alias("reparameterised"))

@@ -95,3 +95,10 @@ def test_filter_and_edges(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept.select("doc_id", "text").collect() if r.text is not None) == sorted((d or 0, t) for d, t in [*DOCS[2:3], DOCS[4], DOCS[6], (None, "free text")])
     assert leaks(documents(spark, []), bench).count() == 0
     assert leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_values_that_become_equal(spark):
+    items = [(1, "The farm sells boxes with 3 apples and 5 pears for every guest of the party"), (2, "we measure the road in 7 km and then again in 9 miles before we go home")]
+    docs = [(1, "The farm sells boxes with 4 apples and 4 pears for every guest of the party"), (2, "we measure the road in 7 km and then again in 9 km before we go home")]
+    found = leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched == r.windows, r.reparameterised) for r in found} == {(1, 1, True, True), (2, 2, True, True)}
