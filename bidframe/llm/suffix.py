@@ -1,24 +1,30 @@
 """Removal of repeated byte strings by deep-shallow suffix sorting.
 
-Every string of ``length`` bytes contains one anchor: the k-gram of smallest
-hash among those that lie in it, the leftmost of equals. Equal strings have
-equal anchors at equal offsets, so only suffixes of one anchor need sorting
-against each other. A record is an anchor with the run of string starts that
-it serves, about one record for 137 bytes.
+Two lengths are judged by one sort: strings of ``length`` bytes are removed
+where they repeat, and shorter ones of ``passage`` bytes show the passages
+that a document shares with another one. Every string of ``passage`` bytes
+contains one anchor: the k-gram of smallest hash among those that lie in it,
+the leftmost of equals. Equal strings have equal anchors at equal offsets, so
+only suffixes of one anchor need sorting against each other. A record is an
+anchor with the run of string starts that it serves, about one record for 65
+bytes.
 
 Records whose anchor occurs once go. Of the rest, records with equal regions
-(all bytes that their strings cover) form a class; a class of two or more is
-repeated as a whole. The classes of an anchor are then compared by sorting
-their suffixes: multikey quicksort over eight-byte digits to a shallow depth
-drops what is unique by then, and blind tries order the groups that still
-agree. An anchor with too many classes for one task is refined: the starts
-are halved, each half is keyed by the longer core that all its strings share,
-and the steps repeat; when a half is a single start, its key is the string.
+(all bytes that their strings of ``length`` bytes cover, or up to the text's
+end) form a class; a class of two or more is repeated as a whole. The classes
+of an anchor are then compared by sorting their suffixes: multikey quicksort
+over eight-byte digits to a shallow depth drops what is unique by then, and
+blind tries order the groups that still agree. An anchor with too many classes
+for one task is refined: the starts are halved, each half is keyed by the
+longer core that all its strings share, equal parts of classes form new
+classes, and the steps repeat; when a half is a single start, its key is the
+string.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,11 @@ from bidframe.llm._common import written
 
 #: Bytes of an anchor; starts of a text handled at a time; classes of an anchor that a task sorts; shallow depth in digits.
 GRAM, PIECE, GROUP_MAX, SHALLOW = 128, 1 << 20, 512, 4
+#: What holds for a start: its string of ``length`` bytes is repeated; its string of ``passage`` bytes is in another document.
+LONG, SHARED = 1, 2
 _BASE = 0x9E3779B97F4A7C15
+#: A number for each byte, so that hashes of texts in a few letters mix well.
+_BYTES = np.random.default_rng(0).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -40,21 +50,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _stirred(h: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 class Anchors:
-    """Finds the records of a text: anchor, first and last start, and the anchor's hash."""
+    """Finds the records of texts: anchor, first and last start, size of the region, and hashes of anchor and region.
+
+    Texts come as segments ``(bytes, starts)`` of which the first ``starts``
+    places begin a string; many short ones are handled at once.
+    """
 
-    def __init__(self, length: int) -> None:
-        self.length, self.gram = length, min(GRAM, length)
-        self.width = length - self.gram + 1
-        n = PIECE + length
+    def __init__(self, length: int, passage: int) -> None:
+        self.length, self.passage, self.gram = length, passage, min(GRAM, passage)
+        self.width = passage - self.gram + 1
+        n = 2 * PIECE + 2 * length
         self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
 
-    def _hashes(self, b: np.ndarray) -> np.ndarray:
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * self.up[: len(b)], dtype=np.uint64)))
-        h = (sums[self.gram :] - sums[: -self.gram]) * self.down[: len(b) - self.gram + 1]
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+    def segments(self, data: bytes) -> Iterator[tuple[int, bytes, int]]:
+        """``(place, bytes, starts)`` of a text; a segment holds all bytes of its strings."""
+        starts = len(data) - self.passage + 1
+        for at in range(0, max(starts, 0), PIECE):
+            yield at, data[at : at + PIECE + self.length - 1], min(PIECE, starts - at)
 
     def _smallest(self, h: np.ndarray) -> np.ndarray:
         """For every start the place of the smallest hash among ``width``, the leftmost of equals."""
@@ -68,56 +88,74 @@ class Anchors:
         n = len(h) - w + 1
         return (np.minimum(after[:n], before[w - 1 : w - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
-    def __call__(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        starts = len(data) - self.length + 1
-        for at in range(0, max(starts, 0), PIECE):
-            b = np.frombuffer(data[at : at + PIECE + self.length - 1], np.uint8).astype(np.uint64)
-            h = self._hashes(b)
-            best = self._smallest(h)
-            first = np.concatenate(([0], np.nonzero(best[1:] != best[:-1])[0] + 1))
-            last = np.concatenate((first[1:] - 1, [len(best) - 1]))
-            yield best[first] + at, first + at, last + at, h[best[first]].view(np.int64)
+    def __call__(self, segments: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
+        sizes = np.array([len(x) for x, _ in segments], np.int64)
+        counts = np.array([n for _, n in segments], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        b = _BYTES[np.frombuffer(b"".join(x for x, _ in segments), np.uint8)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * self.up[: len(b)], dtype=np.uint64)))
+        h = _stirred((sums[self.gram :] - sums[: -self.gram]) * self.down[: len(b) - self.gram + 1])
+        best = self._smallest(h)
+        starts = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        owner = np.repeat(np.arange(len(segments)), counts)
+        best = best[starts]  # strings that reach into the next segment are no starts
+        cut = np.nonzero(best[1:] != best[:-1])[0] + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(best) - 1]))
+        anchor, owner, first, last = best[first], owner[first], starts[first], starts[last]
+        end = np.minimum(last + self.length, (begin + sizes)[owner])
+        region = _stirred((sums[end] - sums[first]) * self.down[first])
+        for x in (anchor - first, anchor - last, end - first):
+            region = _stirred(region ^ x.view(np.uint64))
+        gram = h[anchor]
+        at = begin[owner]
+        return owner, anchor - at, first - at, last - at, end - first, gram.view(np.int64), _stirred(region ^ gram).view(np.int64)
+
+
+def _records(length: int, passage: int):
+    names = ["gram", "cls", "doc_id", "text_key", "anchor", "low", "high", "size"]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Anchors(length, passage)
 
-def _records(length: int):
-    names = ["gram", "region", "doc_id", "text_key", "anchor", "first", "last"]
+        def out(held: list) -> pa.RecordBatch:
+            owner, anchor, first, last, size, gram, cls = find([x[3:] for x in held])
+            place = np.array([x[2] for x in held], np.int64)[owner]
+            columns = [gram, cls, pa.array([x[0] for x in held], pa.int64()).take(pa.array(owner)), pa.array([x[1] for x in held], pa.int64()).take(pa.array(owner)), anchor + place]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x.astype(np.int32)) for x in (anchor - last, anchor - first, size))], names)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Anchors(length)
         for batch in batches:
+            held, total = [], 0
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary())):
-                data = text.as_py() or b""
-                for anchor, first, last, gram in find(data):
-                    regions = [xxhash.xxh3_128_digest(b"%d,%d," % (a - f, a - l) + data[f : l + length]) for a, f, l in zip(anchor.tolist(), first.tolist(), last.tolist())]
-                    n = len(regions)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(gram), pa.array(regions, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(anchor), pa.array(first), pa.array(last)], names)
+                for place, data, starts in find.segments(text.as_py() or b""):
+                    held.append((doc, key, place, data, starts))
+                    total += len(data)
+                    if total >= PIECE:
+                        yield out(held)
+                        held, total = [], 0
+            if held:
+                yield out(held)
 
     return work
 
 
-def _regions(length: int):
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document the regions that are asked for."""
-    names = ["key", "sub", "cls", "bytes", "anchor", "low", "high"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, wanted in zip(batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist()):
-                data = text.as_py()
-                for w in wanted:
-                    a, f, l = w["anchor"], w["first"], w["last"]
-                    rows.append((w["gram"].to_bytes(8, "big", signed=True), w["region"], w["cls"], data[f : l + length], a - f, a - l, a - f))
-            columns = list(zip(*rows)) or [[]] * 7
-            types = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    return work
+    for batch in batches:
+        rows = []
+        for text, wanted in zip(batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist()):
+            data = text.as_py()
+            for w in wanted:
+                first = w["anchor"] - w["high"]
+                rows.append((w["gram"].to_bytes(8, "big", signed=True), w["cls"], data[first : first + w["size"]], w["low"], w["high"], w["doc_low"], w["doc_high"]))
+        columns = list(zip(*rows)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PART_TYPES)], _PART_NAMES)
 
 
-RECORDS = "gram long, region binary, doc_id long, text_key long, anchor long, first long, last long"
-PARTS = "key binary, sub binary, cls long, bytes binary, anchor int, low int, high int"
-RANGES = "cls long, low int, high int"
+_PART_NAMES = ["key", "cls", "bytes", "low", "high", "doc_low", "doc_high"]
+_PART_TYPES = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+RECORDS = "gram long, cls long, doc_id long, text_key long, anchor long, low int, high int, size int"
+PARTS = "key binary, cls long, bytes binary, low int, high int, doc_low long, doc_high long"
+RANGES = "cls long, low int, high int, mask int"
 
 
 def blind_trie(strings: list[bytes]) -> list[list[int]]:
@@ -165,10 +203,12 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return order
 
 
-def repeated_starts(parts: list[tuple[bytes, int, int, int]], length: int) -> list[list[int]]:
-    """For each ``(region, anchor, low, high)`` of one key the offsets low..high whose strings another part has too.
+def repeated_starts(parts: list[tuple[bytes, int, int, int, int]], length: int, passage: int) -> list[list[tuple[int, int]]]:
+    """For each ``(region, low, high, doc_low, doc_high)`` of one key its offsets low..high that are marked, with their marks.
 
-    The string at offset d starts d bytes before the anchor.
+    The string at offset d starts d bytes before the anchor, the region at
+    offset high. ``LONG``: another part has the string of ``length`` bytes.
+    ``SHARED``: a part of another document has the string of ``passage`` bytes.
     """
     data = b"".join(p[0] for p in parts) + bytes(8)
     b = np.frombuffer(data, np.uint8).astype(np.uint64)
@@ -176,16 +216,15 @@ def repeated_starts(parts: list[tuple[bytes, int, int, int]], length: int) -> li
     words = np.zeros(n, np.uint64)
     for j in range(8):
         words |= b[j : j + n] << np.uint64(56 - 8 * j)
-    place, offset, owner, at = [], [], [], 0
-    for k, (region, anchor, low, high) in enumerate(parts):
-        d = np.arange(low, high + 1)
-        place.append(at + anchor - d)
-        offset.append(d)
-        owner.append(np.full(len(d), k))
-        at += len(region)
-    place, rank, owner = np.concatenate(place), np.concatenate(offset), np.concatenate(owner)
-    offset = rank
-    for depth in range(-1, min(SHALLOW, length // 8)):  # quicksort by offset, then by digit, within what is still equal
+    size = np.array([len(p[0]) for p in parts])
+    ends = np.cumsum(size)
+    low, high = (np.array([p[k] for p in parts]) for k in (1, 2))
+    counts = high - low + 1
+    owner = np.repeat(np.arange(len(parts)), counts)
+    offset = np.arange(counts.sum()) + np.repeat(low - np.cumsum(counts) + counts, counts)
+    place = (ends - size + high)[owner] - offset
+    rank = offset
+    for depth in range(-1, min(SHALLOW, passage // 8)):  # quicksort by offset, then by digit, within what is still equal
         if depth >= 0:
             digit = words[place + 8 * depth]
             order = np.lexsort((digit, rank))
@@ -200,123 +239,145 @@ def repeated_starts(parts: list[tuple[bytes, int, int, int]], length: int) -> li
         place, owner, offset, rank = place[several], owner[several], offset[several], rank[several]
         if not len(place):
             break
-    found: list[list[int]] = [[] for _ in parts]
+    found: list[list[tuple[int, int]]] = [[] for _ in parts]
     cuts = np.concatenate(([0], np.nonzero(rank[1:] != rank[:-1])[0] + 1, [len(rank)])).tolist() if len(rank) else []
-    place, owner, offset = place.tolist(), owner.tolist(), offset.tolist()
+    ends, place, owner, offset = ends.tolist(), place.tolist(), owner.tolist(), offset.tolist()
     for a, z in zip(cuts, cuts[1:]):
-        for group in blind_trie([data[p : p + length] for p in place[a:z]]):
-            if len(group) > 1:
-                for i in group:
-                    found[owner[a + i]].append(offset[a + i])
+        for group in blind_trie([data[p : p + passage] for p in place[a:z]]):
+            if len(group) == 1:
+                continue
+            own = [owner[a + i] for i in group]
+            shared = SHARED if min(parts[k][3] for k in own) < max(parts[k][4] for k in own) else 0
+            longer = defaultdict(int)
+            strings = [data[place[a + i] : place[a + i] + length] if place[a + i] + length <= ends[k] else None for i, k in zip(group, own)]
+            for x in strings:
+                longer[x] += 1
+            for i, k, x in zip(group, own, strings):
+                mask = shared | LONG * (x is not None and longer[x] > 1)
+                if mask:
+                    found[k].append((offset[a + i], mask))
     return found
 
 
-def _runs(offsets: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for d in sorted(offsets):
-        if out and out[-1][1] == d - 1:
-            out[-1] = (out[-1][0], d)
+def _runs(marks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    out: list[tuple[int, int, int]] = []
+    for d, mask in sorted(marks):
+        if out and out[-1][1] == d - 1 and out[-1][2] == mask:
+            out[-1] = (out[-1][0], d, mask)
         else:
-            out.append((d, d))
+            out.append((d, d, mask))
     return out
 
 
-def _sorted_groups(length: int):
+def _sorted_groups(length: int, passage: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+        last, held, rows = None, [], []
+
+        def sort() -> None:
+            if len(held) > 1:
+                rows.extend((row[0], *run) for row, marks in zip(held, repeated_starts([row[1:] for row in held], length, passage)) for run in _runs(marks))
 
         def out() -> pa.RecordBatch:
-            rows = [(row[0], low, high) for row, d in zip(held, repeated_starts([row[1:] for row in held], length)) for low, high in _runs(d)]
-            columns = list(zip(*rows)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["cls", "low", "high"])
+            columns = list(zip(*rows)) or [[]] * 4
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["cls", "low", "high", "mask"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "bytes", "anchor", "low", "high"))):
-                if key != last and len(held) > 1:
-                    yield out()
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in _PART_NAMES)):
                 if key != last:
+                    sort()
                     last, held = key, []
                 held.append(row)
-        if len(held) > 1:
             yield out()
+        sort()
+        yield out()
 
     return work
 
 
-def _refined(length: int, width: int, size: int):
+def _refined(length: int, passage: int, width: int, size: int):
     """Cut parts to blocks of ``size`` offsets; a block's key is the core that all strings of its offsets share."""
-    names = ["key", "sub", "cls", "bytes", "anchor", "low", "high"]
+    names = ["key", "sub", *_PART_NAMES[1:]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for cls, data, anchor, low, high in zip(*(batch.column(c).to_pylist() for c in names[2:])):
+            for cls, data, low, high, *docs in zip(*(batch.column(c).to_pylist() for c in _PART_NAMES[1:])):
                 for block in range(low // size, high // size + 1):
                     least, most = block * size, min(block * size + size, width) - 1
-                    core = data[anchor - least : anchor - most + length]
+                    core = data[high - least : high - most + passage]
                     a, z = max(low, least), min(high, most)
-                    own = data[anchor - z : anchor - a + length]
-                    rows.append((xxhash.xxh3_128_digest(b"%d," % block + core), xxhash.xxh3_128_digest(b"%d,%d," % (a, z) + own), cls, own, z, a, z))
-            columns = list(zip(*rows)) or [[]] * 7
-            types = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                    own = data[high - z : high - a + length]
+                    rows.append((xxhash.xxh3_128_digest(b"%d," % block + core), xxhash.xxh64_intdigest(b"%d,%d," % (a, z) + own) - (1 << 63), cls, own, a, z, *docs))
+            columns = list(zip(*rows)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary(), pa.int64(), *_PART_TYPES[1:]])], names)
 
     return work
 
 
-def _compared(parts: DataFrame, length: int, width: int) -> DataFrame:
-    """``cls, low, high``: offsets of the classes whose strings another part of the same key has."""
-    results, size = [], width
-    while True:
-        groups = written(parts.groupBy("key").agg(F.countDistinct("sub").alias("m")), "groups")
-        small = parts.join(groups.where(F.col("m").between(2, GROUP_MAX)).hint("merge"), "key").dropDuplicates(["key", "sub"])
-        results.append(written(
-            small.select("key", "cls", "bytes", "anchor", "low", "high").repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length), RANGES), "sorted"))
-        large = groups.where(F.col("m") > GROUP_MAX)
-        if size == 1 or large.isEmpty():
-            break
-        size = (size + 1) // 2
-        hot = parts.join(large.select("key").hint("merge"), "key").select(*(c for c in ("key", "sub", "cls", "bytes", "anchor", "low", "high")))
-        finer = written(hot.mapInArrow(_refined(length, width, size), PARTS), "finer")
-        several = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        finer = written(finer.join(several.hint("merge"), "key").select(*finer.columns), "several")
-        copies = finer.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first_cls"))
-        same = finer.join(copies.hint("merge"), ["key", "sub"])
-        results.append(written(same.where("n > 1").select("cls", "low", "high"), "same"))
-        parts = written(same.where("cls = first_cls").select(*finer.columns), "parts")
-        # what holds for the first of equal parts holds for all of them; they are repeated as a whole already
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
+def _whole(classes: DataFrame, length: int) -> DataFrame:
+    """Ranges of the classes of two members and more: all their strings are repeated."""
+    least = F.greatest(F.col("low"), F.lit(length) - F.col("size") + F.col("high"))  # offsets below it reach beyond the text
+    shared = F.when(F.col("doc_low") < F.col("doc_high"), F.lit(SHARED)).otherwise(0)
+    pieces = F.array(F.struct("low", F.least(F.col("high"), least - 1).alias("high"), shared.alias("mask")), F.struct(least.alias("low"), "high", (shared + LONG).alias("mask")))
+    return classes.where("n > 1").select("cls", F.explode(F.filter(pieces, lambda x: (x["low"] <= x["high"]) & (x["mask"] > 0))).alias("x")).select("cls", "x.low", "x.high", "x.mask")
+
+
+def _compared(parts: DataFrame, length: int, passage: int, width: int, size: int) -> DataFrame:
+    """``cls, low, high, mask``: marked offsets of the classes that share their key with another class.
+
+    ``parts`` has a row for each class; keys of many classes are refined.
+    """
+    groups = written(parts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_low").alias("a"), F.max("doc_high").alias("z")), "groups")
+    small = parts.join(groups.where(F.col("m").between(2, GROUP_MAX)).select("key").hint("merge"), "key").select(*_PART_NAMES)
+    found = written(small.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length, passage), RANGES), "sorted")
+    large = groups.where(F.col("m") > GROUP_MAX)
+    if large.isEmpty():
+        return found
+    if size == 1:  # the key is the string of ``passage`` bytes itself; equal ones of ``length`` bytes are one class
+        shared = parts.join(large.where("a < z").select("key").hint("merge"), "key").select("cls", "low", "high", F.lit(SHARED).alias("mask"))
+        return found.unionByName(written(shared, "shared"))
+    size = (size + 1) // 2
+    hot = parts.join(large.select("key").hint("merge"), "key").select(*_PART_NAMES)
+    finer = written(hot.mapInArrow(_refined(length, passage, width, size), PARTS.replace("cls", "sub long, cls")), "finer")
+    members = finer.withColumn("fine", F.xxhash64("key", "sub"))
+    classes = members.groupBy("key", F.col("fine").alias("cls")).agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("bytes", "low", "high")).alias("r"), F.min("doc_low").alias("doc_low"), F.max("doc_high").alias("doc_high"))
+    classes = written(classes.select("cls", "n", "key", "r.*", F.length("r.bytes").alias("size"), "doc_low", "doc_high"), "fine")
+    deeper = _whole(classes, length).unionByName(_compared(classes.select(*_PART_NAMES), length, passage, width, size))
+    back = members.select(F.col("fine"), F.col("cls").alias("of"))
+    back = deeper.join(back.hint("merge"), deeper.cls == back.fine).select(F.col("of").alias("cls"), "low", "high", "mask")
+    return found.unionByName(written(back, "back"))
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
     return out
 
 
-def _removed(length: int, with_text: bool):
+def _removed(length: int, passage: int, passage_words: int, with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, gone, runs, sums, texts = [], [], [], [], []
+            sizes, gone, runs, sums, shared, texts = [], [], [], [], [], []
             for text, cuts in zip(batch.column("text").cast(pa.binary()), batch.column("cuts").to_pylist()):
                 data = text.as_py() or b""
-                kept, at, n, removed = [], 0, 0, 0
-                for a, z in sorted((c["a"], c["z"]) for c in cuts or ()):
-                    if z <= at and n:
-                        continue
-                    if not n or a > at:
-                        kept.append(data[at:a])
-                        n += 1
-                        removed += z - a
-                    else:
-                        removed += z - at
-                    at = z
-                kept.append(data[at:])
+                cuts = [(c["a"], c["z"], c["mask"]) for c in cuts or ()]
+                long = _merged([(a, z + length) for a, z, mask in cuts if mask & LONG])
+                kept = [data[a:z] for a, z in zip([0, *(z for _, z in long)], [*(a for a, _ in long), len(data)])]
                 left = b"".join(kept)
                 sizes.append(len(data))
-                gone.append(removed)
-                runs.append(n)
+                gone.append(len(data) - len(left))
+                runs.append(len(long))
                 sums.append(hashlib.sha256(left).hexdigest())
+                shared.append(sum(len(data[a:z].split(None, passage_words)) > passage_words for a, z in _merged([(a, z + passage) for a, z, mask in cuts if mask & SHARED])))
                 texts.append(left)
-            out = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, gone, runs)), pa.array(sums, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            out = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, gone, runs)), pa.array(sums, pa.string()), pa.array(shared, pa.int64())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"]
             if with_text:
                 out.append(pa.array(texts, pa.binary()))
                 names.append("kept_bytes")
@@ -325,35 +386,44 @@ def _removed(length: int, with_text: bool):
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
-    """Remove every byte that a repeated string of ``length`` bytes covers.
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, passage_words: int = 50, with_text: bool = False) -> DataFrame:
+    """Remove every byte that a repeated string of ``length`` bytes covers, and count the passages shared with other documents.
 
     A string is repeated if it starts at another place too, in the same text
-    or in another; strings are judged on the input. Returns ``doc_id, n_bytes,
-    n_removed, n_spans, kept_sha256`` and, on demand, ``kept_bytes``; a row for
-    each row of ``docs``.
-
-    A null text counts as empty. Repeated rows are different documents, so
-    long ones lose all their bytes. Null and equal ids are told apart by the
-    text's hash. Texts shorter than ``length`` stay. A removal may split a
-    character, so what is left is bytes. No rows give no rows.
+    or in another; strings are judged on the input. ``n_passages`` counts the
+    maximal runs of bytes that strings of ``passage`` bytes (``length`` at
+    most) cover which another document has too, if the run has over
+    ``passage_words`` words, cut ones included; nothing is removed for them.
+    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages``
+    and, on demand, ``kept_bytes``; a row for each row of ``docs``. Other
+    columns of ``docs``, of any name, are ignored.
+
+    A null text counts as empty. Repeated rows are different places, so long
+    ones lose all their bytes; for ``n_passages`` they are one document. Null
+    and equal ids are told apart by the text's hash. Texts shorter than
+    ``length`` stay. Texts of any length are read whole, a piece at a time. A
+    removal may split a character, so what is left is bytes. No rows give no rows.
     """
-    width = Anchors(length).width
+    passage = min(passage, length)
+    width = Anchors(length, passage).width
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_key"))
-    long = rows.where(F.octet_length("text") >= length)
-    records = written(long.mapInArrow(_records(length), RECORDS), "records")
+    long = rows.where(F.octet_length("text") >= passage)
+    records = written(long.mapInArrow(_records(length, passage), RECORDS), "records")
     twice = written(records.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "twice")
-    kept = written(records.join(twice.hint("merge"), "gram").withColumn("cls", F.xxhash64("gram", "region")), "kept")
-    classes = kept.groupBy("gram", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "anchor", "first", "last", "region")).alias("r"))
-    classes = written(classes.select("gram", "cls", "n", "r.*"), "classes")
-    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
-    wanted = classes.join(several.hint("merge"), "gram").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
-        F.collect_list(F.struct("gram", "region", "cls", "anchor", "first", "last")).alias("wanted"))
-    sources = long.join(wanted.hint("merge"), long.doc_id.eqNullSafe(F.col("d")) & (long.text_key == F.col("k"))).select("text", "wanted")
-    parts = written(sources.mapInArrow(_regions(length), PARTS), "parts").dropDuplicates(["cls"])
-    whole = classes.where("n > 1").select("cls", (F.col("anchor") - F.col("last")).cast("int").alias("low"), (F.col("anchor") - F.col("first")).cast("int").alias("high"))
-    ranges = whole.unionByName(_compared(parts, length, width)).distinct()
-    cuts = kept.join(ranges.hint("merge"), "cls").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
-        F.collect_set(F.struct((F.col("anchor") - F.col("high")).alias("a"), (F.col("anchor") - F.col("low") + length).alias("z"))).alias("cuts"))
+    kept = written(records.join(twice.hint("shuffle_hash"), "gram", "left_semi"), "kept")
+    doc = F.xxhash64("doc_id", "text_key")
+    classes = kept.groupBy("gram", "cls").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "anchor", "low", "high", "size")).alias("r"), F.min(doc).alias("doc_low"), F.max(doc).alias("doc_high"))
+    classes = written(classes.select("gram", "cls", "n", "r.*", "doc_low", "doc_high"), "classes")
+    several = written(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"), "several")
+    wanted = classes.join(several.hint("shuffle_hash"), "gram", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
+        F.collect_list(F.struct("gram", "cls", "anchor", "low", "high", "size", "doc_low", "doc_high")).alias("wanted"))
+    sources = long.join(wanted.hint("merge"), long.doc_id.eqNullSafe(F.col("d")) & (long.text_key == F.col("k"))).select("doc_id", "text", "wanted")
+    # repeated rows would give their classes twice
+    parts = written(sources.mapInArrow(_regions, PARTS), "parts").dropDuplicates(["cls"])
+    ranges = _whole(classes, length).unionByName(_compared(parts, length, passage, width, width)).distinct()
+    cuts = kept.join(ranges.hint("merge").withColumnsRenamed({"low": "from", "high": "to"}), "cls").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
+        F.collect_set(F.struct((F.col("anchor") - F.col("to")).alias("a"), (F.col("anchor") - F.col("from")).alias("z"), "mask")).alias("cuts"))
     joined = rows.join(cuts.hint("merge"), rows.doc_id.eqNullSafe(F.col("d")) & (rows.text_key == F.col("k")), "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(_removed(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept_bytes binary" * with_text
+    return joined.mapInArrow(_removed(length, passage, passage_words, with_text), schema)

@@ -12,9 +12,31 @@ from bidframe.llm.suffix import blind_trie, remove_repeats, repeated_starts
 from .helpers import documents
 
 
-def brute(rows, length):
+def shared_runs(data, ids, passage, words):
+    """Runs of over ``words`` words covered by strings of ``passage`` bytes that another document has."""
+    owners = defaultdict(set)
+    for i, b in zip(ids, data):
+        for p in range(len(b) - passage + 1):
+            owners[b[p : p + passage]].add(i)
+    counts = []
+    for b in data:
+        held = bytearray(len(b))
+        for p in range(len(b) - passage + 1):
+            if len(owners[b[p : p + passage]]) > 1:
+                held[p : p + passage] = b"\x01" * passage
+        masked, n, at = bytes(held), 0, 0
+        while (a := masked.find(b"\x01", at)) >= 0:
+            at = masked.find(b"\x00", a)
+            at = len(b) if at < 0 else at
+            n += len(b[a:at].split()) > words
+        counts.append(n)
+    return counts
+
+
+def brute(rows, length, passage, words):
     seen = defaultdict(list)
     data = [(t or "").encode() for _, t in rows]
+    shared = shared_runs(data, [str(r) for r in rows], passage, words)
     for k, b in enumerate(data):
         for p in range(len(b) - length + 1):
             seen[b[p : p + length]].append((k, p))
@@ -24,10 +46,10 @@ def brute(rows, length):
             for k, p in places:
                 gone[k][p : p + length] = b"\x01" * length
     out = []
-    for (d, _), b, g in zip(rows, data, gone):
+    for (d, _), b, g, s in zip(rows, data, gone, shared):
         kept = bytes(x for x, y in zip(b, g) if not y)
         runs = sum(y and not (i and g[i - 1]) for i, y in enumerate(g))
-        out.append((d, len(b), sum(g), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), sum(g), runs, hashlib.sha256(kept).hexdigest(), s))
     return sorted(map(str, out))
 
 
@@ -54,12 +76,15 @@ def test_blind_trie_sorts_and_groups():
 
 
 def test_repeated_starts():
-    parts = [(b"xxabcdefghijYY", 2, 0, 2), (b"zzabcdefghijYQ", 2, 0, 2), (b"qqqbcdefghijYY", 2, 0, 2)]
-    assert [sorted(x) for x in repeated_starts(parts, 11)] == [[0], [0], []]
+    parts = [(b"xxabcdefghijYY", 0, 2, 1, 1), (b"zzabcdefghijYQ", 0, 2, 1, 2), (b"qqqbcdefghijYY", 0, 2, 3, 3)]
+    assert [sorted(x) for x in repeated_starts(parts, 11, 11)] == [[(0, 3)], [(0, 3)], []]
+    assert [sorted(x) for x in repeated_starts(parts, 13, 11)] == [[(0, 2)], [(0, 2)], []]
+    same = [(r, low, high, 1, 1) for r, low, high, _, _ in parts]
+    assert [sorted(x) for x in repeated_starts(same, 11, 11)] == [[(0, 1)], [(0, 1)], []]
 
 
-@pytest.mark.parametrize(("gram", "group", "piece"), [(8, 512, 1 << 20), (8, 2, 1 << 20), (16, 3, 60), (40, 512, 97)])
-def test_matches_brute_force(spark, monkeypatch, gram, group, piece):
+@pytest.mark.parametrize(("gram", "group", "piece", "passage"), [(8, 512, 1 << 20, 40), (8, 2, 1 << 20, 40), (16, 3, 60, 40), (40, 512, 97, 40), (8, 512, 1 << 20, 25), (8, 2, 1 << 20, 25), (8, 1, 70, 20), (20, 2, 97, 20)])
+def test_matches_brute_force(spark, monkeypatch, gram, group, piece, passage):
     monkeypatch.setattr(suffix, "GRAM", gram)
     monkeypatch.setattr(suffix, "GROUP_MAX", group)
     monkeypatch.setattr(suffix, "PIECE", piece)
@@ -67,8 +92,8 @@ def test_matches_brute_force(spark, monkeypatch, gram, group, piece):
     passages = ["".join(rng.choice("abcdé \n") for _ in range(rng.randint(60, 200))) for _ in range(5)]
     rows = table(rng, 60, "abcdeé", passages)
     rows += [(900, None), (901, ""), (902, "ab" * 100), (903, "x" * 300), (904, rows[3][1]), (904, rows[3][1]), (None, passages[0] + "tail"), (None, "q" + passages[1]), (905, passages[2] * 3)]
-    got = remove_repeats(documents(spark, rows), 40).collect()
-    assert sorted(str(tuple(r)) for r in got) == brute(rows, 40)
+    got = remove_repeats(documents(spark, rows), 40, passage, 5).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows, 40, passage, 5)
 
 
 def test_full_length(spark):
@@ -76,7 +101,7 @@ def test_full_length(spark):
     passage = "".join(rng.choice("abcdefgh ") for _ in range(1000))
     rows = [(d, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 1500))) + passage[rng.randint(0, 400) : rng.randint(700, 1000)] + str(d)) for d in range(25)]
     got = remove_repeats(documents(spark, rows).withColumnRenamed("lang", "key").withColumnRenamed("source", "cls")).collect()
-    assert sorted(str(tuple(r)) for r in got) == brute(rows, 400)
+    assert sorted(str(tuple(r)) for r in got) == brute(rows, 400, 256, 50)
 
 
 def test_empty(spark):
