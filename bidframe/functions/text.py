@@ -19,9 +19,13 @@ SUFFIXES = (
 )
 #: Units that are split off a number; fixed values.
 GLUED_UNITS = ("gb", "tb", "mb", "w", "va", "kva", "m", "mm", "in", "u", "hz", "ghz")
+#: Words that carry no meaning in search; fixed values.
 STOPWORDS = (
-    "a an and are as at be by for from has have in is it its of on or that the their this to was were will with shall should must may can any all "
-    "each per our your we you they not no into than then these those such which who"
+    "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during "
+    "each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor "
+    "not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there "
+    "these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself "
+    "yourselves shall may must please kindly herewith hereby per via etc"
 ).split()
 #: A sign that never occurs in text, used as a separator.
 CUT = "\x1e"
@@ -38,12 +42,23 @@ def fold_full(s: pd.Series) -> pd.Series:
     return s.str.lower().str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
 
 
+#: Typographic signs and their plain forms; fixed values.
+TYPOGRAPHIC, TYPED = "\u2018\u2019\u201c\u201d\u2013\u2014\u2212\u00d7", "''\"\"---x"
+
+
+@F.pandas_udf(T.StringType())
+def compatible(s: pd.Series) -> pd.Series:
+    """Unicode compatibility composition (NFKC), which Spark has no function for."""
+    return s.str.normalize("NFKC")
+
+
 def normalize(s: Column) -> Column:
-    """Plain punctuation; gaps of three spaces become tabs; other runs of blanks shrink."""
-    t = F.translate(s, "‘’“”–—− ", "''\"\"--- ")
-    t = F.regexp_replace(t, r"[ ]{3,}", "\t")
-    t = F.regexp_replace(t, r"[ ]{2,}", " ")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Compatible and plain signs; gaps of three blanks or more inside a line become tabs, other blanks shrink, lines are trimmed."""
+    t = F.translate(F.when(s.rlike(r"[^\x00-\x7f]"), compatible(s)).otherwise(s), TYPOGRAPHIC, TYPED)
+    t = F.regexp_replace(t, r"(?<=\S) {3,}(?=\S)", "\t")
+    t = F.regexp_replace(t, r"[ \r\f\x0B]+", " ")
+    t = F.regexp_replace(t, r"[ \t]*\t[ \t]*", "\t")
+    return F.btrim(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), F.lit(" \t\n"))
 
 
 def stem(token: Column) -> Column:
@@ -111,48 +126,84 @@ def dehyphenate(lines: Column) -> Column:
 
 
 def sentences(s: Column) -> Column:
-    """Split after .!?; before a capital or digit, at blank lines and before bullets; at least three characters."""
-    t = F.regexp_replace(s, r"([.!?;])\s+([A-Z0-9])", f"$1{CUT}$2")
-    t = F.regexp_replace(t, r"\n\s*\n", CUT)
-    t = F.regexp_replace(t, r"\n\s*([-*•]|\d+[.)])\s+", CUT)
-    trimmed = F.transform(F.split(t, CUT), lambda x: F.btrim(F.regexp_replace(x, r"\s*\n\s*", " "), F.lit(" \n-*•")))
-    return F.filter(trimmed, lambda x: F.length(x) >= 3)
-
-
-#: Clause strength and actor rules in order; fixed values.
-BUYER_RULE = r"(?i)^\s*the (purchaser|buyer|authority|client|owner|employer)\b"
-DESIRABLE_RULE = r"(?i)\b(preferr?ed|preference|desirable|should|may)\b"
-MANDATORY_RULE = r"(?i)\b(shall|must|mandatory|required|is to be|are to be|not permitted|not allowed)\b"
+    """Split after .!?; before a capital, digit, bracket or quote, at blank lines and before bullets; at least three characters."""
+    t = F.regexp_replace(s, r"([.!?;])\s+(?=[A-Z0-9(\"'])", f"$1{CUT}")
+    t = F.regexp_replace(t, r"\n{2,}", CUT)
+    t = F.regexp_replace(t, r"\n(\s*(?:[-*•▪◦]|\d+[.)])\s)", f"{CUT}$1")
+    trimmed = F.transform(F.split(t, CUT), lambda x: F.btrim(x, F.lit(" \n-*•▪◦")))
+    return F.transform(F.filter(trimmed, lambda x: F.length(x) >= 3), lambda x: F.regexp_replace(x, r"\s*\n\s*", " "))
+
+
+#: Clause strength and actor patterns; fixed values.
+INFORMATION_RULE = (
+    r"(?i)reserves? the right|at (?:its|their) (?:sole )?discretion|hereinafter referred|is (?:hereby )?invit|purchase preference|"
+    r"following (?:criteria|conditions)|are given below|as detailed below")
+DESIRABLE_RULE = (
+    r"(?i)\b(preferabl[ey]|preferred|desirable|preference will be given|is encouraged|optional|advantage|additional marks|"
+    r"may (?:also )?(?:offer|propose|quote|include))\b")
+PROHIBIT_RULE = (
+    r"(?i)\b(?:shall|must|will|should|may)\s+not\b|\bnot (?:be )?(?:permitted|allowed|accepted|entertained|considered)\b|\bare not permitted\b|\bis not allowed\b|"
+    r"^\s*no\s+[a-z -]{1,40}\s+(?:will|shall) be (?:allowed|made|accepted|entertained|paid)")
+MANDATORY_RULE = (
+    r"(?i)\b(shall|must|is required to|are required to|required to|will be required|mandatory|has to|have to|needs? to|should|is to be|are to be|"
+    r"will be (?:levied|forfeited|rejected|treated))\b")
+BUYER_RULE = (
+    r"(?i)^\s*(?:\(?[a-z0-9.]{1,6}\)?\s+)?(?:the\s+)?(purchaser|buyer|university|corporation|department|authority|institute|client|owner|employer|committee|"
+    r"tender inviting authority|competent authority|hospital|council|board|ministry|government|we|our)\b")
+POSSESSIVE = "(?!'s)"
 
 
 def modality(s: Column) -> Column:
-    """``struct(strength, actor)`` of a clause."""
-    buyer = s.rlike(BUYER_RULE)
-    strength = F.when(buyer & s.rlike(r"(?i)reserves? the right"), "information").when(s.rlike(MANDATORY_RULE), "mandatory").when(
-        s.rlike(DESIRABLE_RULE), "desirable").otherwise("information")
-    return F.struct(strength.alias("strength"), F.when(buyer, "buyer").otherwise("bidder").alias("actor"))
-
-
-#: Clause categories in order; fixed values.
+    """``struct(strength, actor)`` of a clause: who must do what, and how strongly.
+
+    Information goes first, then what is desirable, then what must or must not
+    be done. A clause that begins with the buyer is the buyer's, unless bidder
+    or supplier is among its first eight words.
+    """
+    head = fold(F.array_join(F.slice(F.split(F.btrim(s), r"\s+"), 1, 8), " "))
+    buyer = s.rlike(BUYER_RULE + POSSESSIVE) & ~head.contains("bidder") & ~head.contains("supplier")
+    informs, wishes, binds = s.rlike(INFORMATION_RULE), s.rlike(DESIRABLE_RULE), s.rlike(PROHIBIT_RULE) | s.rlike(MANDATORY_RULE)
+    strength = F.when(informs, "information").when(wishes, "desirable").when(binds, "mandatory").otherwise("information")
+    own = informs | (buyer & ~(wishes & F.lower(s).contains("preference")))
+    return F.struct(strength.alias("strength"), F.when(own, "buyer").otherwise("bidder").alias("actor"))
+
+
+#: Section kinds and clause types with their categories, and the words of a category in order; fixed values.
+KIND_CATEGORY = {
+    "eligibility": "eligibility", "technical": "technical", "boq": "technical", "conditions": "legal", "evaluation": "evaluation", "instructions": "submission",
+    "notice": "submission", "forms": "submission",
+}
+CLAUSE_TYPE_CATEGORY = {
+    "delivery": "delivery", "payment": "commercial", "warranty_support": "warranty", "compliance": "standards", "submission": "submission", "evaluation": "evaluation",
+    "scope": "scope", "line_item": "technical",
+}
+DECISIVE_KINDS, FALLBACK_KINDS = ("eligibility", "technical", "boq", "evaluation", "forms"), ("instructions", "notice", "conditions")
 CLAUSE_RULES = [
-    ("eligibility", r"(?i)turnover|net worth|experience|eligib|similar work|blacklist"),
-    ("warranty", r"(?i)warrant|guarantee period|amc"),
-    ("delivery", r"(?i)deliver|install|commission|within \d+ (days|weeks)"),
-    ("standards", r"(?i)\biso\b|\biec\b|\bbis\b|certif|complian"),
-    ("commercial", r"(?i)payment|price|tax|earnest|\bemd\b|security deposit|liquidated|penalt"),
-    ("legal", r"(?i)arbitrat|jurisdiction|indemn|liabilit|terminat|confidential|force majeure"),
+    ("commercial", r"liquidated damages|performance (?:security|bank guarantee)|\bemd\b|earnest money|price variation|prices? (?:shall|will) be firm|\bgst\b|advance (?:payment|bank guarantee)|\bpayment"),
+    ("standards", r"\biso\b|certif(?:ied|ication)|e-waste|energy star|epeat|\bbis\b|data protection|dpdp|gdpr"),
+    ("warranty", r"\bwarrant|helpdesk|help desk|complaints?\b|standby|response time|resolved within|responded to within|onsite engineer|resident engineer|support\b"),
 ]
+DELIVERY_RULE, DELIVERY_TYPES = r"\bdeliver(?:y|ed)?\b|commission|install", ("delivery", "scope", "line_item")
+#: Least confidence of the clause classifier; fixed value.
+CLAUSE_CONFIDENCE = 0.45
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
-def clause_category(s: Column, kind: Column | None = None, confidence: Column | None = None) -> Column:
-    """The first fitting category; a section kind known with confidence 0.6 or more goes first; else scope."""
+def clause_category(s: Column, kind: Column, clause_type: Column, confidence: Column, long_form: Column) -> Column:
+    """Category of a clause (F31): by decisive sections of long documents, commercial, standards and warranty words, other sections, delivery words, the clause type.
+
+    Null kinds and types count as unknown.
+    """
     from bidframe.functions.scalars import first_match
 
-    by_rule = first_match(s, CLAUSE_RULES, "scope")
-    if kind is None:
-        return by_rule
-    sure = F.lit(True) if confidence is None else confidence >= 0.6
-    return F.when(kind.isNotNull() & sure, kind).otherwise(by_rule)
+    low = fold(s)
+    by_words = first_match(low, CLAUSE_RULES)
+    by_type = F.when(confidence >= CLAUSE_CONFIDENCE, F.coalesce(_looked_up(CLAUSE_TYPE_CATEGORY, clause_type), F.lit("scope")))
+    return F.when(long_form & kind.isin(*DECISIVE_KINDS), _looked_up(KIND_CATEGORY, kind)).when(by_words.isNotNull(), by_words).when(
+        long_form & kind.isin(*FALLBACK_KINDS), _looked_up(KIND_CATEGORY, kind)).when(low.rlike(DELIVERY_RULE) & clause_type.isin(*DELIVERY_TYPES), "delivery").otherwise(F.coalesce(by_type, F.lit("scope")))
 
 
 #: Product words by category; fixed values.
@@ -182,17 +233,23 @@ def warranty_by_category(s: Column) -> Column:
     return F.map_from_entries(first)
 
 
+#: Words of a business segment that stand for others, and words without weight; fixed values.
+SEGMENT_SYNONYMS = {
+    "computer": "it", "computers": "it", "ict": "it", "information": "it", "hardware": "hardware", "sale": "supply", "sales": "supply", "trading": "supply", "supplies": "supply",
+}
+SEGMENT_STOP = ("of", "the", "and", "from", "in", "for", "technology", "products", "equipment")
+
+
 def same_segment(asked: Column, held: Column) -> Column:
-    """Token sets after synonyms: one contains the other, or they share two words."""
-    synonyms = {"educational": "education", "university": "education", "college": "education", "school": "education", "govt": "government", "hospital": "healthcare"}
+    """Sets of words after synonyms: one contains the other, or they share two words; nothing asked for is never the same."""
 
     def words(s: Column) -> Column:
-        table = F.create_map(*(F.lit(x) for kv in synonyms.items() for x in kv))
-        return F.array_distinct(F.transform(tokens(s), lambda w: F.coalesce(F.try_element_at(table, w), w)))
+        kept = F.filter(F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0)), lambda w: ~w.isin(*SEGMENT_STOP))
+        return F.array_distinct(F.transform(kept, lambda w: F.coalesce(_looked_up(SEGMENT_SYNONYMS, w), w)))
 
     a, b = words(asked), words(held)
     shared = F.size(F.array_intersect(a, b))
-    return (shared > 0) & ((shared == F.size(a)) | (shared == F.size(b)) | (shared >= 2))
+    return (F.size(a) > 0) & ((shared == F.size(a)) | (shared == F.size(b)) | (shared >= 2))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -10,10 +10,12 @@ from bidframe.functions.text import fold, line_shape, sentences, warranty_months
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?:\+|00)[0-9][0-9 ().-]{7,}[0-9]"
-#: Buyer segments by words of the name or text, in order; fixed values.
+#: Buyer segments by cues in the name, then in the text, in order; fixed values.
 SEGMENT_RULES = [
-    ("education", r"(?i)universit|college|school|institute|academy|campus"), ("healthcare", r"(?i)hospital|clinic|health|medical"),
-    ("public", r"(?i)ministry|municipal|government|authority|corporation of|department|council"), ("enterprise", r"(?i)\b(ltd|limited|gmbh|inc|plc|llc|corp|ag)\b"),
+    ("education", r"(?i)\b(universit\w*|college|school|institute of technology|academy|campus|students?)\b"),
+    ("healthcare", r"(?i)\b(hospital|health\w*|medical|clinic\w*|patients?)\b"),
+    ("public", r"(?i)\b(municipal\w*|city of|council|ministry|government|authority|public sector|department of|district|smart city|nagar|zilla|parishad|panchayat|\bpsu\b|development corporation)\b"),
+    ("enterprise", r"(?i)\b(enterprise|group|corporation|multinational|global operations|\d{4,}\s+employees)\b"),
 ]
 #: Delivery terms; fixed values.
 INCOTERMS = "EXW FCA FAS FOB CFR CIF CPT CIP DAP DPU DDP"
@@ -89,11 +91,11 @@ def extract_terms(docs: DataFrame) -> DataFrame:
 
 
 def infer_segment(name: Column, text: Column | None = None) -> Column:
-    """Buyer segment by the name, then by the first 4000 characters; else smb (TX12)."""
+    """Buyer segment by the name, then by cues in the text; else smb (TX12). The caller cuts the text where only its head counts."""
     by_name = first_match(name, SEGMENT_RULES)
     if text is None:
         return F.coalesce(by_name, F.lit("smb"))
-    return F.coalesce(by_name, first_match(F.substring(text, 1, 4000), SEGMENT_RULES), F.lit("smb"))
+    return F.coalesce(by_name, first_match(text, SEGMENT_RULES), F.lit("smb"))
 
 
 #: Words that make a number a specification, not a quantity; fixed values.
@@ -173,6 +175,20 @@ def leak_check(texts: DataFrame, forbidden: list[str], allowed: Column | None =
     return texts.withColumn("terms", terms).withColumn("amounts", odd).where((F.size("terms") > 0) | (F.size("amounts") > 0))
 
 
+def content_digest(docs: DataFrame, keys: list[str], text: str = "text", digits: int = 3) -> DataFrame:
+    """``keys, digest``: one digest of all whole texts of a key, whatever their order (F28 for sets of any size).
+
+    Texts are hashed in their row and equal ones counted; the hashes of a key
+    are digested in order by blocks of their first ``digits`` hex digits, then
+    the blocks' digests in order. So no group holds a text, and a hot key
+    meets in 16^digits bounded blocks first. Null texts count as empty.
+    """
+    counted = docs.select(*keys, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h")).groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.concat_ws(":", F.col("_h"), F.col("_n").cast("string"))
+    blocks = counted.groupBy(*keys, F.left("_h", F.lit(digits)).alias("_b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ","), 256).alias("_d"))
+    return blocks.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "_b", "_d"))), ","), 256).alias("digest"))
+
+
 def section_owner(blocks: DataFrame) -> DataFrame:
     """Each block with the last heading above it; text before the first heading has none (W15). Rows: doc_id, pos, level (null: text), title."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

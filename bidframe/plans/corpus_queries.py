@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidframe.functions import scalars, text
+from bidframe.functions import text
 from bidframe.operators import corpus, ledger, retrieval
 from bidframe.plans.bindings import table
 from bidframe.plans.queries import query
@@ -43,8 +43,10 @@ def q_stem(spark, d):
     return words.withColumn("stem", text.stem(F.col("token")))
 
 
-_SENT = ("list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?;])\\s+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), '\\n\\s*\\n', chr(30), 'g'), '\\n\\s*([-*•]|\\d+[.)])\\s+', chr(30), 'g'), chr(30)), "
-         "lambda x: trim(regexp_replace(x, '\\s*\\n\\s*', ' ', 'g'), ' ' || chr(10) || '-*•')), lambda x: length(x) >= 3)")
+_W = "[ \\t\\n\\x0B\\f\\r]"
+# DuckDB's expressions look ahead by none: the sign after the gap is put back
+_SENT = (f"list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?;]){_W}+([A-Z0-9(\"''])', '\\1' || chr(30) || '\\2', 'g'), '\\n{{2,}}', chr(30), 'g'), '\\n({_W}*([-*•▪◦]|[0-9]+[.)]){_W})', chr(30) || '\\1', 'g'), chr(30)), "
+         f"lambda x: trim(x, ' ' || chr(10) || '-*•▪◦')), lambda x: length(x) >= 3), lambda x: regexp_replace(x, '{_W}*\\n{_W}*', ' ', 'g'))")
 
 
 @query("sentences", f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents) SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS digest FROM s WHERE len(s) > 0")
@@ -68,10 +70,15 @@ def q_contacts(spark, d):
 _FORBIDDEN = ["idiot", "token = ", "licensed under"]
 
 
-@query("leak_check", f"WITH c AS (SELECT doc_id, list_filter([{', '.join(repr(t) for t in _FORBIDDEN)}], lambda t: contains(lower(text), t)) AS terms FROM documents) SELECT doc_id, array_to_string(terms, ',') AS terms FROM c WHERE len(terms) > 0")
+# each document may name the value of the order of its number
+@query("leak_check", f"""WITH a AS (SELECT doc_id, text, list_filter([{', '.join(repr(t) for t in _FORBIDDEN)}], lambda t: contains(lower(text), t)) AS terms,
+list_filter(list_transform(regexp_extract_all(text, '\\b[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: try_cast(replace(x, ',', '') AS DOUBLE)), lambda x: x >= 10000 AND NOT coalesce(abs(x - o_totalprice) <= 1, false)) AS amounts
+FROM documents LEFT JOIN orders ON o_orderkey = doc_id)
+SELECT doc_id, array_to_string(terms, ',') AS terms, len(amounts)::INT AS amounts, list_max(amounts) AS largest FROM a WHERE len(terms) > 0 OR len(amounts) > 0""")
 def q_leak(spark, d):
-    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"\d", ""))
-    return corpus.leak_check(docs, _FORBIDDEN).select("doc_id", F.array_join("terms", ",").alias("terms"))
+    value = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.array("o_totalprice").alias("allowed"))
+    docs = table(spark, d, "documents").join(value, "doc_id", "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<double>")))
+    return corpus.leak_check(docs, _FORBIDDEN, F.col("allowed")).select("doc_id", F.array_join("terms", ",").alias("terms"), F.size("amounts").alias("amounts"), F.array_max("amounts").alias("largest"))
 
 
 @query("page_chunks")
@@ -89,14 +96,20 @@ def q_boilerplate(spark, d):
     return corpus.strip_boilerplate(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("infer_segment", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)universit|college|school|institute|academy|campus') THEN 'education' WHEN regexp_matches(p_name, '(?i)hospital|clinic|health|medical') THEN 'healthcare' WHEN regexp_matches(p_name, '(?i)ministry|municipal|government|authority|corporation of|department|council') THEN 'public' WHEN regexp_matches(p_name, '(?i)\\b(ltd|limited|gmbh|inc|plc|llc|corp|ag)\\b') THEN 'enterprise' ELSE 'smb' END AS segment FROM part")
+_SEGMENTS = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{s}'" for s, p in corpus.SEGMENT_RULES) + " END"
+
+
+@query("infer_segment", f"WITH n AS (SELECT s_suppkey, {_SEGMENTS} AS s FROM (SELECT s_suppkey, s_name AS t FROM supplier)), b AS (SELECT doc_id, {_SEGMENTS} AS s FROM (SELECT doc_id, text AS t FROM documents)) "
+       "SELECT doc_id, coalesce(n.s, b.s, 'smb') AS segment FROM b LEFT JOIN n ON s_suppkey = doc_id")
 def q_segment(spark, d):
-    return table(spark, d, "part").select("p_partkey", corpus.infer_segment(F.col("p_name")).alias("segment"))
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_name")
+    return table(spark, d, "documents").join(names, "doc_id", "left").select("doc_id", corpus.infer_segment(F.col("s_name"), F.col("text")).alias("segment"))
 
 
-@query("content_fingerprint", "SELECT source, sha1(string_agg(left(text, 20), chr(31) ORDER BY left(text, 20))) AS digest FROM documents GROUP BY 1")
+@query("content_fingerprint", """WITH h AS (SELECT source, sha256(coalesce(text, '')) AS h, count(*) AS n FROM documents GROUP BY 1, 2),
+b AS (SELECT source, left(h, 3) AS b, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS d FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(b || ':' || d, ',' ORDER BY b)) AS digest FROM b GROUP BY 1""")
 def q_fingerprint(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(scalars.content_fingerprint(F.collect_list(F.substring("text", 1, 20))).alias("digest"))
+    return corpus.content_digest(table(spark, d, "documents"), ["source"])
 
 
 _BM = f"""p AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS t FROM documents) GROUP BY 1, 2), ln AS (SELECT doc_id, len({_tokens_sql('text')}) AS len FROM documents),
@@ -173,5 +186,5 @@ def q_lsa(spark, d):
 def q_classifier(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = ledger.split_by_group(docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id"), "doc_id")
-    model = ledger.fit_text_classifier(rows.where("NOT held_out"), vocabulary=5000)
+    model = ledger.fit_text_classifier(rows.where("NOT held_out"))
     return ledger.predict_distribution(model, rows.where("held_out")).select("doc_id", "label", "prediction", "confidence")

@@ -40,9 +40,9 @@ def q_scenarios(spark, d):
     return pricing.price_scenarios(_optimised(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("no_market_price", f"WITH {cte('lines', 'products')}, {TIER_SQL} SELECT bid_id, line_no, standard_price AS price, 0.5::DOUBLE AS win_probability FROM cl WHERE sku NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 50 = 7)")
+@query("no_market_price", f"WITH {cte('lines', 'products', 'observations')}, {TIER_SQL} SELECT bid_id, line_no, standard_price AS price, 0.5::DOUBLE AS win_probability FROM cl WHERE sku NOT IN (SELECT mpn FROM observations WHERE observed_on BETWEEN DATE '1999-06-01' - 180 AND DATE '1999-06-01')")
 def q_no_market(spark, d):
-    offers = bound(spark, d, "observations").where("competitor_id % 50 = 7").select("mpn")
+    offers = market.fresh_observations(bound(spark, d, "observations"), bound(spark, d, "products"), F.lit("1999-06-01").cast("date")).select("mpn")
     return pricing.no_market_price(_costed(spark, d).drop("mpn"), offers).select("bid_id", "line_no", "price", "win_probability")
 
 
