@@ -66,8 +66,8 @@ def turnover_check(turnover: DataFrame, criteria: DataFrame) -> DataFrame:
 def similar_works_check(cred: DataFrame, options: DataFrame) -> DataFrame:
     """An option asks for ``n`` works of at least ``threshold``; the first satisfied one wins.
 
-    Works are counted by value bands of the options, so each work meets each
-    option of its bid once in an aggregation with map-side combine.
+    Each work meets the few options of its own bid, and the pairs are counted
+    with map-side combine.
     """
     counts = options.join(cred, "bid_id", "left").groupBy("bid_id", "option_no", "n", "threshold").agg(F.sum(F.coalesce((F.col("value") >= F.col("threshold")).cast("long"), F.lit(0))).alias("works"))
     return counts.groupBy("bid_id").agg(F.min(F.when(F.col("works") >= F.col("n"), F.col("option_no"))).alias("option_no")).withColumn(
