@@ -253,7 +253,7 @@ def match_catalogue(hits: DataFrame, k: int = 4) -> DataFrame:
     base = F.when(F.col("fit").isNull(), F.col("score")).otherwise(0.6 * F.col("score") + 0.4 * F.col("fit")) + brand
     weight = 0.55 + 0.45 * F.least(F.lit(1.0), F.col("p_category") / F.col("p_top"))
     w = Window.partitionBy("query_id").orderBy(F.desc("match"), "doc_id")
-    return hits.withColumn("match", F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * weight))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.withColumn("match", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * weight)), 9)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def amounts(units: DataFrame) -> DataFrame:
