@@ -10,9 +10,9 @@ overflowed leave, and a block with no row left is abandoned. A block yields a
 spanning forest of its links, so a group of m copies yields m - 1 rows.
 Large blocks are cut into tiles and compared tile by tile.
 
-``near_components`` takes close fingerprints for candidates only and verifies
-them by the exact Jaccard similarity of their shingles, in rounds that test
-more and more candidates of the nodes that are still in different components.
+``near_components`` takes close fingerprints for candidates only. Components of
+candidates are gathered with their shingle sets, and the exact Jaccard
+similarity decides inside them which candidates are linked.
 """
 
 from __future__ import annotations
@@ -93,7 +93,8 @@ def _prints(shingle: int, bits: int, distinct: bool, bands: int, rows: int):
                 blocks.append(min_blocks(h, bands, rows) if bands else [])
                 counts.append(len(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.string()), pa.array(blocks, pa.list_(pa.int64())), pa.array(counts, pa.int64())], ["doc_id", "fingerprint", "blocks", "shingles"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(prints, pa.string()), pa.array(blocks, pa.list_(pa.int64())), pa.array(counts, pa.int64())],
+                ["doc_id", "text_key", "fingerprint", "blocks", "shingles"])
 
     return work
 
@@ -155,35 +156,50 @@ def forest(m: int, rows: np.ndarray, words: np.ndarray, at_once: int = 128) -> n
     return label
 
 
-def _links(radius: int):
-    def compare(nodes: list[int], prints: list[bytes]) -> tuple[list[int], list[int]]:
-        order = np.argsort(np.array(nodes, np.int64), kind="stable")
-        ids = np.array(nodes, np.int64)[order]
-        data = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)[order]
-        label = forest(len(ids), *close_rows(data, radius))
+def of_like_size(rows: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``words`` without the links whose numbers of shingles exclude a Jaccard similarity of 0.8."""
+    out = np.empty_like(words)
+    for at in range(0, len(rows), 128):
+        own = size[rows[at : at + 128]][:, None]
+        bits = np.unpackbits(words[at : at + 128].view(np.uint8), axis=1, bitorder="little")
+        bits[:, : len(size)] &= 5 * np.minimum(own, size) >= 4 * np.maximum(own, size)
+        out[at : at + 128] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def _links(radius: int, sized: bool = False):
+    columns = ["cell", "node", "fingerprint", *["shingles"] * sized]
+
+    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        ids = np.array([r[0] for r in rows], np.int64)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        data = np.frombuffer(bytes.fromhex("".join(r[1] for r in rows)), np.uint8).reshape(len(rows), -1)[order]
+        close, words = close_rows(data, radius)
+        if sized:
+            words = of_like_size(close, words, np.array([r[2] for r in rows], np.int64)[order])
+        label = forest(len(ids), close, words)
         moved = ids[label] != ids
         return ids[moved].tolist(), ids[label][moved].tolist()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: list[int] = []
-        prints: list[bytes] = []
-        full, last = 0, None  # rows of whole blocks; the block being read
+        held: list[tuple] = []  # rows of whole blocks
+        last = None  # the block being read
 
-        def out(n: int) -> pa.RecordBatch:
-            u, v = compare(nodes[:n], prints[:n])
-            del nodes[:n], prints[:n]
+        def out() -> pa.RecordBatch:
+            u, v = compare(held)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for cell, node, fp in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "fingerprint"))):
+            for cell, *row in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if cell != last:
-                    if len(nodes) >= GATHER:
-                        yield out(len(nodes))
+                    if len(held) >= GATHER:
+                        yield out()
                     last = cell
-                nodes.append(node)
-                prints.append(bytes.fromhex(fp))
-        if nodes:
-            yield out(len(nodes))
+                held.append(row)
+        if held:
+            yield out()
 
     return work
 
@@ -212,58 +228,9 @@ def links(blocks: DataFrame, radius: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bool = False, bands: int = 0, rows: int = 2) -> DataFrame:
-    """``doc_id, fingerprint`` (hex), minimum-hash ``blocks`` and the number of ``shingles``, written."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return written(docs.mapInArrow(_prints(shingle, bits, distinct, bands, rows), "doc_id long, fingerprint string, blocks array<long>, shingles long"), "prints")
-
-
-def _candidates(radius: int, low: int, high: int):
-    """Of each row's later rows in its cell that may be similar, those ranked ``low`` to ``high`` whose labels differ.
-
-    Rows out: ``(cell, u, v)`` a candidate; ``(cell, u, null)`` a node that has
-    candidates of any rank (first round); ``(cell, null, null)`` a cell that
-    holds candidates of higher ranks. Ranks depend on the cell alone.
-    """
-
-    def compare(rows: list[tuple]) -> Iterator[tuple]:
-        rows.sort()
-        cell, node, size, label = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3, 4))
-        data = np.frombuffer(bytes.fromhex("".join(r[2] for r in rows)), np.uint8).reshape(len(rows), -1)
-        close, words = close_rows(data, radius)
-        touched, more = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-        for at in range(0, len(close), 128):
-            i = close[at : at + 128]
-            may = np.unpackbits(words[at : at + 128].view(np.uint8), axis=1, bitorder="little")[:, : len(rows)].astype(bool)
-            may &= (cell[i][:, None] == cell) & (node[i][:, None] != node)
-            may &= 5 * np.minimum(size[i][:, None], size) >= 4 * np.maximum(size[i][:, None], size)
-            touched |= may.any(axis=0)
-            touched[i] |= may.any(axis=1)
-            rank = np.cumsum(may, axis=1, dtype=np.int32)
-            may &= label[i][:, None] != label
-            more[i] |= (may & (rank > high)).any(axis=1)
-            u, v = np.nonzero(may & (rank > low) & (rank <= high))
-            yield from zip(cell[i[u]].tolist(), node[i[u]].tolist(), node[v].tolist())
-        if not low:
-            yield from ((c, u, None) for c, u in zip(cell[touched].tolist(), node[touched].tolist()))
-        yield from ((c, None, None) for c in set(cell[more].tolist()))
-
-    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = compare(rows)
-        while part := list(itertools.islice(found, 1 << 16)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], ["cell", "u", "v"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "fingerprint", "shingles", "label"))):
-                if len(rows) >= GATHER and row[0] != rows[-1][0]:
-                    yield from out(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from out(rows)
-
-    return work
+    """``doc_id``, ``text_key`` (hash of the text), ``fingerprint`` (hex), minimum-hash ``blocks`` and the number of ``shingles``, written."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
+    return written(docs.mapInArrow(_prints(shingle, bits, distinct, bands, rows), "doc_id long, text_key long, fingerprint string, blocks array<long>, shingles long"), "prints")
 
 
 def _shingle_sets(shingle: int):
@@ -272,45 +239,101 @@ def _shingle_sets(shingle: int):
             for at in range(0, len(batch), 256):  # sets are larger than their texts
                 part = batch.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in part.column("text").cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), pa.array(sets, pa.list_(pa.int64()))], ["node", "component", "set"])
 
     return work
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share (above the diagonal)."""
+    m = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    cuts = np.nonzero(np.concatenate(([True], values[1:] != values[:-1])))[0] if len(values) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(cuts, len(values)))
+    counts = np.zeros(m * m)
+    for k in range(2, min(16, m) + 1):  # elements of few sets: pair by pair
+        at = cuts[sizes == k]
+        if len(at):
+            own = owner[at[:, None] + np.arange(k)]
+            for i, j in itertools.combinations(range(k), 2):
+                counts += np.bincount(own[:, i] * m + own[:, j], minlength=m * m)
+    counts = counts.reshape(m, m)
+    many = np.nonzero(sizes > 16)[0]
+    for at in range(0, len(many), 2048):  # elements of many sets: as products of a membership table
+        part = many[at : at + 2048]
+        rows = np.repeat(np.arange(len(part)), sizes[part])
+        places = np.repeat(cuts[part] - np.cumsum(sizes[part]) + sizes[part], sizes[part]) + np.arange(sizes[part].sum())
+        table = np.zeros((m, len(part)), np.float32)
+        table[owner[places], rows] = 1
+        counts += table @ table.T
+    return counts
+
+
+def similar_labels(sets: list[np.ndarray]) -> np.ndarray:
+    """The first set that each set reaches over links of a Jaccard similarity of 0.8 or more."""
+    size = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if 9 * shared >= 4 * size.sum() else 1])
+    linked = np.triu(9 * shared_counts(sets) >= 4 * (size[:, None] + size), 1)
+    width = -(-len(sets) // 64) * 64
+    bits = np.zeros((len(sets), width), np.uint8)
+    bits[:, : len(sets)] = linked
+    return forest(len(sets), np.arange(len(sets)), np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(part, node, set)`` by part and node; out come the links ``(u, v)`` of each node to the first one it reaches."""
+    last, nodes, sets = None, [], []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if len(nodes) > 1:
+            ids = np.array(nodes, np.int64)
+            label = similar_labels(sets)
+            moved = label != np.arange(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label][moved])], ["u", "v"])
+
+    for batch in batches:
+        column = batch.column("set")
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        for part, node, a, z in zip(batch.column("part").to_pylist(), batch.column("node").to_pylist(), [0, *ends], ends):
+            if part != last:
+                yield from out()
+                last, nodes, sets = part, [], []
+            nodes.append(node)
+            sets.append(flat[a:z].copy())
+    yield from out()
+
+
+def _verify(rows: DataFrame) -> DataFrame:
+    return written(rows.select("part", "node", "set").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_verified, "u long, v long"), "verified")
+
+
 def similar_components(docs: DataFrame, blocks: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """``(node, component)`` of the links of exact Jaccard 0.8 or more among the nodes that share a block.
-
-    ``blocks`` has ``block``, ``node``, ``fingerprint`` and ``shingles``. A pair
-    is tested if its fingerprints lie within ``radius`` bits and its numbers of
-    shingles allow 0.8. Round k tests up to 4^k candidates of each node whose
-    component still differs, so that what a rejected candidate held together is
-    tested again, and a group of copies costs few tests. Rounds end when no
-    cell has untested candidates between components.
+    """``(node, component)`` of the links of exact Jaccard 0.8 or more among candidates that share a block; nodes without links are left out.
+
+    ``blocks`` has ``block``, ``node``, ``fingerprint`` and ``shingles``; the
+    ids of ``docs`` are nodes. Nodes of a block are candidates if their
+    fingerprints lie within ``radius`` bits and their numbers of shingles allow
+    0.8. A component of candidates of at most ``TILE`` nodes meets in one task
+    with its shingle sets. Of a larger one the nodes meet block by block, by
+    pairs of tiles, and the links of all blocks give the components.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    rows = written(_cells(blocks), "cells")
-    labels, accepted, sets, low, high = None, None, None, 0, 1
-    while True:
-        labelled = rows.withColumn("label", F.col("node")) if labels is None else (
-            rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-        ordered = labelled.select("cell", "node", "fingerprint", "shingles", "label").repartition("cell").sortWithinPartitions("cell")
-        found = written(ordered.mapInArrow(_candidates(radius, low, high), "cell long, u long, v long"), "candidates")
-        if sets is None:
-            touched = found.where("u IS NOT NULL AND v IS NULL").select(F.col("u").alias("doc_id")).distinct()
-            sets = written(docs.join(touched.hint("merge"), "doc_id", "left_semi").mapInArrow(_shingle_sets(shingle), "doc_id long, shingles array<long>"), "sets")
-        pairs = found.where("v IS NOT NULL").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-        right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-        shared = F.size(F.array_intersect("a", "b"))
-        verified = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
-        verified = written(verified, "verified")
-        accepted = verified if accepted is None else accepted.unionByName(verified)
-        labels = written(components(accepted), "labels")
-        again = found.where("u IS NULL").select("cell").distinct()
-        if again.isEmpty():
-            return labels
-        rows = written(rows.join(again.hint("merge"), "cell", "left_semi"), "cells")
-        low, high = high, high * 4
+    cells = written(_cells(blocks), "cells")
+    close = cells.select("cell", "node", "fingerprint", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius, True), "u long, v long")
+    maybe = written(components(written(close, "close")), "maybe")
+    sizes = written(maybe.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("text")).join(maybe.hint("merge"), "node")
+    sets = written(texts.select("node", "component", "text").mapInArrow(_shingle_sets(shingle), "node long, component long, set array<long>"), "sets")
+    links = _verify(sets.join(sizes.where(F.col("m") <= TILE).hint("merge"), "component", "left_semi").withColumn("part", F.col("component")))
+    large = sizes.where(F.col("m") > TILE).select("component")
+    if not large.isEmpty():
+        hot = sets.join(large.hint("merge"), "component", "left_semi")
+        by_cell = components(_verify(cells.select(F.col("cell").alias("part"), "node").join(hot.hint("merge"), "node")))
+        links = links.unionByName(by_cell.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
 def band_blocks(classes: DataFrame, bits: int, radius: int) -> DataFrame:
@@ -347,6 +370,20 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 64, radius
     return _labelled(prints, classes, components(written(close, "close")))
 
 
+def _near_labels(docs: DataFrame, shingle: int, bits: int, radius: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, text_key, fingerprint, component`` (a number) for each row of ``docs``."""
+    prints = fingerprints(docs, shingle, bits, True, bands, rows)
+    own = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("own")
+    classes = prints.groupBy("fingerprint").agg(own, F.first("blocks").alias("blocks"), F.first("shingles").alias("shingles"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "fingerprint", "own.doc_id", "own.text_key", "blocks", "shingles"), "classes")
+    keys = classes.select("node", F.col("doc_id").alias("d"), F.col("text_key").alias("k")).hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    texts = texts.join(keys, texts.doc_id.eqNullSafe(F.col("d")) & (F.xxhash64(texts.text) == F.col("k"))).select(F.col("node").alias("doc_id"), "text")
+    found = written(similar_components(texts, classes.select(F.explode("blocks").alias("block"), "node", "fingerprint", "shingles"), shingle, radius), "found")
+    labels = classes.join(found.hint("merge"), "node", "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", "node").alias("component"))
+    return prints.join(labels.hint("merge"), prints.fingerprint == F.col("f")).select("doc_id", "text_key", "fingerprint", "component")
+
+
 def near_components(docs: DataFrame, shingle: int = 5, bits: int = 512, radius: int = 150, bands: int = 8, rows: int = 2) -> DataFrame:
     """Components of the documents linked by a Jaccard similarity of 0.8 or more of their ``shingle``-word shingles.
 
@@ -360,19 +397,23 @@ def near_components(docs: DataFrame, shingle: int = 5, bits: int = 512, radius:
     (1 - s^rows)^bands, 0.0003 at 0.8. Texts of equal fingerprint are one node.
     Returns ``doc_id, fingerprint, component_id`` as ``simhash_components`` does.
     """
-    prints = fingerprints(docs, shingle, bits, True, bands, rows)
-    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("blocks").alias("blocks"), F.first("shingles").alias("shingles")), "classes")
-    blocks = classes.where("node IS NOT NULL").select(F.explode("blocks").alias("block"), "node", "fingerprint", "shingles")
-    return _labelled(prints, classes, similar_components(docs, blocks, shingle, radius))
+    found = written(_near_labels(docs, shingle, bits, radius, bands, rows), "labels")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least.hint("merge"), "component").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest ``doc_id``, with all its columns.
+def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = 512, radius: int = 150, bands: int = 8, rows: int = 2) -> DataFrame:
+    """One row of each group of near copies (see ``near_components``), with all its columns, whatever their names.
 
-    Rows with a null ``doc_id`` stay. Of rows that share a ``doc_id``, one stays.
+    The row with the smallest ``doc_id`` stays; null ids come last, and of
+    equal ids the text with the smallest hash is first, so no text is lost to
+    another one of the same id. Repeated rows are copies. Null and empty texts
+    are copies of each other. Texts of any length are read whole. No rows give
+    no rows.
     """
-    gone = near_components(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = written(gone, "gone").hint("merge")
-    kept = docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
-    numbered = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return numbered.unionByName(kept.where("doc_id IS NULL"))
+    found = _near_labels(docs, shingle, bits, radius, bands, rows)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("own"))
+    kept = written(kept.select(F.col("own.doc_id").alias("keep_id"), F.col("own.text_key").alias("keep_key")), "kept").hint("merge")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    whole = whole.join(kept, whole.id.eqNullSafe(F.col("keep_id")) & (whole.key == F.col("keep_key")), "left_semi")
+    return whole.dropDuplicates(["id", "key"]).select("row.*")

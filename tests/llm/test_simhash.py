@@ -171,3 +171,53 @@ def test_rejected_candidates_are_replaced_by_others(spark):
     blocks = spark.createDataFrame([(b, d, print_, len(s)) for b in (1, 2) for d, s in sets.items()], "block long, node long, fingerprint string, shingles long")
     found = {r.node: r.component for r in similar_components(documents(spark, list(texts.items())), blocks, 5, 150).collect()}
     assert found == {d: d % 4 for d in texts}
+
+
+def test_shared_counts():
+    from bidframe.llm.simhash import shared_counts, similar_labels
+
+    rng = np.random.default_rng(3)
+    for m, top in ((2, 40), (5, 60), (40, 80), (90, 300)):
+        sets = [np.unique(rng.integers(0, top, rng.integers(0, 120))) for _ in range(m)]
+        want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+        assert (np.triu(shared_counts(sets), 1) == np.triu(want, 1)).all()
+        links = {i: i for i in range(m)}
+        for _ in range(m):
+            for i in range(m):
+                for j in range(m):
+                    if 9 * want[i][j] >= 4 * (len(sets[i]) + len(sets[j])):
+                        links[i] = links[j] = min(links[i], links[j])
+        assert similar_labels(sets).tolist() == [links[i] for i in range(m)]
+
+
+def test_large_candidate_components(spark, monkeypatch):
+    import bidframe.llm.simhash as module
+
+    monkeypatch.setattr(module, "TILE", 6)
+    rng = random.Random(13)
+    base = [f"u{k}" for k in range(120)]
+    texts = {}
+    for d in range(40):  # families at a similarity of about 0.75 of one another
+        w = list(base)
+        family = d % 4
+        w[20 * family : 20 * family + 6] = [f"f{family}-{k}" for k in range(6)]
+        w[rng.randrange(100, 120)] = f"own{d}"
+        texts[d] = " ".join(w)
+    sets = {d: shingled(t) for d, t in texts.items()}
+    label = {d: d for d in sets}
+    for _ in range(40):
+        for i in sets:
+            for j in sets:
+                if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert 1 < len(set(label.values())) < 40
+    got = {r.doc_id: r.component_id for r in near_components(documents(spark, list(texts.items())), bands=24, rows=1).collect()}
+    assert got == label
+
+
+def test_rows_that_share_an_id_are_not_lost(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (1, "q r s t u v"), (1, "q r s t u v"), (None, "a b c d e f"), (None, "x y z"), (2, None), (3, "")]).withColumnRenamed("lang", "node").withColumnRenamed("source", "component")
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (1, "q r s t u v"), (None, "x y z"), (2, None)], key=str)
+    assert drop_near_copies(documents(spark, [])).count() == 0
