@@ -6,7 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
-from bidframe.llm.toxicity import LETTERS, Reader, decode, drop_toxic, language_model, score_documents
+from bidframe.llm.toxicity import (
+    DROP_PRICE, LETTERS, READINGS, REPEAT_PRICE, SEPARATORS, SIGN_PRICE, SIGNS, Reader, decode, drop_toxic, language_model, letter_model, readings, readings_cost, restored, scanned, score_documents)
 
 from .helpers import documents
 
@@ -83,3 +84,63 @@ def test_empty_tables(spark):
     assert score_documents(documents(spark, []), none).count() == 0
     got = score_documents(documents(spark, [(1, "a b")]), none).collect()
     assert [(r.doc_id, r.score) for r in got] == [(1, 0.5)]
+
+
+def all_readings(token, model):
+    """Every way to read a token with its price and cost, by brute force."""
+    found = {}
+
+    def walk(i, text, price):
+        if i == len(token):
+            cost = readings_cost(text, model)
+            if text not in found or price + cost < sum(found[text]):
+                found[text] = (price, cost)
+            return
+        c = token[i]
+        if c in SIGNS:
+            for x in SIGNS[c]:
+                walk(i + 1, text + x, price + SIGN_PRICE)
+            if i + 1 == len(token) and c in "!|+(":
+                walk(i + 1, text, price)
+        elif c in SEPARATORS:
+            walk(i + 1, text, price + DROP_PRICE)
+        elif c.isalpha():
+            walk(i + 1, text + c, price)
+        else:
+            walk(i + 1, text, price + 2 * DROP_PRICE)
+        if i and token[i - 1] == c and c not in SEPARATORS and (c in SIGNS or c.isalpha()):
+            walk(i + 1, text, price + REPEAT_PRICE)
+
+    walk(0, "", 0.0)
+    return sorted((sum(v), k) for k, v in found.items())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_decoding_matches_all_readings(model, seed):
+    rng, table = random.Random(seed), model.tolist()
+    for _ in range(60):
+        token = "".join(rng.choice("iiddott0156!|.-@é") for _ in range(rng.randint(1, 9)))
+        want = all_readings(token, table)
+        got = readings(token, table)
+        assert len(got) == min(READINGS, len(want))
+        assert np.allclose([p + c for p, c, _ in got], [x for x, _ in want[: len(got)]])
+        assert abs(readings_cost(decode(token, table), table) + got[0][0] - want[0][0]) < 1e-9
+
+
+def test_word_table_decides_between_readings(spark):
+    rows = [(d, "the sill is by the dill and the till") for d in range(50)] + [(100, "a d1ll and a s1ll"), (101, "a xzg6q"), (102, "")]
+    scan = scanned(documents(spark, rows))
+    found = {(r.token, r.word) for r in restored(scan, letter_model(scan)).collect()}
+    assert {("d1ll", "dill"), ("s1ll", "sill")} <= found
+    more = scanned(documents(spark, rows + [(d, f"word{d % 7}x new{'a' * (d % 5)}b") for d in range(200, 240)]))
+    assert more.count() > scan.count()  # the table grows with the corpus
+
+
+def test_clashing_columns_and_repeats(spark):
+    rows, labels = corpus(300)
+    table = spark.createDataFrame([(d, q, t, "x") for d, q, t in labels], "doc_id long, quality int, toxic int, text string")
+    docs = documents(spark, rows + [rows[0], (None, None), (None, "idiot moron stupid")]).withColumnRenamed("lang", "row").withColumnRenamed("source", "toxic").withColumnRenamed("n_chars", "words")
+    got = score_documents(docs, table).collect()
+    assert len(got) == len(rows) + 3
+    kept = drop_toxic(docs, table)
+    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
