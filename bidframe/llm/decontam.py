@@ -7,6 +7,11 @@ A run of matches on one diagonal (document position less item position) is
 one occurrence; it counts if its slots are consistent: each value of the item
 stands for one value of the document (two values may become equal). A document leaks an item
 if consistent occurrences cover enough of the item's windows.
+
+A capitalised word inside a sentence is a name. At the start of a text, line
+or sentence it may be a name or any word, so windows with such a word have
+two readings, with the word as a name and as it stands; windows match if they
+share a reading.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from pyspark.sql import functions as F
 
 from bidframe.llm._common import written
 
-#: Marks of number, unit and name slots, from the private use area.
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+#: Marks of number, unit and name slots and of capitalised words that may be names, from the private use area.
+NUMBER, UNIT, NAME, START = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Units that are slots after a number; fixed values.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ounce ounces gram grams kilogram kilograms "
@@ -33,21 +38,37 @@ def template_tokens(text: F.Column) -> F.Column:
     """Lower-case tokens; slot tokens carry their mark before their value."""
     t = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)", f"{START}$1")
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{N}+)(?:[.,](\p{N}+))?(?:[.,](\p{N}+))?", f"{NUMBER}$1_$2_$3")
     t = F.regexp_replace(t, rf"({NUMBER}[\p{{N}}_]+[ -]?)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{NUMBER}{UNIT}{NAME}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{NUMBER}{UNIT}{NAME}{START}]+"), lambda x: x != "")
+
+
+def _mark(token: F.Column) -> F.Column:
+    return F.substring(token, 1, 1)
 
 
 def _is_slot(token: F.Column) -> F.Column:
-    return F.substring(token, 1, 1).isin(NUMBER, UNIT, NAME)
+    return _mark(token).isin(NUMBER, UNIT, NAME)
 
 
 def _windows(df: DataFrame, ids: list[str], size: int) -> DataFrame:
-    """``ids, tokens, pos, window``: a row for each window of ``size`` template tokens."""
-    rows = df.withColumn("template", F.transform("tokens", lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x)))
-    last = F.size("template") - size
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("template", i + k) for k in range(size)))))
-    return rows.select(*ids, "tokens", F.posexplode(hashes).alias("pos", "window"))
+    """``ids, tokens, pos, window``: a row for each reading of each window of ``size`` template tokens; in ``tokens`` what may be a name is one."""
+
+    def template(start: F.Column, x: F.Column) -> F.Column:
+        return F.when(_mark(x) == START, start).when(_is_slot(x), _mark(x)).otherwise(x)
+
+    rows = df.withColumn("named", F.transform("tokens", lambda x: template(F.lit(NAME), x))).withColumn("plain", F.transform("tokens", lambda x: template(F.substring(x, 2, 1 << 30), x)))
+    last = F.size("named") - size
+
+    def hashed(column: str, i: F.Column) -> F.Column:
+        return F.struct(i.alias("pos"), F.xxhash64(*(F.get(column, i + k) for k in range(size))).alias("window"))
+
+    starts = F.filter(F.transform("tokens", lambda x, i: F.when(_mark(x) == START, i)), lambda i: i.isNotNull())
+    around = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(F.greatest(F.lit(0), i - (size - 1)), F.least(i, last)))))
+    hashes = F.when(last >= 0, F.concat(F.transform(F.sequence(F.lit(0), last), lambda i: hashed("named", i)), F.transform(around, lambda i: hashed("plain", i))))
+    tokens = F.transform("tokens", lambda x: F.when(_mark(x) == START, F.concat(F.lit(NAME), F.substring(x, 2, 1 << 30))).otherwise(x))
+    return rows.select(*ids, tokens.alias("tokens"), F.explode(hashes).alias("w")).select(*ids, "tokens", "w.pos", "w.window")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: float = 0.5) -> DataFrame:
@@ -56,8 +77,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: float
     An item's windows are its distinct places; ``matched`` counts those that
     consistent occurrences cover, ``reparameterised`` tells if a slot's value
     differs. ``text_key`` is a hash of the text, which tells rows with equal or
-    null ids apart; repeated rows give one row. Null texts have no windows;
-    items of fewer than ``size`` tokens leak nowhere. Equal items all match.
+    null ids apart; repeated rows give one row. Null and empty texts have no
+    windows; items of fewer than ``size`` tokens leak nowhere. Equal items all
+    match. Texts of any length are read whole. No documents or no items give no
+    rows; other columns of ``docs``, of any name, are ignored.
     """
     side = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), template_tokens(F.col("text")).alias("tokens"))
     items = written(_windows(side, ["item_id"], size).select(
@@ -66,7 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: float
     few = items.count() <= BROADCAST_ROWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), template_tokens(F.col("text")).alias("tokens"))
     found = _windows(rows, ["doc_id", "text_key"], size).join(items.hint("broadcast" if few else "shuffle_hash"), "window")
-    slots = F.filter(F.arrays_zip(F.col("item_tokens").alias("i"), F.slice("tokens", F.col("pos") + 1, size).alias("d")), lambda x: _is_slot(x["i"]) | _is_slot(x["d"]) | (x["i"] != x["d"]))
+    slots = F.filter(F.arrays_zip(F.col("item_tokens").alias("i"), F.slice("tokens", F.col("pos") + 1, size).alias("d")), lambda x: _is_slot(x["i"]) & _is_slot(x["d"]))
     matched = written(found.select("doc_id", "text_key", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), slots.alias("slots")), "matched")
     pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
     runs = matched.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(F.collect_set("item_pos").alias("places"), pairs.alias("pairs"))
@@ -82,6 +105,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: float
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
+    """The rows of ``docs`` that leak no item, with all their columns, whatever their names.
+
+    Rows with null or empty texts stay, repeated rows stay or go together,
+    texts of any length are read whole, and no rows give no rows.
+    """
     found = written(leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct(), "leaks").hint("merge")
     return docs.join(found, docs.doc_id.eqNullSafe(found.leak_id) & (F.xxhash64(docs.text) == found.leak_key), "left_anti")

@@ -4,7 +4,7 @@ import random
 import re
 from collections import defaultdict
 
-from bidframe.llm.decontam import NAME, NUMBER, UNIT, UNITS, drop_leaks, leaks
+from bidframe.llm.decontam import NAME, NUMBER, START, UNIT, UNITS, drop_leaks, leaks
 
 from .helpers import documents
 
@@ -21,6 +21,8 @@ def brute_tokens(text):
             out.append(UNIT + t)
         elif re.fullmatch(r"[A-Z][a-zé]+", t) and m.start() > 1 and text[m.start() - 1] == " " and (text[m.start() - 2].isalnum() or text[m.start() - 2] in ",;:"):
             out.append(NAME + t.lower())
+        elif re.match(r"[A-Z][a-zé]", t):
+            out.append(START + t.lower())
         else:
             out.append(t.lower())
     return out
@@ -30,8 +32,13 @@ def brute(docs, items, size=5, least=0.5):
     def windows(tokens):
         return {i: tokens[i : i + size] for i in range(len(tokens) - size + 1)}
 
-    def kind(x):
-        return x[0] if x[0] in (NUMBER, UNIT, NAME) else x
+    slots = (NUMBER, UNIT, NAME, START)
+
+    def readings(window):
+        return {tuple((NAME if named else x[1:]) if x[0] == START else x[0] if x[0] in slots else x for x in window) for named in (True, False)}
+
+    def value(x):
+        return x.replace(START, NAME)
 
     found = {}
     for d, text in docs:
@@ -41,12 +48,12 @@ def brute(docs, items, size=5, least=0.5):
             runs = defaultdict(list)
             for p, a in dw.items():
                 for q, b in iw.items():
-                    if [kind(x) for x in a] == [kind(x) for x in b]:
+                    if readings(a) & readings(b):
                         runs[p - q].append((p, q))
             places, changed = set(), False
             for run in runs.values():
-                pairs = {(x, y) for p, q in run for x, y in zip(iw[q], dw[p]) if x[0] in (NUMBER, UNIT, NAME)}
-                if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                pairs = {(value(x), value(y)) for p, q in run for x, y in zip(iw[q], dw[p]) if x[0] in slots and y[0] in slots}
+                if len({x for x, _ in pairs}) == len(pairs):
                     places |= {q for _, q in run}
                     changed |= any(x != y for x, y in pairs)
             if iw and len(places) / len(iw) >= least:
@@ -77,7 +84,7 @@ def test_matches_brute_force(spark):
     for d in range(100, 140):
         words = rng.choice(ITEMS[:2])[1].split()
         for _ in range(rng.randint(0, 3)):
-            words[rng.randrange(len(words))] = rng.choice(["Zed", "7", "km", "other", "Alice"])
+            words[rng.randrange(len(words))] = rng.choice(["Zed", "7", "km", "other", "Alice", "x. Carl", "Plain", "plain"])
         docs.append((d, " ".join(rng.choice(["lead words", "Then 5 km"]) for _ in range(3)) + " " + " ".join(words)))
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = leaks(documents(spark, docs + [(10, DOCS[0][1])]), bench).collect()
@@ -102,3 +109,12 @@ def test_values_that_become_equal(spark):
     docs = [(1, "The farm sells boxes with 4 apples and 4 pears for every guest of the party"), (2, "we measure the road in 7 km and then again in 9 km before we go home")]
     found = leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.matched == r.windows, r.reparameterised) for r in found} == {(1, 1, True, True), (2, 2, True, True)}
+
+
+def test_names_at_sentence_starts(spark):
+    items = [(1, "Mary has 3 apples. Mary gives 2 apples to a friend. How many apples are left"), (2, "That plain sentence goes on. Every word of it stays the same to the end")]
+    docs = [(1, "Peter has 9 apples. Peter gives 5 apples to a friend. How many apples are left"), (2, "Peter has 9 apples. Susan gives 5 apples to a friend. How many apples are left"),
+            (3, "that plain sentence goes on. every word of it stays the same to the end"), (4, "Mary has gone home. How many are left of those that went")]
+    found = leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.matched, r.windows, r.reparameterised) for r in found} == brute(docs, items)
+    assert {(r.doc_id, r.item_id, r.matched == r.windows) for r in found} == {(1, 1, True), (3, 2, True)}
