@@ -12,19 +12,21 @@ bytes.
 Records whose anchor occurs once go. Of the rest, records with equal regions
 (all bytes that their strings of ``length`` bytes cover, or up to the text's
 end) form a class; a class of two or more is repeated as a whole. The classes
-of an anchor are then compared by sorting their suffixes: multikey quicksort
-over eight-byte digits to a shallow depth drops what is unique by then, and
-blind tries order the groups that still agree. An anchor with too many classes
-for one task is refined: the starts are halved, each half is keyed by the
-longer core that all its strings share, equal parts of classes form new
-classes, and the steps repeat; when a half is a single start, its key is the
-string.
+of an anchor are then compared by sorting their suffixes from the anchor on,
+and their texts from the anchor backwards: multikey quicksort over eight-byte
+digits to a shallow depth, then blind tries order the groups that still agree.
+Two classes share the string of n bytes that starts d before the anchor if
+the text before it agrees for d bytes and the suffix for n - d, and in sorted
+order both are read off the common prefixes of neighbours. An anchor with too
+many classes for one task is refined: the starts are halved, each half is
+keyed by the longer core that all its strings share, equal parts of classes
+form new classes, and the steps repeat; when a half is a single start, its key
+is the string.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from bidframe.llm._common import written
 
-#: Bytes of an anchor; starts of a text handled at a time; classes of an anchor that a task sorts; shallow depth in digits.
-GRAM, PIECE, GROUP_MAX, SHALLOW = 128, 1 << 20, 512, 4
+#: Bytes of an anchor; starts of a text handled at a time; classes of an anchor that a task sorts; classes sorted at once; shallow depth in digits.
+GRAM, PIECE, GROUP_MAX, AT_ONCE, SHALLOW = 128, 1 << 18, 2048, 512, 4
 #: What holds for a start: its string of ``length`` bytes is repeated; its string of ``passage`` bytes is in another document.
 LONG, SHARED = 1, 2
 _BASE = 0x9E3779B97F4A7C15
@@ -203,93 +205,100 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return order
 
 
-def repeated_starts(parts: list[tuple[bytes, int, int, int, int]], length: int, passage: int) -> list[list[tuple[int, int]]]:
-    """For each ``(region, low, high, doc_low, doc_high)`` of one key its offsets low..high that are marked, with their marks.
+def sorted_suffixes(key: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, common)``: strings by key, then content, and for each place the bytes it shares with the place before.
+
+    ``key`` is ascending; -1 marks the first place of a key. Shorter strings
+    count as filled up with zero bytes.
+    """
+    wide = max(8 * SHALLOW, -(-max(map(len, strings)) // 8) * 8)
+    table = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in strings), np.uint8).reshape(len(strings), wide)
+    digits = table[:, : 8 * SHALLOW].copy().view(">u8").astype(np.uint64)
+    order = np.lexsort((*digits.T[::-1], key))
+    same = (key[order[1:]] == key[order[:-1]]) & (digits[order[1:]] == digits[order[:-1]]).all(axis=1)
+    cuts = np.nonzero(np.concatenate(([True], ~same, [True])))[0]
+    for a, z in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist()):
+        group = order[a:z]
+        order[a:z] = group[[i for equal in blind_trie([table[k].tobytes() for k in group.tolist()]) for i in equal]]
+    differ = table[order[1:]] != table[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+    common[key[order[1:]] != key[order[:-1]]] = -1
+    return order, np.concatenate(([-1], common))
+
+
+def repeated_ranges(key: np.ndarray, parts: list[tuple[bytes, int, int, int, int]], length: int, passage: int) -> list[tuple[int, int, int, int]]:
+    """``(part, low, high, mark)``: offsets of the parts ``(region, low, high, doc_low, doc_high)`` whose strings a part of the same key has too.
 
     The string at offset d starts d bytes before the anchor, the region at
-    offset high. ``LONG``: another part has the string of ``length`` bytes.
-    ``SHARED``: a part of another document has the string of ``passage`` bytes.
+    offset high; ``key`` is ascending. ``LONG``: another part has the string of
+    ``length`` bytes. ``SHARED``: the parts that have the string of ``passage``
+    bytes are of two documents and more.
     """
-    data = b"".join(p[0] for p in parts) + bytes(8)
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(b) - 7
-    words = np.zeros(n, np.uint64)
-    for j in range(8):
-        words |= b[j : j + n] << np.uint64(56 - 8 * j)
-    size = np.array([len(p[0]) for p in parts])
-    ends = np.cumsum(size)
-    low, high = (np.array([p[k] for p in parts]) for k in (1, 2))
-    counts = high - low + 1
-    owner = np.repeat(np.arange(len(parts)), counts)
-    offset = np.arange(counts.sum()) + np.repeat(low - np.cumsum(counts) + counts, counts)
-    place = (ends - size + high)[owner] - offset
-    rank = offset
-    for depth in range(-1, min(SHALLOW, passage // 8)):  # quicksort by offset, then by digit, within what is still equal
-        if depth >= 0:
-            digit = words[place + 8 * depth]
-            order = np.lexsort((digit, rank))
-            place, owner, offset, rank, digit = place[order], owner[order], offset[order], rank[order], digit[order]
-            new = np.concatenate(([True], (rank[1:] != rank[:-1]) | (digit[1:] != digit[:-1])))
+    m = len(parts)
+    low, high, doc_low, doc_high = (np.array([p[k] for p in parts], np.int64) for k in (1, 2, 3, 4))
+    right = np.array([len(p[0]) for p in parts]) - high
+    width = int(high.max()) + 1
+    place, blocks, reach = [], [], []
+    for strings in ([p[0][p[2] :] for p in parts], [p[0][: p[2]][::-1] for p in parts]):
+        order, common = sorted_suffixes(key, strings)
+        at = np.empty(m, np.int64)
+        at[order] = np.arange(m)
+        place.append(at)
+        blocks.append(common)
+        reach.append(np.maximum(common, np.append(common[1:], -1))[at])  # bytes shared with the nearest other string
+    offsets = np.arange(width)
+    before = np.cumsum(blocks[1][None, :] < offsets[:, None], axis=1, dtype=np.int32)  # of each offset and place the block of strings that agree before the anchor
+    found = []
+    for n, mark in ((length, LONG), (passage, SHARED)):
+        first, last = np.maximum(low, n - np.minimum(reach[0], right)), np.minimum(high, reach[1])
+        counts = np.maximum(last - first + 1, 0)
+        own = np.repeat(np.arange(m), counts)
+        if not len(own):
+            continue
+        d = np.arange(len(own)) + np.repeat(first - np.cumsum(counts) + counts, counts)
+        after = np.cumsum(blocks[0][None, :] < (n - offsets)[:, None], axis=1, dtype=np.int32)
+        code = (d * (m + 1) + before[d, place[1][own]]) * (m + 1) + after[d, place[0][own]]
+        order = np.argsort(code, kind="stable")
+        cuts = np.nonzero(np.concatenate(([True], code[order[1:]] != code[order[:-1]])))[0]
+        held = own[order]
+        if mark == LONG:
+            marked = np.diff(np.append(cuts, len(order))) > 1
         else:
-            order = np.argsort(rank, kind="stable")
-            place, owner, offset, rank = place[order], owner[order], offset[order], rank[order]
-            new = np.concatenate(([True], rank[1:] != rank[:-1]))
-        rank = np.cumsum(new) - 1
-        several = (np.bincount(rank) > 1)[rank]
-        place, owner, offset, rank = place[several], owner[several], offset[several], rank[several]
-        if not len(place):
-            break
-    found: list[list[tuple[int, int]]] = [[] for _ in parts]
-    cuts = np.concatenate(([0], np.nonzero(rank[1:] != rank[:-1])[0] + 1, [len(rank)])).tolist() if len(rank) else []
-    ends, place, owner, offset = ends.tolist(), place.tolist(), owner.tolist(), offset.tolist()
-    for a, z in zip(cuts, cuts[1:]):
-        for group in blind_trie([data[p : p + passage] for p in place[a:z]]):
-            if len(group) == 1:
-                continue
-            own = [owner[a + i] for i in group]
-            shared = SHARED if min(parts[k][3] for k in own) < max(parts[k][4] for k in own) else 0
-            longer = defaultdict(int)
-            strings = [data[place[a + i] : place[a + i] + length] if place[a + i] + length <= ends[k] else None for i, k in zip(group, own)]
-            for x in strings:
-                longer[x] += 1
-            for i, k, x in zip(group, own, strings):
-                mask = shared | LONG * (x is not None and longer[x] > 1)
-                if mask:
-                    found[k].append((offset[a + i], mask))
+            marked = np.minimum.reduceat(doc_low[held], cuts) < np.maximum.reduceat(doc_high[held], cuts)
+            # a class of several documents is marked as a whole
+            marked &= np.diff(np.append(cuts, len(order))) > 1
+        hit = np.zeros(len(order), bool)
+        hit[order] = np.repeat(marked, np.diff(np.append(cuts, len(order))))
+        own, d = own[hit], d[hit]  # by part, then offset
+        if len(own):
+            new = np.nonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (d[1:] != d[:-1] + 1))))[0]
+            end = np.append(new[1:], len(own)) - 1
+            found += zip(own[new].tolist(), d[new].tolist(), d[end].tolist(), [mark] * len(new))
     return found
 
 
-def _runs(marks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    out: list[tuple[int, int, int]] = []
-    for d, mask in sorted(marks):
-        if out and out[-1][1] == d - 1 and out[-1][2] == mask:
-            out[-1] = (out[-1][0], d, mask)
-        else:
-            out.append((d, d, mask))
-    return out
-
-
 def _sorted_groups(length: int, passage: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, rows = None, [], []
-
-        def sort() -> None:
-            if len(held) > 1:
-                rows.extend((row[0], *run) for row, marks in zip(held, repeated_starts([row[1:] for row in held], length, passage)) for run in _runs(marks))
+        cls: list[int] = []
+        keys: list[int] = []
+        parts: list[tuple] = []
+        last, number = None, 0
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [[]] * 4
-            rows.clear()
+            rows = repeated_ranges(np.array(keys, np.int64), parts, length, passage) if parts else []
+            columns = list(zip(*((cls[k], *rest) for k, *rest in rows))) or [[]] * 4
+            cls.clear(), keys.clear(), parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["cls", "low", "high", "mask"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in _PART_NAMES)):
+            for key, own, *part in zip(*(batch.column(c).to_pylist() for c in _PART_NAMES)):
                 if key != last:
-                    sort()
-                    last, held = key, []
-                held.append(row)
-            yield out()
-        sort()
+                    if len(parts) >= AT_ONCE:
+                        yield out()
+                    last, number = key, number + 1
+                cls.append(own)
+                keys.append(number)
+                parts.append(part)
         yield out()
 
     return work
@@ -350,33 +359,42 @@ def _compared(parts: DataFrame, length: int, passage: int, width: int, size: int
     return found.unionByName(written(back, "back"))
 
 
-def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, z in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
+def _merged(row: np.ndarray, a: np.ndarray, z: np.ndarray, rows: int) -> list[list[tuple[int, int]]]:
+    """Of each row the maximal runs that its ranges ``a`` to ``z`` cover."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+    if len(a):
+        far = int(z.max()) + 1
+        order = np.lexsort((a, row))
+        row, a, z = row[order], a[order] + row[order] * far, z[order] + row[order] * far
+        reach = np.maximum.accumulate(z)
+        new = np.nonzero(np.concatenate(([True], a[1:] > reach[:-1])))[0]
+        ends = reach[np.append(new[1:], len(a)) - 1]
+        for r, x, y in zip(row[new].tolist(), (a[new] - row[new] * far).tolist(), (ends - row[new] * far).tolist()):
+            out[r].append((x, y))
     return out
 
 
 def _removed(length: int, passage: int, passage_words: int, with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, gone, runs, sums, shared, texts = [], [], [], [], [], []
-            for text, cuts in zip(batch.column("text").cast(pa.binary()), batch.column("cuts").to_pylist()):
+            cuts = batch.column("cuts")
+            n = len(batch)
+            row = np.repeat(np.arange(n), cuts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            first, last, mask = (x.to_numpy(zero_copy_only=False) for x in cuts.flatten().flatten())
+            long, shared = mask & LONG > 0, mask & SHARED > 0
+            removed = _merged(row[long], first[long], last[long] + length, n)
+            passages = _merged(row[shared], first[shared], last[shared] + passage, n)
+            sizes, gone, runs, sums, counts, texts = [], [], [], [], [], []
+            for text, out_of, with_others in zip(batch.column("text").cast(pa.binary()), removed, passages):
                 data = text.as_py() or b""
-                cuts = [(c["a"], c["z"], c["mask"]) for c in cuts or ()]
-                long = _merged([(a, z + length) for a, z, mask in cuts if mask & LONG])
-                kept = [data[a:z] for a, z in zip([0, *(z for _, z in long)], [*(a for a, _ in long), len(data)])]
-                left = b"".join(kept)
+                left = b"".join([data[a:z] for a, z in zip([0, *(z for _, z in out_of)], [*(a for a, _ in out_of), len(data)])]) if out_of else data
                 sizes.append(len(data))
                 gone.append(len(data) - len(left))
-                runs.append(len(long))
+                runs.append(len(out_of))
                 sums.append(hashlib.sha256(left).hexdigest())
-                shared.append(sum(len(data[a:z].split(None, passage_words)) > passage_words for a, z in _merged([(a, z + passage) for a, z, mask in cuts if mask & SHARED])))
+                counts.append(sum(len(data[a:z].split(None, passage_words)) > passage_words for a, z in with_others))
                 texts.append(left)
-            out = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, gone, runs)), pa.array(sums, pa.string()), pa.array(shared, pa.int64())]
+            out = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, gone, runs)), pa.array(sums, pa.string()), pa.array(counts, pa.int64())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"]
             if with_text:
                 out.append(pa.array(texts, pa.binary()))

@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from bidframe.llm import suffix
-from bidframe.llm.suffix import blind_trie, remove_repeats, repeated_starts
+from bidframe.llm.suffix import blind_trie, remove_repeats, repeated_ranges, sorted_suffixes
 
 from .helpers import documents
 
@@ -75,12 +76,26 @@ def test_blind_trie_sorts_and_groups():
     assert keys == sorted(set(strings)) and all(strings[i] == k for g, k in zip(groups, keys) for i in g)
 
 
-def test_repeated_starts():
+def test_sorted_suffixes():
+    rng = random.Random(2)
+    for size in (1, 2, 50, 300):
+        strings = [bytes(rng.choice(b"ab") for _ in range(40)) + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 5))) for _ in range(size)]
+        key = np.sort(np.array([rng.randint(0, 3) for _ in strings]))
+        order, common = sorted_suffixes(key, strings)
+        pairs = [(int(key[k]), strings[k].ljust(48, b"\0")) for k in order]
+        assert pairs == sorted(pairs) and sorted(order.tolist()) == list(range(size))
+        for (k, x), (j, y), c in zip(pairs, pairs[1:], common[1:].tolist()):
+            assert c == (next((i for i in range(48) if x[i] != y[i]), 48) if k == j else -1)
+
+
+def test_repeated_ranges():
     parts = [(b"xxabcdefghijYY", 0, 2, 1, 1), (b"zzabcdefghijYQ", 0, 2, 1, 2), (b"qqqbcdefghijYY", 0, 2, 3, 3)]
-    assert [sorted(x) for x in repeated_starts(parts, 11, 11)] == [[(0, 3)], [(0, 3)], []]
-    assert [sorted(x) for x in repeated_starts(parts, 13, 11)] == [[(0, 2)], [(0, 2)], []]
+    one = np.zeros(3, np.int64)
+    assert sorted(repeated_ranges(one, parts, 11, 11)) == [(0, 0, 0, 1), (0, 0, 0, 2), (1, 0, 0, 1), (1, 0, 0, 2)]
+    assert sorted(repeated_ranges(one, parts, 13, 11)) == [(0, 0, 0, 2), (1, 0, 0, 2)]
     same = [(r, low, high, 1, 1) for r, low, high, _, _ in parts]
-    assert [sorted(x) for x in repeated_starts(same, 11, 11)] == [[(0, 1)], [(0, 1)], []]
+    assert sorted(repeated_ranges(one, same, 11, 11)) == [(0, 0, 0, 1), (1, 0, 0, 1)]
+    assert repeated_ranges(np.array([0, 1, 2]), parts, 11, 11) == []
 
 
 @pytest.mark.parametrize(("gram", "group", "piece", "passage"), [(8, 512, 1 << 20, 40), (8, 2, 1 << 20, 40), (16, 3, 60, 40), (40, 512, 97, 40), (8, 512, 1 << 20, 25), (8, 2, 1 << 20, 25), (8, 1, 70, 20), (20, 2, 97, 20)])
