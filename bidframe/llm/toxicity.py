@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ SIGNS = {
 SEPARATORS = "._-*~/\\' "
 SIGN_PRICE, DROP_PRICE, REPEAT_PRICE = 1.0, 0.5, 0.5
 STRIP = ".,;:?!\"'()[]{}|*%&#<>=_-~$+"
+#: The same without the signs that may stand for letters.
+CORE_STRIP = ".,;:?\"'()[]{}*%&#<>=_-~"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
 
@@ -54,17 +56,22 @@ READINGS, TABLE_WEIGHT = 4, 0.5
 LETTER, WORD, ODD = 0, 1, 2
 
 
-def odd_words(tokens: list[str]) -> tuple[set[str], set[str]]:
+def odd_words(tokens: Iterable[str]) -> tuple[set[str], set[str]]:
     """Stripped words of lower-case tokens, and those that look disguised."""
-    raw = set(tokens)
-    found = {w.strip(STRIP) for w in raw}
-    found.discard("")
-    odd = {w for w in found if len(w) > 3 and w.isalpha() and _TRIPLE.search(w)}
-    for w in raw:
-        if not w.isalpha():
-            core = w.strip(".,;:?\"'()[]{}*%&#<>=_-~")
+    found, odd = set(), set()
+    for token in set(tokens):
+        w = token.strip(STRIP)
+        found.add(w)
+        if w.isalpha():
+            if len(w) > 3 and _TRIPLE.search(w):
+                odd.add(w)
+            if len(w) == len(token):
+                continue
+        core = token.strip(CORE_STRIP)
+        if len(core) != len(w) or not w.isalpha():
             if not core.isalpha() and any(map(str.isalpha, core)):
                 odd.add(core)
+    found.discard("")
     return found, odd
 
 
@@ -75,25 +82,38 @@ def spaced_runs(tokens: list[str]) -> set[str]:
     return {m.group() for m in _SPACED.finditer(" ".join(tokens))}
 
 
+def _letter_counts(texts: Iterable[bytes]) -> np.ndarray:
+    """Counts of letter classes after two others; texts are counted together, a few million bytes at a time."""
+    counts = np.zeros(LETTERS**3, np.int64)
+    held, size = [], 0
+    for text in [*texts, None]:
+        if text is not None:
+            held += (b"  ", text)
+            size += len(text)
+        if held and (text is None or size > 1 << 21):
+            c = _CLASS[np.frombuffer(b"".join(held) + b" ", np.uint8)]
+            counts += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
+            held, size = [], 0
+    return counts
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = np.zeros(LETTERS**3, np.int64)
     for batch in batches:
         tokens: Counter = Counter()
         odd: set[str] = set()
-        for text in batch.column("text").cast(pa.binary()):
-            data = text.as_py() or b""
-            c = _CLASS[np.frombuffer(b"  " + data + b" ", np.uint8)]
-            letters += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
+        texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
+        letters += _letter_counts(texts)
+        for data in texts:
             own = data.decode().lower().split()
             tokens.update(own)
             odd |= spaced_runs(own)
-        words: Counter = Counter()
+        odd |= odd_words(tokens)[1]
+        words: dict[str, int] = {}
         for token, n in tokens.items():
-            found, disguised = odd_words([token])
-            odd |= disguised
-            for w in found:
-                if w.isalpha():
-                    words[w] += n
+            w = token.strip(STRIP)
+            if w.isalpha():
+                words[w] = words.get(w, 0) + n
         keys = [*words, *odd]
         yield pa.RecordBatch.from_arrays([
             pa.array([WORD] * len(words) + [ODD] * len(odd), pa.int32()), pa.array(keys, pa.string()), pa.array([*words.values(), *[1] * len(odd)], pa.int64())], ["kind", "key", "n"])
