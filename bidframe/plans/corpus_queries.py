@@ -177,8 +177,8 @@ def q_hybrid(spark, d):
 def q_lsa(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     weights = retrieval.tfidf(retrieval.postings(docs, text.tokens(F.col("text"))), docs)
-    vectors, terms = retrieval.lsa(weights, 16, 500)
-    queries = retrieval.project(weights.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), terms)
+    vectors, _ = retrieval.lsa(weights, docs=docs)
+    queries = vectors.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("vector"))
     return retrieval.knn(queries, vectors, 3).withColumn("score", F.round("score", 4))
 
 
