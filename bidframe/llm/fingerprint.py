@@ -143,7 +143,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     many first ones (or all) of the next document in ``doc_id`` order; the
     first follows the last. Null ids come first, equal ids are ordered by text,
     so repeated rows are neighbours. A null text counts as empty. A single row
-    is its own next. No rows give no rows.
+    is its own next. Texts of any length are read whole; other columns of
+    ``docs``, of any name, are ignored. No rows give no rows.
 
     Rows are dealt into cells of neighbouring ids; a copy of each cell's first
     row closes the cell before it, so texts are shuffled once.

@@ -136,7 +136,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     smallest, so such a row never keeps a line that a numbered row holds. Each
     row is a document: rows with the same ``doc_id`` count apart and share the
     keeper's right. Lines within a row count once, and the keeper keeps all of
-    them. No rows give no rows; other columns of ``docs`` are ignored.
+    them. Texts of any length are split whole. No rows give no rows; other
+    columns of ``docs`` are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()

@@ -177,7 +177,7 @@ def joined(found: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) ->
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
-        sums, every, added = [], [], []
+        sums, every, added, total = [], [], [], []
         for text in batch.column("text").to_pylist():
             base, found = spans(text or "")
             for k, column in enumerate(counts):
@@ -185,18 +185,21 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(hashlib.sha256(joined(base).encode()).hexdigest())
             every.append(joined(found))
             added.append(len(found) - len(base))
+            total.append(len(found))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(every, pa.string()), pa.array(added, pa.int64())],
-            ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(every, pa.string()), pa.array(added, pa.int64()), pa.array(total, pa.int64())],
+            ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_found"])
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` for each row of ``docs``.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_found`` for each row of ``docs``.
 
     Counts and the hash are of the identifiers in plain text; ``spans`` has
-    these and the ``n_added`` that a disguise hid, as kind:start:end in code
-    points. A null text counts as empty; texts of any length are read whole in
-    linear time; repeated rows and null ids give a row each.
+    these and the ``n_added`` that a disguise hid, ``n_found`` in all, as
+    kind:start:end in code points. A null text counts as empty; texts of any
+    length are read whole in linear time; repeated rows and null ids give a row
+    each. Other columns of ``docs``, of any name, are ignored. No rows give no
+    rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_found long")

@@ -147,8 +147,8 @@ def scan_secrets(docs: DataFrame, rules: list[Rule] | None = None, base: int = B
     The hash is of kind:start:end of the first ``base`` rules' matches by
     start, then rule order; ``spans`` has those of all rules. A null text
     counts as empty. Null and equal ids are told apart by the text's hash;
-    repeated rows each give a row. Whole texts are searched, of any length. No
-    rows give no rows.
+    repeated rows each give a row. Whole texts are searched, of any length.
+    Other columns of ``docs``, of any name, are ignored. No rows give no rows.
     """
     rules = rules or RULES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))

@@ -362,7 +362,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 64, radius
 
     Null texts count as empty. Rows with a null ``doc_id`` belong to the
     component of the rows with equal fingerprint; if all of these lack an id,
-    the component is null. Repeated rows stay. No rows give no rows.
+    the component is null. Repeated rows stay. Texts of any length are read
+    whole; other columns of ``docs``, of any name, are ignored. No rows give no
+    rows.
     """
     prints = fingerprints(docs, shingle, bits)
     classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "classes")
