@@ -76,7 +76,8 @@ def mixed(docs: DataFrame, budget_share: float = 1.0, max_repeats: float | None
     The budget is ``budget_share`` of all tokens. ``copies`` is how often the
     mixture takes the row; a source takes at most its weight of the budget and
     less than one document fewer. Null sources are one source. Rows without
-    tokens never count and get 0 copies. Rows with equal or null ids are
+    tokens, null and empty texts among them, never count and get 0 copies;
+    texts of any length are counted whole. Rows with equal or null ids are
     ordered by their text's hash; repeated rows count each. No rows give no rows.
     """
     rows = docs.select(
@@ -110,5 +111,8 @@ def mixed(docs: DataFrame, budget_share: float = 1.0, max_repeats: float | None
 
 
 def mix_sources(docs: DataFrame, **settings) -> DataFrame:
-    """The mixture: every row of ``docs`` as often as the plan takes it."""
+    """The mixture: every row of ``docs`` as often as the plan takes it, with all its columns, whatever their names.
+
+    Rows without tokens go; repeated rows count each; no rows give no rows.
+    """
     return mixed(docs, **settings).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -4,6 +4,11 @@ Every stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor
 kept, and returns a DataFrame; all but the last return the columns of
 ``documents``. The caller writes each result and reads it back as the next
 stage's ``docs``.
+
+No stage is limited by the length of a text. Null ids and texts, empty texts,
+repeated rows, empty tables and extra columns of any name pass as the
+operators' docstrings say: rows are told apart by id and text, an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
