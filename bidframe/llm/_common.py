@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -20,8 +21,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new path under ``spark.checkpoint.dir``; a local one only where that is unset on a single machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or _own_folder()
     return f"{base.rstrip('/')}/bidframe-{uuid.uuid4().hex}"
 
 
@@ -38,7 +42,3 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
