@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidframe.llm.decontam import leaks
+from bidframe.llm.divergence import audit_sources
 from bidframe.llm.fingerprint import fingerprint_documents
 from bidframe.llm.line_dedup import dedup_lines
 from bidframe.llm.mixing import mixed
 from bidframe.llm.pii import find_personal_data
+from bidframe.llm.resampling import resample
 from bidframe.llm.secret_scan import BASE, RULES, scan_secrets
 from bidframe.llm.sharding import shard_documents
 from bidframe.llm.simhash import simhash_components
 from bidframe.llm.suffix import remove_repeats
 from bidframe.llm.toxicity import score_documents
+from bidframe.llm.warc import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +72,18 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "matched", "windows", "coverage", "reparameterised")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_temperature_mixing": op2_temperature_mixing,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_template_decontamination": op10_template_decontamination,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_warc_index": op13_warc_index,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -151,4 +169,28 @@ ORACLE_SQL: dict[str, str] = {
               ROWS UNBOUNDED PRECEDING) AS upto FROM x)
         SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, coalesce(round(weight, 6), 0.0) AS weight,
                (CASE WHEN n_tokens > 0 AND quota IS NOT NULL THEN quota // t + (upto <= quota % t)::BIGINT ELSE 0 END)::BIGINT AS copies FROM y""",
+    "op11_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents),
+        w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM w GROUP BY lang, source, term),
+        l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+        v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS n FROM l GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(k.n), 0)::HUGEINT AS n FROM g
+               LEFT JOIN (SELECT c.* FROM c JOIN l USING (lang, term)) k ON g.lang = k.lang AND g.source = k.source GROUP BY g.lang, g.source),
+        p AS (SELECT gn.lang, gn.source, l.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (gn.n + 5 * v.v) AS p,
+                     1 + 1000000000::HUGEINT * (l.n + 5) // (v.n + 5 * v.v) AS q
+              FROM gn JOIN l ON gn.lang = l.lang JOIN v ON gn.lang = v.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = l.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 50""",
+    "op13_warc_index": """
+        WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM d)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(h, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k""",
 }
