@@ -41,7 +41,8 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORD = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[ ,-]*)?(?:{_WORD}|[0-9])(?:(?:[ ,-]{{1,3}}| ?(?:dot|point)(?= ))+(?:{_WORD}|[0-9])(?![^\W\d_]))+", re.I)
+# The gap between two digit words is taken whole and never given back, so a gap that no digit follows is read once.
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[ ,-]*+)?(?:{_WORD}|[0-9])(?:(?:[ ,-]|(?:dot|point)(?= ))++(?:{_WORD}|[0-9])(?![^\W\d_]))+", re.I)
 _SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_WORD})[ ,-]{{1,3}}(?:(?:dot|point) )?(?:{_WORD})(?![^\W_])", re.I)
 _SPELLED_PART = re.compile(rf"plus|dot|point|{_WORD}|[0-9]|\+", re.I)
 _ODD = re.compile(r"[^\x00-\x7f\xc0-\xff]|[\xad\xa0]")

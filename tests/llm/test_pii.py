@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -72,3 +73,21 @@ def test_clean_texts_stay_clean(text):
 def test_empty_table_and_extra_columns(spark):
     docs = documents(spark, []).withColumnRenamed("lang", "spans")
     assert find_personal_data(docs).count() == 0
+
+
+@pytest.mark.parametrize("gap", [" ", "-", ",", ".", " - ", " dot ", "dot ", " point", "(", "@", " at ", "+", "1 ", "5. ", "one ", "plus ", "\u2024", "[at]", "a@"])
+@pytest.mark.parametrize("head", ["one two 5", "plus one two three 5", "+5", "mail me at a"])
+def test_long_gaps_take_linear_time(head, gap):
+    """Every expression meets long runs of what may follow it; a nested quantifier would not end."""
+    took = []
+    for n in (10_000, 80_000):
+        text = head + gap * n + "x"
+        began = time.perf_counter()
+        spans(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
+def test_spelled_digits_over_long_gaps():
+    text = "call plus four  -  nine, one" + " " * 500 + "two three four five six seven eight nine now"
+    assert [(k, a) for a, k, _ in spans(text)[1]] == [(3, 5)]
