@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidframe.functions.scalars import age_reliability, slug
+from bidframe.operators import hybrid
 from bidframe.operators.policy import Policy
+from bidframe.sources.scratch import stored
 
 
-def resolve_mpn(obs: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds ``mpn``: an exact part number, else an exact SKU's part number, else the raw text (J2, exact part)."""
+def resolve_mpn(obs: DataFrame, products: DataFrame, index: hybrid.Index | None = None, least: float = 0.45) -> DataFrame:
+    """Adds ``mpn``: an exact part number, else an exact SKU's part number, else the best hit of at least ``least`` in the catalogue's index, else the raw text.
+
+    ``index`` holds the products' texts under their part numbers (``doc_id``).
+    Only the names that the exact legs leave are searched, each once; the
+    threshold keeps blocks of products out whose bound lies below it.
+    """
     by_mpn = products.select(F.lower("mpn").alias("_m"), F.col("mpn").alias("_mpn")).dropDuplicates(["_m"])
     by_sku = products.select(F.lower("sku").alias("_s"), F.col("mpn").alias("_sku_mpn")).dropDuplicates(["_s"])
     raw = F.lower(F.trim("product"))
-    return obs.join(by_mpn, raw == F.col("_m"), "left").join(by_sku, raw == F.col("_s"), "left").withColumn(
-        "mpn", F.coalesce("_mpn", "_sku_mpn", F.nullif(F.trim("product"), F.lit("")))).drop("_m", "_mpn", "_s", "_sku_mpn")
+    found = obs.join(by_mpn, raw == F.col("_m"), "left").join(by_sku, raw == F.col("_s"), "left").withColumn("_exact", F.coalesce("_mpn", "_sku_mpn")).drop("_m", "_mpn", "_s", "_sku_mpn")
+    name = F.nullif(F.trim("product"), F.lit(""))
+    if index is None:
+        return found.withColumn("mpn", F.coalesce("_exact", name)).drop("_exact")
+    open_names = found.where(F.col("_exact").isNull()).select(name.alias("text")).where("text IS NOT NULL").distinct()
+    asked = stored(open_names.withColumn("query_id", F.monotonically_increasing_id()), "names")
+    hits = stored(hybrid.search(index, asked, 1, least=least).select("query_id", F.col("doc_id").alias("_hit")), "hits")
+    named = asked.join(hits.hint("merge"), "query_id").select(F.col("text").alias("_name"), "_hit")
+    found = found.join(named.hint("merge"), F.col("_exact").isNull() & (name == F.col("_name")), "left")
+    return found.withColumn("mpn", F.coalesce(F.col("_exact").cast("string"), F.col("_hit").cast("string"), name)).drop("_exact", "_hit", "_name")
 
 
 def resolve_competitor(obs: DataFrame, competitors: DataFrame) -> DataFrame:

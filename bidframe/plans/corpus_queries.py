@@ -166,13 +166,6 @@ def q_examples(spark, d):
     return retrieval.similar_examples(labels, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3)
 
 
-@query("hybrid_search")
-def q_hybrid(spark, d):
-    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    queries = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    return retrieval.topk(retrieval.fused(retrieval.bm25(queries, docs), retrieval.char_tfidf_cosine(queries, docs)), 5, 6)
-
-
 @query("lsa_search")
 def q_lsa(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
