@@ -47,19 +47,30 @@ def extract_client(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(labelled, F.trim(named)).alias("client"))
 
 
-def find_dates(docs: DataFrame, month_first: bool = False) -> DataFrame:
-    """``doc_id, pos, raw, date``: ISO, day-month-name, month-name-day and numeric dates; invalid ones go (TX5)."""
-    months = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-    pattern = rf"(?i)\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}(?:st|nd|rd|th)? {months},? \d{{4}}\b|\b{months} \d{{1,2}},? \d{{4}}\b|\b\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{4}}\b"
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "raw"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"(\d)(st|nd|rd|th)\b", "$1"), ",", ""), r"(?i)\b([a-z]{3})[a-z]*", "$1")
-    a, b, y = (F.regexp_extract("raw", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", k).try_cast("int") for k in (1, 2, 3))
+_MONTHS = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_DATES = rf"(?i)\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}(?:st|nd|rd|th)? {_MONTHS},? \d{{4}}\b|\b{_MONTHS} \d{{1,2}},? \d{{4}}\b|\b\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{4}}\b"
+
+
+def raw_dates(text: Column) -> Column:
+    """All that looks like a date, in the order of the text."""
+    return F.regexp_extract_all(text, F.lit(_DATES), F.lit(0))
+
+
+def date_of(raw: Column, month_first: bool = False) -> Column:
+    """The date that a match of ``raw_dates`` states; null for an invalid one."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(\d)(st|nd|rd|th)\b", "$1"), ",", ""), r"(?i)\b([a-z]{3})[a-z]*", "$1")
+    a, b, y = (F.regexp_extract(raw, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", k).try_cast("int") for k in (1, 2, 3))
     us = F.lit(month_first)
     day, month = F.when((b > 12) | (us & (a <= 12)), b).otherwise(a), F.when((b > 12) | (us & (a <= 12)), a).otherwise(b)
     title = F.initcap(plain)
-    date = F.coalesce(F.to_date(F.try_to_timestamp(title, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(title, F.lit("d MMM yyyy"))), F.to_date(F.try_to_timestamp(title, F.lit("MMM d yyyy"))),
+    return F.coalesce(F.to_date(F.try_to_timestamp(title, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(title, F.lit("d MMM yyyy"))), F.to_date(F.try_to_timestamp(title, F.lit("MMM d yyyy"))),
                       F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, month, day), F.lit("yyyy-MM-dd"))))
-    return rows.withColumn("date", date).where("date IS NOT NULL")
+
+
+def find_dates(docs: DataFrame, month_first: bool = False) -> DataFrame:
+    """``doc_id, pos, raw, date``: ISO, day-month-name, month-name-day and numeric dates; invalid ones go (TX5)."""
+    rows = docs.select("doc_id", F.posexplode(raw_dates(F.col("text"))).alias("pos", "raw"))
+    return rows.withColumn("date", date_of(F.col("raw"), month_first)).where("date IS NOT NULL")
 
 
 def date_roles(contexts: DataFrame) -> DataFrame:

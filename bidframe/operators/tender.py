@@ -67,65 +67,6 @@ def apply_review_edits(bids: DataFrame, edits: DataFrame, lines: DataFrame, adde
     return joined.select(*out), rest.unionByName(added)
 
 
-# ---- extraction from tender units (doc_id, pos, text)
-
-#: Fact rules: key, words of the label, and whether the value is money, percent, days or text; fixed values.
-FACT_RULES = [
-    ("emd", r"earnest money|\bemd\b|bid security", "money"), ("estimated_value", r"estimated (?:cost|value)|value of (?:the )?(?:work|contract)", "money"), ("tender_fee", r"tender fee|document fee|cost of tender", "money"),
-    ("validity_days", r"validity", "days"), ("performance_security_pct", r"performance (?:security|guarantee|bank guarantee)", "percent"), ("ld_rate_pct", r"liquidated damages|penalty for delay", "percent"),
-    ("payment_terms", r"payment terms?|terms of payment", "text"), ("reverse_auction", r"reverse auction", "flag"), ("mse_exemption", r"\bmse\b|msme|micro and small", "flag"),
-]
-
-
-def extract_facts(units: DataFrame) -> DataFrame:
-    """``doc_id, key, value, number``: the first unit of each fact (TX21)."""
-    low = F.lower("text")
-    value = F.trim(F.regexp_extract("text", r"[:\-]\s*(.+)$", 1))
-    options = []
-    for key, words, kind in FACT_RULES:
-        number = {"money": parse_inr(F.col("text")), "days": F.regexp_extract(low, r"(\d+)\s*days", 1).try_cast("double"), "percent": F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")}.get(kind, F.lit(None).cast("double"))
-        fits = low.rlike(words) & (number.isNotNull() if kind in ("money", "days", "percent") else F.lit(True))
-        options.append(F.when(fits, F.struct(F.lit(key).alias("key"), F.when(value != "", value).otherwise(F.col("text")).alias("value"), number.alias("number"))))
-    rows = units.select("doc_id", "pos", F.explode(F.array_compact(F.array(*options))).alias("f")).select("doc_id", "pos", "f.*")
-    return rows.groupBy("doc_id", "key").agg(F.min_by(F.struct("value", "number"), "pos").alias("v")).select("doc_id", "key", "v.value", "v.number")
-
-
-def key_dates(dates: DataFrame) -> DataFrame:
-    """First date of each tender event (TX7). Rows: doc_id, pos, date, context."""
-    kind = first_match(F.lower("context"), [("queries", r"quer(?:y|ies)|clarification"), ("pre_bid", r"pre-?bid"), ("opening", r"opening"), ("submission", r"submission|due|closing|last date"), ("publication", r"publi(?:sh|cation)|issue|dated")])
-    return dates.withColumn("event", kind).where("event IS NOT NULL").groupBy("doc_id", "event").agg(F.min_by("date", "pos").alias("date"))
-
-
-def extract_evaluation(units: DataFrame) -> DataFrame:
-    """Award rule, weights and least technical score of each document (TX22)."""
-    text = units.groupBy("doc_id").agg(F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")).alias("t"))
-    after = lambda word: F.regexp_extract("t", rf"{word}[^.\n%]{{0,40}}?(\d+)\s*%", 1).try_cast("double")
-    before = lambda word: F.regexp_extract("t", rf"(\d+)\s*%[^.\n%]{{0,20}}?{word}", 1).try_cast("double")
-    pct = lambda word: F.coalesce(after(word), before(word))
-    rule = F.when(F.col("t").rlike(r"qcbs|quality and cost|quality-cum-cost"), "QCBS").when(F.col("t").rlike(r"\bl1\b|lowest (?:price|evaluated|bid|quot)"), "L1").when(pct("technical").isNotNull(), "Weighted").otherwise("Not stated")
-    return text.select("doc_id", rule.alias("rule"), pct("technical").alias("technical_pct"), pct("financial").alias("financial_pct"),
-                       F.regexp_extract("t", r"minimum (?:technical )?(?:score|marks)[^\d\n]{0,30}(\d+)", 1).try_cast("double").alias("min_technical"))
-
-
-#: Eligibility kinds in order; fixed values.
-ELIGIBILITY_RULES = [
-    ("turnover", r"turnover"), ("net_worth", r"net ?worth"), ("similar_works", r"similar (?:work|order|suppl|contract)"), ("supplied_quantity", r"supplied[^.]{0,40}\d+"), ("standards", r"\biso\b|certif"),
-    ("authorisation", r"authori[sz]ation|\boem\b|\bmaf\b"), ("local_office", r"office in|local presence|service cent(?:re|er)"), ("experience", r"experience|years in business"), ("engineers", r"engineers|technical staff"),
-    ("blacklisting", r"blacklist|debar"), ("registration", r"registered|registration|\bgst\b|\bpan\b"), ("consortium", r"consortium|joint venture"), ("solvency", r"solvency"),
-]
-
-
-def extract_eligibility(units: DataFrame) -> DataFrame:
-    """``doc_id, pos, kind, amount, years, standards``: one row a criterion (TX23)."""
-    low = F.lower("text")
-    kind = first_match(low, ELIGIBILITY_RULES)
-    years = F.regexp_extract(low, r"(?:last|previous|past)\s*(\d+|two|three|five)", 1)
-    words = F.create_map(*(F.lit(x) for kv in (("two", 2), ("three", 3), ("five", 5)) for x in kv))
-    iso = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(?:ISO(?:/IEC)?\s?\d{4,5}|BIS|CE|RoHS)\b"), F.lit(0)))
-    return units.withColumn("kind", kind).where("kind IS NOT NULL").select(
-        "doc_id", "pos", "kind", parse_inr(F.col("text")).alias("amount"), F.coalesce(years.try_cast("int"), F.try_element_at(words, years)).alias("years"), F.sort_array(iso).alias("standards"))
-
-
 #: Currency words, longest first; fixed values.
 CURRENCY_WORDS = [("USD", r"us dollars?|\busd\b|us\$"), ("AUD", r"australian dollars?|\baud\b"), ("CAD", r"canadian dollars?|\bcad\b"), ("SGD", r"singapore dollars?|\bsgd\b"), ("AED", r"dirhams?|\baed\b"), ("GBP", r"pounds? sterling|\bgbp\b|£"),
                   ("EUR", r"euros?\b|\beur\b|€"), ("JPY", r"\byen\b|\bjpy\b"), ("INR", r"rupees?|\binr\b|₹|\brs\.?\b")]
@@ -214,8 +155,10 @@ def scope_text(blocks: DataFrame, priority: dict[str, int]) -> DataFrame:
 
 # ---- evidence
 
-#: Stems too common in the field to be evidence; fixed values.
-GENERIC = ["suppli", "supply", "equipment", "item", "product", "bidder", "requir", "require", "provide", "system", "service", "support"]
+#: Words too common in the field to be evidence; fixed values.
+GENERIC = (
+    "bidder supplier purchaser shall must provide supply supplied within days day order purchase contract tender bid "
+    "equipment item items goods all each per required requirement including include successful work works period")
 
 
 def evidence(sections: DataFrame, sentences: DataFrame, least: float = 0.1, pool: int = 60) -> DataFrame:
@@ -231,10 +174,11 @@ def evidence(sections: DataFrame, sentences: DataFrame, least: float = 0.1, pool
 
 
 def relevant_evidence(hits: DataFrame) -> DataFrame:
-    """Hits with enough score and enough shared stems that are not generic (R11). Rows: score, query, passage."""
-    stems = lambda c: F.array_except(F.array_distinct(tokens(F.col(c), True, True)), F.array(*map(F.lit, GENERIC)))
-    rows = hits.withColumn("_q", stems("query")).withColumn("_s", F.size(F.array_intersect("_q", stems("passage"))))
-    return rows.where((F.col("score") >= 0.4) & (F.col("_s") >= 2) & (F.col("_s") / F.least(F.size("_q"), F.lit(8)) >= 0.35)).drop("_q", "_s")
+    """Hits with enough score and enough shared stems that are not generic (R11). Rows: score, query, passage and, where known, section."""
+    stems = lambda c: F.array_distinct(tokens(c, True, True))
+    said = F.concat_ws(" ", *(F.col(c) for c in ("passage", "section") if c in hits.columns))
+    rows = hits.withColumn("_q", F.array_except(stems(F.col("query")), stems(F.lit(GENERIC)))).withColumn("_s", F.size(F.array_intersect("_q", stems(said))))
+    return rows.where((F.col("score") >= 0.4) & (F.col("_s") >= 2) & (F.col("_s") / F.greatest(F.lit(1), F.least(F.size("_q"), F.lit(8))) >= 0.35)).drop("_q", "_s")
 
 
 def retrieval_log(hits: DataFrame) -> DataFrame:

@@ -48,12 +48,6 @@ def q_date_roles(spark, d):
     return corpus.date_roles(corpus.date_contexts(docs)).select("doc_id", "role", "date")
 
 
-@query("key_dates", "SELECT o_custkey AS doc_id, k.e AS event, CAST(arg_min(o_orderdate, o_orderkey) AS DATE) AS date FROM (SELECT *, ['pre_bid', 'opening', 'submission', 'publication', 'queries'][o_orderkey % 5 + 1] AS e FROM orders) k GROUP BY 1, 2")
-def q_key_dates(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.to_date("o_orderdate").alias("date"), _pick(F.col("o_orderkey"), ("Pre-bid meeting", "Opening of bids", "last date", "Published on", "Clarifications until")).alias("context"))
-    return tender.key_dates(rows)
-
-
 @query("extract_currency", f"SELECT o_custkey AS doc_id, arg_min({_pick_sql('o_orderkey', ('USD', 'EUR', 'INR', 'SGD'))}, o_orderkey) AS currency FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1")
 def q_currency(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.lit("SG").alias("country"),
@@ -100,29 +94,6 @@ def q_specs(spark, d):
     return table(spark, d, "part").select("p_partkey", corpus.extract_specs(said).alias("s")).select("p_partkey", "s.ram_gb", "s.vram_gb", "s.storage_gb", "s.screen_inch", "s.ports", "s.poe", "s.va")
 
 
-@query("extract_facts", "SELECT p_partkey AS doc_id, unnest(['emd', 'validity_days', 'ld_rate_pct', 'reverse_auction']) AS key, unnest([p_size * 100000.0, p_size, 0.5 * p_size, NULL]) AS number FROM part")
-def q_facts(spark, d):
-    units = F.array(F.concat(F.lit("EMD: Rs. "), _size(), F.lit(" lakh")), F.concat(F.lit("Bid validity: "), _size(), F.lit(" days")), F.concat(F.lit("Liquidated damages: "), (0.5 * F.col("p_size")).cast("string"), F.lit("% a week")), F.lit("A reverse auction follows"), F.lit("EMD: Rs. 1 crore"), F.lit("nothing"))
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(units).alias("pos", "text"))
-    return tender.extract_facts(rows).select("doc_id", "key", "number")
-
-
-@query("extract_evaluation", "SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'QCBS' WHEN 1 THEN 'L1' ELSE 'Weighted' END AS rule, CASE WHEN p_partkey % 3 <> 1 THEN CAST(50 + p_size % 50 AS DOUBLE) END AS technical_pct, CASE WHEN p_partkey % 3 = 0 THEN 30.0 END AS financial_pct, CASE WHEN p_partkey % 3 = 0 THEN 60.0 END AS min_technical FROM part")
-def q_evaluation(spark, d):
-    share = (50 + F.col("p_size") % 50).cast("string")
-    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Award by QCBS: technical "), share, F.lit("% and financial 30%. Minimum technical score 60 marks."))).when(F.col("p_partkey") % 3 == 1, "The lowest evaluated bid wins.").otherwise(F.concat(F.lit("Technical merit "), share, F.lit("%.")))
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("pos"), said.alias("text"))
-    return tender.extract_evaluation(rows)
-
-
-@query("extract_eligibility", f"SELECT l_orderkey % 100 AS doc_id, {_pick_sql('l_partkey', ('turnover', 'standards', 'blacklisting', 'similar_works'))} AS kind, count(*) AS n, round(sum(CASE WHEN l_partkey % 5 IN (0, 3) THEN CASE l_partkey % 5 WHEN 0 THEN l_quantity ELSE 2 * l_quantity END END), 2) AS crore FROM (SELECT * REPLACE (l_partkey % 5 AS l_partkey) FROM lineitem) WHERE l_partkey < 4 GROUP BY 1, 2")
-def q_eligibility(spark, d):
-    q = F.col("l_quantity").cast("int")
-    said = F.get(F.array(F.concat(F.lit("Turnover of Rs. "), q.cast("string"), F.lit(" crore in the last three years")), F.lit("ISO 9001 is held"), F.lit("Not blacklisted"), F.concat(F.lit("Similar works of Rs. "), (2 * q).cast("string"), F.lit(" crore")), F.lit("Nice weather")), (F.col("l_partkey") % 5).cast("int"))
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("doc_id"), F.lit(0).alias("pos"), said.alias("text"))
-    return tender.extract_eligibility(rows).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("amount") / 1e7), 2).alias("crore"))
-
-
 @query("route_clauses", f"""WITH u AS (SELECT l_quantity > 20 AS q, (l_partkey % 10) / 10.0 AS item, (l_suppkey % 10) / 10.0 AS conf, (l_orderkey % 10) / 10.0 AS cat, {_pick_sql('l_linenumber', ('payment', 'delivery'))} AS label FROM lineitem)
 SELECT CASE WHEN q AND (item >= 0.4 OR (item >= 0.2 AND cat >= 0.7)) THEN 'line_item' WHEN conf < 0.45 THEN 'scope' ELSE label END AS route, count(*) AS n FROM u GROUP BY 1""")
 def q_route(spark, d):

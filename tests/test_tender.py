@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from bidframe.operators import tender
@@ -13,29 +11,12 @@ def units(spark, texts):
     return spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
 
 
-def test_facts_and_evaluation(spark):
-    u = units(spark, ["EMD: Rs. 4,50,000 (Rupees four lakh)", "Estimated cost: Rs. 2.25 crore", "Bid validity: 120 days from opening", "Performance security: 5% of the value", "A reverse auction will follow.", "EMD: Rs. 1 lakh",
-                      "Award by QCBS: technical 70% and financial 30%. Minimum technical score 60 marks."])
-    got = {r.key: r.number for r in tender.extract_facts(u).collect()}
-    assert got == {"emd": 450000.0, "estimated_value": 22_500_000.0, "validity_days": 120.0, "performance_security_pct": 5.0, "reverse_auction": None}
-    e = tender.extract_evaluation(u).first()
-    assert (e.rule, e.technical_pct, e.financial_pct, e.min_technical) == ("QCBS", 70.0, 30.0, 60.0)
-
-
-def test_eligibility(spark):
-    u = units(spark, ["Annual turnover of at least Rs. 3 crore in the last three years", "The OEM must hold ISO 9001 and ISO/IEC 27001", "Bidder shall not be blacklisted", "Nice weather"])
-    got = [(r.kind, r.amount, r.years, r.standards) for r in tender.extract_eligibility(u).orderBy("pos").collect()]
-    assert got == [("turnover", 30_000_000.0, 3, []), ("standards", None, None, ["ISO 9001", "ISO/IEC 27001"]), ("blacklisting", None, None, [])]
-
-
 def test_currency_tables_and_dates(spark):
     s = spark.createDataFrame([(1, 0, "We like euros.", "US"), (1, 1, "All prices are quoted in US dollars.", "US"), (2, 0, "Budget of $ 500.", "AU"), (3, 0, "nothing", "IN")], "doc_id long, pos int, sentence string, country string")
     assert {r.doc_id: r.currency for r in tender.extract_currency(s).collect()} == {1: "USD", 2: "AUD"}
     lines = ["intro", "| Sl | Item description | Qty |", "| 1 | Laptop 14 inch | 25 Nos |", "| 2 | Mouse | 1,000 |", "| | Total | see above |", "| 9 | Ghost | 4 |"]
     t = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, line string")
     assert [(r.description, r.quantity) for r in tender.extract_table_items(t).orderBy("pos").collect()] == [("Laptop 14 inch", 25), ("Mouse", 1000)]
-    d = spark.createDataFrame([(1, 0, dt.date(2026, 1, 1), "Pre-bid meeting on"), (1, 1, dt.date(2026, 1, 9), "last date of submission"), (1, 2, dt.date(2026, 2, 9), "submission")], "doc_id long, pos int, date date, context string")
-    assert {r.event: r.date for r in tender.key_dates(d).collect()} == {"pre_bid": dt.date(2026, 1, 1), "submission": dt.date(2026, 1, 9)}
     m = spark.createDataFrame([(1, "IN", 5, False), (1, "IN", 9, False), (1, "AE", 1, True), (2, "US", 3, False), (2, "DE", 2, False)], "doc_id long, country string, pos int, on_address boolean")
     docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
     assert {r.doc_id: r.country for r in tender.resolve_location(docs, m).collect()} == {1: "AE", 2: "DE", 3: None}
