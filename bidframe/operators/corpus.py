@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidframe.functions.scalars import duration_days, first_match, parse_number_words
 from bidframe.functions.text import fold, line_shape, sentences, warranty_months
+from bidframe.sources.scratch import stored
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?:\+|00)[0-9][0-9 ().-]{7,}[0-9]"
@@ -189,15 +193,28 @@ def leak_check(texts: DataFrame, forbidden: list[str], allowed: Column | None =
 def content_digest(docs: DataFrame, keys: list[str], text: str = "text", digits: int = 3) -> DataFrame:
     """``keys, digest``: one digest of all whole texts of a key, whatever their order (F28 for sets of any size).
 
-    Texts are hashed in their row and equal ones counted; the hashes of a key
-    are digested in order by blocks of their first ``digits`` hex digits, then
-    the blocks' digests in order. So no group holds a text, and a hot key
-    meets in 16^digits bounded blocks first. Null texts count as empty.
+    Texts are hashed in their row and equal ones counted. The hashes of a key
+    are digested in order by blocks of their first hex digits, the blocks by
+    larger blocks, ``digits`` digits a level; a key has as many levels as keep
+    its blocks at about 16^digits entries. So no group holds a text or grows
+    with the key. Null texts count as empty.
     """
     counted = docs.select(*keys, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h")).groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_n"))
-    entry = F.concat_ws(":", F.col("_h"), F.col("_n").cast("string"))
-    blocks = counted.groupBy(*keys, F.left("_h", F.lit(digits)).alias("_b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ","), 256).alias("_d"))
-    return blocks.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "_b", "_d"))), ","), 256).alias("digest"))
+    counted = stored(counted, "hashes")
+    width = 16**digits
+    levels = F.greatest(F.lit(1), F.ceil(F.log(F.count(F.lit(1)) / width) / F.log(F.lit(float(width)))))
+    depths = stored(counted.groupBy(*keys).agg((digits * levels).cast("int").alias("_depth")), "depths")
+    deepest = depths.agg(F.max("_depth")).first()[0] or digits
+    same = [counted[k].eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    depths = depths.withColumnsRenamed({k: f"_key_{k}" for k in keys}).hint("merge")
+    rows = counted.join(depths, reduce(and_, same)).select(*keys, "_depth", "_h", F.concat_ws(":", F.col("_h"), F.col("_n").cast("string")).alias("_e"))
+    joined = F.sha2(F.array_join(F.sort_array(F.collect_list("_e")), ","), 256)
+    for level in range(deepest, 0, -digits):
+        block = F.left("_h", F.lit(level)).alias("_b")
+        done = rows.where(F.col("_depth") >= level).groupBy(*keys, "_depth", block).agg(joined.alias("_d"))
+        done = done.select(*keys, "_depth", F.col("_b").alias("_h"), F.concat_ws(":", "_b", "_d").alias("_e"))
+        rows = done if level == deepest and deepest == digits else done.unionByName(rows.where(F.col("_depth") < level))
+    return rows.groupBy(*keys).agg(joined.alias("digest"))
 
 
 def section_owner(blocks: DataFrame) -> DataFrame:

@@ -282,9 +282,9 @@ def q_bid_verdict(spark, d):
     return pricing.bid_verdict(rows).select("bid_id", "verdict")
 
 
-@query("leave_one_group_out", """WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 3), t AS (SELECT g.p_brand, avg(p_retailprice) AS m FROM g JOIN part p ON p.p_brand <> g.p_brand GROUP BY 1)
+@query("leave_one_group_out", """WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 12), t AS (SELECT g.p_brand, avg(p_retailprice) AS m FROM g JOIN part p ON p.p_brand <> g.p_brand GROUP BY 1)
 SELECT p_brand AS brand, count(*) AS n, round(any_value(m), 4) AS guess FROM part JOIN t USING (p_brand) GROUP BY 1""")
 def q_logo(spark, d):
     rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_retailprice")
-    found = ledger.leave_one_group_out(rows, "brand", lambda df: df.agg(F.avg("p_retailprice")).first()[0], lambda m, df: df.withColumn("guess", F.lit(m)), 3)
+    found = ledger.leave_one_group_out(rows, "brand", lambda df: df.agg(F.avg("p_retailprice")).first()[0], lambda m, df: df.withColumn("guess", F.lit(m)))
     return found.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("guess"), 4).alias("guess"))

@@ -150,26 +150,56 @@ def extract_page_prices(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", name.alias("name"), price.alias("price"), F.coalesce(currency, F.lit("INR")).alias("currency"), source.alias("source"))
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options) -> DataFrame:
-    """A table of any SQL database, in ranges of ``column`` where given."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-    if column:
-        reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
-    return reader.load()
+def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, low: int | None = None, high: int | None = None, parts: int = 1, quote: str = '"', **options) -> DataFrame:
+    """A table of any SQL database (S11); filters and columns are pushed to it.
+
+    With a numeric ``column`` the table is read in ``parts`` ranges at once;
+    the bounds come from the database itself where they are not given, by the
+    column's name between ``quote`` signs. Rows outside the bounds and null
+    keys are read by the outer ranges.
+    """
+    source = lambda: spark.read.format("jdbc").options(url=url, **options)
+    ranges = {}
+    if column and parts > 1:
+        if low is None or high is None:
+            found = source().option("query", f"SELECT MIN({quote}{column}{quote}) AS low, MAX({quote}{column}{quote}) AS high FROM {name}").load().first()
+            low, high = (found[0] if low is None else low), (found[1] if high is None else high)
+        if low is not None:
+            ranges = {"partitionColumn": column, "lowerBound": low, "upperBound": max(high, low + 1), "numPartitions": parts}
+    return source().options(dbtable=name, **ranges).load()
 
 
 OFFER_SCHEMA = "competitor_id string, competitor string, mpn string, unit_price double, currency string, warranty_months int, lead_time_days int, in_stock boolean, reliability double, country string, observed_at timestamp"
 
 
 def read_feed(spark: SparkSession, path: str, country: str | None = None, streaming: bool = False) -> DataFrame:
-    """Landed feed offers, of one country where given."""
-    rows = (spark.readStream if streaming else spark.read).schema(OFFER_SCHEMA).json(path)
+    """Landed feed offers, of one country where given.
+
+    A record that does not fit the schema keeps what fits and its whole text in
+    ``rescued``, which is null for all others.
+    """
+    reader = (spark.readStream if streaming else spark.read).schema(f"{OFFER_SCHEMA}, rescued string").option("columnNameOfCorruptRecord", "rescued").option("mode", "PERMISSIVE")
+    rows = reader.json(path)
     return rows.where(F.col("country") == country) if country else rows
 
 
-def write_price_versions(df: DataFrame, path: str) -> None:
-    """Append versions, partitioned by the month in which they take effect."""
-    df.withColumn("effective_month", F.date_format("effective_from", "yyyy-MM")).write.mode("append").partitionBy("effective_month").parquet(path)
+def append_batch(df: DataFrame, path: str, batch: int, partition_by: tuple[str, ...] = ()) -> None:
+    """Append ``df`` under the number ``batch``; writing the same batch again replaces it, so a repeated run leaves its rows once.
+
+    The numbered folder is replaced as a whole: rows of an attempt that died
+    are gone with it. An empty batch leaves what other batches wrote.
+    """
+    rows = df.drop("batch").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (rows.partitionBy(*partition_by) if partition_by else rows).parquet(f"{path.rstrip('/')}/batch={int(batch)}")
+
+
+def write_price_versions(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append versions, partitioned by the month in which they take effect (S13); with ``batch``, a repeated append replaces itself."""
+    rows = df.withColumn("effective_month", F.date_format("effective_from", "yyyy-MM"))
+    if batch is None:
+        rows.write.mode("append").partitionBy("effective_month").parquet(path)
+    else:
+        append_batch(rows, path, batch, ("effective_month",))
 
 
 def replace_partition(df: DataFrame, path: str, key: str) -> None:

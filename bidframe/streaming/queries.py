@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -102,6 +102,23 @@ def expiry(plans: DataFrame, commits: DataFrame, ttl: str = "30 minutes", late:
     return p.join(c, (F.col("plan_id") == F.col("_plan")) & (F.col("committed_at") >= F.col("created_at")) & (F.col("committed_at") < F.col("created_at") + F.expr(f"INTERVAL {ttl}")), "left_outer").drop("_plan")
 
 
+def daily_rates(rates: DataFrame, until: str) -> DataFrame:
+    """``currency, day, rate``: each rate (currency, valid_from, rate) on the days from its own to the next one's, the last ones to ``until``."""
+    w = Window.partitionBy("currency").orderBy("valid_from")
+    last = F.coalesce(F.date_sub(F.lead("valid_from").over(w), 1), F.greatest(F.to_date(F.lit(until)), "valid_from"))
+    spans = rates.select("currency", "rate", F.col("valid_from"), last.alias("_last")).where("_last >= valid_from")
+    return spans.select("currency", F.explode(F.sequence("valid_from", "_last")).alias("day"), "rate")
+
+
 def feed_join(feed: DataFrame, catalogue: DataFrame, rates: DataFrame) -> DataFrame:
-    """Live offers with their product and the price in base currency (ST8): two stream-static joins."""
-    return feed.join(catalogue, "mpn").join(rates, "currency").withColumn("price_base", F.col("unit_price") / F.col("rate"))
+    """Live offers with their product and the price in base currency (ST8): two stream-static joins.
+
+    ``rates`` has a row for each currency, or, with a column ``day``, for each
+    currency and day; an offer then takes the rate of the day it was observed.
+    """
+    offers = feed.join(catalogue, "mpn")
+    if "day" in rates.columns:
+        priced = offers.withColumn("day", F.to_date("observed_at")).join(rates, ["currency", "day"])
+    else:
+        priced = offers.join(rates, "currency")
+    return priced.withColumn("price_base", F.col("unit_price") / F.col("rate"))
