@@ -5,8 +5,10 @@ question with other numbers or names has the same template. Windows of
 template tokens of the documents are hash-joined with those of the benchmark.
 A run of matches on one diagonal (document position less item position) is
 one occurrence; it counts if its slots are consistent: each value of the item
-stands for one value of the document (two values may become equal). A document leaks an item
-if consistent occurrences cover enough of the item's windows.
+stands for one value of the document (two values may become equal). A
+capitalised word where a sentence starts is a slot of its own kind, which any
+other such word fits. A document leaks an item if consistent occurrences cover
+enough of the item's windows.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from bidframe.llm._common import written
 
-#: Marks of number, unit and name slots, from the private use area.
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+#: Marks of number, unit and name slots and of capitalised words where a sentence starts, from the private use area.
+NUMBER, UNIT, NAME, START = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Units that are slots after a number; fixed values.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ounce ounces gram grams kilogram kilograms "
@@ -33,13 +35,14 @@ def template_tokens(text: F.Column) -> F.Column:
     """Lower-case tokens; slot tokens carry their mark before their value."""
     t = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_{NAME}])(\p{{Lu}}\p{{Ll}}+)", f"{START}$1")
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{N}+)(?:[.,](\p{N}+))?(?:[.,](\p{N}+))?", f"{NUMBER}$1_$2_$3")
     t = F.regexp_replace(t, rf"({NUMBER}[\p{{N}}_]+[ -]?)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{NUMBER}{UNIT}{NAME}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{NUMBER}{UNIT}{NAME}{START}]+"), lambda x: x != "")
 
 
 def _is_slot(token: F.Column) -> F.Column:
-    return F.substring(token, 1, 1).isin(NUMBER, UNIT, NAME)
+    return F.substring(token, 1, 1).isin(NUMBER, UNIT, NAME, START)
 
 
 def _windows(df: DataFrame, ids: list[str], size: int) -> DataFrame:
@@ -73,9 +76,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: float
     pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
     runs = matched.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(F.collect_set("item_pos").alias("places"), pairs.alias("pairs"))
 
-    distinct = F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
+    # A capitalised word at a sentence's start may be a name or not, so it may change but is no witness.
+    judged = F.filter("pairs", lambda x: F.substring(x["i"], 1, 1) != START)
+    distinct = F.size(F.array_distinct(F.transform(judged, lambda x: x["i"])))
     same_kind = F.forall("pairs", lambda x: F.substring(x["i"], 1, 1) == F.substring(x["d"], 1, 1))
-    runs = runs.where(same_kind & (distinct == F.size("pairs")))
+    runs = runs.where(same_kind & (distinct == F.size(judged)))
     by_item = runs.groupBy("doc_id", "text_key", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("matched"),
         F.max(F.exists("pairs", lambda x: x["i"] != x["d"])).alias("reparameterised"))

@@ -102,3 +102,23 @@ def test_values_that_become_equal(spark):
     docs = [(1, "The farm sells boxes with 4 apples and 4 pears for every guest of the party"), (2, "we measure the road in 7 km and then again in 9 km before we go home")]
     found = leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.matched == r.windows, r.reparameterised) for r in found} == {(1, 1, True, True), (2, 2, True, True)}
+
+
+def test_renamed_questions_whose_names_start_sentences(spark):
+    rng = random.Random(8)
+    item = "Mary has 12 apples. Mary gives 5 apples to John. John eats two of them. How many apples does Mary have now?"
+    names = ["Peter", "Lisa", "Omar", "Ines", "Zoë", "Ravi", "Chen", "Ada"]
+    docs = []
+    for k in range(100):
+        a, b = rng.sample(names, 2)
+        docs.append((k, f"{rng.choice(['Intro text. ', 'A note: ', ''])}{a} has {rng.randint(20, 99)} apples. {a} gives {rng.randint(2, 9)} apples to {b}. {b} eats two of them. How many apples does {a} have now? End."))
+    docs += [(200, "Peter has 9 apples."), (201, "Mary has many friends. Mary gives a talk to John. John sleeps through all of it. How many slides does Mary have now?"), (202, "An old orchard. The trees give fruit. Children eat them. How nice.")]
+    found = leaks(documents(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == set(range(100)) and all(r.reparameterised for r in found)
+
+
+def test_names_inside_sentences_still_bear_witness(spark):
+    item = "On Monday Alice meets Bob at the gate and then Alice leaves Bob behind at the gate again"
+    docs = [(1, item.replace("Alice", "Carol")), (2, "On Monday Carol meets Bob at the gate and then Dora leaves Bob behind at the gate again")]
+    found = leaks(documents(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {1}
