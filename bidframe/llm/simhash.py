@@ -271,13 +271,16 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def similar_labels(sets: list[np.ndarray]) -> np.ndarray:
-    """The first set that each set reaches over links of a Jaccard similarity of 0.8 or more."""
+def similar_labels(sets: list[np.ndarray], blocks: list[np.ndarray] | None = None) -> np.ndarray:
+    """The first set that each set reaches over links of a Jaccard similarity of 0.8 or more; with ``blocks``, only sets that share one are linked."""
     size = np.array([len(x) for x in sets])
     if len(sets) == 2:
         shared = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([0, 0 if 9 * shared >= 4 * size.sum() else 1])
+        near = 9 * shared >= 4 * size.sum() and (blocks is None or len(np.intersect1d(*blocks, assume_unique=True)) > 0)
+        return np.array([0, 0 if near else 1])
     linked = np.triu(9 * shared_counts(sets) >= 4 * (size[:, None] + size), 1)
+    if blocks is not None:
+        linked &= shared_counts(blocks) > 0
     width = -(-len(sets) // 64) * 64
     bits = np.zeros((len(sets), width), np.uint8)
     bits[:, : len(sets)] = linked
@@ -285,30 +288,31 @@ def similar_labels(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(part, node, set)`` by part and node; out come the links ``(u, v)`` of each node to the first one it reaches."""
-    last, nodes, sets = None, [], []
+    """Rows ``(part, node, set, blocks)`` by part and node; out come the links ``(u, v)`` of each node to the first one it reaches. Null ``blocks``: all pairs share one."""
+    last, nodes, sets, held = None, [], [], []
 
     def out() -> Iterator[pa.RecordBatch]:
         if len(nodes) > 1:
             ids = np.array(nodes, np.int64)
-            label = similar_labels(sets)
+            label = similar_labels(sets, held if held[0] is not None else None)
             moved = label != np.arange(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label][moved])], ["u", "v"])
 
     for batch in batches:
         column = batch.column("set")
         flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-        for part, node, a, z in zip(batch.column("part").to_pylist(), batch.column("node").to_pylist(), [0, *ends], ends):
+        for part, node, own, a, z in zip(batch.column("part").to_pylist(), batch.column("node").to_pylist(), batch.column("blocks").to_pylist(), [0, *ends], ends):
             if part != last:
                 yield from out()
-                last, nodes, sets = part, [], []
+                last, nodes, sets, held = part, [], [], []
             nodes.append(node)
             sets.append(flat[a:z].copy())
+            held.append(None if own is None else np.array(own, np.int64))
     yield from out()
 
 
 def _verify(rows: DataFrame) -> DataFrame:
-    return written(rows.select("part", "node", "set").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_verified, "u long, v long"), "verified")
+    return written(rows.select("part", "node", "set", "blocks").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_verified, "u long, v long"), "verified")
 
 
 def similar_components(docs: DataFrame, blocks: DataFrame, shingle: int, radius: int) -> DataFrame:
@@ -319,7 +323,9 @@ def similar_components(docs: DataFrame, blocks: DataFrame, shingle: int, radius:
     fingerprints lie within ``radius`` bits and their numbers of shingles allow
     0.8. A component of candidates of at most ``TILE`` nodes meets in one task
     with its shingle sets. Of a larger one the nodes meet block by block, by
-    pairs of tiles, and the links of all blocks give the components.
+    pairs of tiles, and the links of all blocks give the components. In both
+    cases the pairs that share a block are judged, so a component's size does
+    not change what is linked.
     """
     cells = written(_cells(blocks), "cells")
     close = cells.select("cell", "node", "fingerprint", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius, True), "u long, v long")
@@ -327,11 +333,13 @@ def similar_components(docs: DataFrame, blocks: DataFrame, shingle: int, radius:
     sizes = written(maybe.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "sizes")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("text")).join(maybe.hint("merge"), "node")
     sets = written(texts.select("node", "component", "text").mapInArrow(_shingle_sets(shingle), "node long, component long, set array<long>"), "sets")
-    links = _verify(sets.join(sizes.where(F.col("m") <= TILE).hint("merge"), "component", "left_semi").withColumn("part", F.col("component")))
+    small = sets.join(sizes.where(F.col("m") <= TILE).hint("merge"), "component", "left_semi")
+    own = blocks.join(maybe.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.collect_set(F.xxhash64("block")).alias("blocks"))
+    links = _verify(small.join(own.hint("merge"), "node").withColumn("part", F.col("component")))
     large = sizes.where(F.col("m") > TILE).select("component")
     if not large.isEmpty():
         hot = sets.join(large.hint("merge"), "component", "left_semi")
-        by_cell = components(_verify(cells.select(F.col("cell").alias("part"), "node").join(hot.hint("merge"), "node")))
+        by_cell = components(_verify(cells.select(F.col("cell").alias("part"), "node").join(hot.hint("merge"), "node").withColumn("blocks", F.lit(None).cast("array<long>"))))
         links = links.unionByName(by_cell.select(F.col("node").alias("u"), F.col("component").alias("v")))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 

@@ -221,3 +221,21 @@ def test_rows_that_share_an_id_are_not_lost(spark):
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (1, "q r s t u v"), (None, "x y z"), (2, None)], key=str)
     assert drop_near_copies(documents(spark, [])).count() == 0
+
+
+def test_component_size_does_not_change_links(spark, monkeypatch):
+    """Similar nodes without a common block are not linked, in a small component as in a large one."""
+    import bidframe.llm.simhash as module
+
+    base = [f"u{k}" for k in range(200)]
+    texts = {d: " ".join([*base[:d], f"own{d}", *base[d + 1 :]]) for d in range(12)}
+    sparse = {d: " ".join(w if k % 9 else f"s{d}-{k}" for k, w in enumerate(base)) for d in (20, 21)}  # linked to nothing, but they join the candidates
+    texts |= sparse
+    print_ = random.Random(3).randbytes(64).hex()
+    member = [(1, d) for d in range(6)] + [(2, d) for d in range(6, 12)] + [(3, 0), (3, 20), (4, 20), (4, 6)]
+    blocks = spark.createDataFrame([(b, d, print_, len(shingled(texts[d]))) for b, d in member], "block long, node long, fingerprint string, shingles long")
+    got = []
+    for tile in (2048, 4):
+        monkeypatch.setattr(module, "TILE", tile)
+        got.append({r.node: r.component for r in module.similar_components(documents(spark, list(texts.items())), blocks, 5, 150).collect()})
+    assert got[0] == got[1] == {d: 0 if d < 6 else 6 for d in range(12)}
