@@ -15,8 +15,16 @@ SEVERITY = {"high": 0, "medium": 1, "low": 2}
 
 
 def matrix_requirements(reqs: DataFrame, long_document: Column) -> DataFrame:
-    """Bidder-side clauses; in long documents informational ones only for warranty, standards and delivery (P10)."""
-    return reqs.where((F.col("actor") == "bidder") & (~long_document | (F.col("strength") != "information") | F.col("category").isin("warranty", "standards", "delivery")))
+    """Bidder-side clauses that the matrix answers (P10). Rows: actor, strength, category, type.
+
+    Informational clauses of the type ``scope`` go in every document; in long
+    ones informational clauses of categories other than warranty, standards
+    and delivery go too. A null type is no scope, a null strength or length is
+    none.
+    """
+    told = F.coalesce(F.col("strength") == "information", F.lit(False))
+    kept = F.coalesce(F.col("category").isin("warranty", "standards", "delivery"), F.lit(False)) | ~F.coalesce(long_document, F.lit(False))
+    return reqs.where((F.col("actor") == "bidder") & (~told | (kept & ~F.coalesce(F.col("type") == "scope", F.lit(False)))))
 
 
 def compliance_counts(items: DataFrame) -> DataFrame:
@@ -114,8 +122,9 @@ def spec_fit(asked: Column, offered: Column, fields: dict[str, str]) -> Column:
     """Mean score of the attributes asked for (TX16); null if none is.
 
     ``fields`` name a rule each: ``least`` (enough is 1, unknown 0.5),
-    ``equal`` (1 or 0.2), ``near`` (screen: within 0.5 is 1, within 1.5 is
-    0.5), ``power`` (oversize is worth less, 0.5 at least).
+    ``equal`` (1 or 0.2, unknown 0.5), ``near`` (screen: within 0.5 is 1,
+    within 1.5 is 0.6, unknown is left out), ``power`` (oversize is worth less,
+    0.5 at least, unknown is 0).
     """
     scores = []
     for name, rule in fields.items():
@@ -125,10 +134,10 @@ def spec_fit(asked: Column, offered: Column, fields: dict[str, str]) -> Column:
         elif rule == "equal":
             score = F.when(g == w, 1.0).otherwise(0.2)
         elif rule == "near":
-            score = F.when(F.abs(g - w) <= 0.5, 1.0).when(F.abs(g - w) <= 1.5, 0.5).otherwise(0.0)
+            score = F.when(F.abs(g - w) <= 0.5, 1.0).when(F.abs(g - w) <= 1.5, 0.6).otherwise(0.0)
         else:
             score = F.when(g < w, 0.0).otherwise(F.greatest(F.lit(0.5), 1 - (g - w) / w))
-        scores.append(F.when(w.isNull(), None).when(g.isNull(), 0.5).otherwise(score))
+        scores.append(F.when(w.isNull(), None).when(g.isNull(), {"near": None, "power": 0.0}.get(rule, 0.5)).otherwise(score))
     known = F.array_compact(F.array(*scores))
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidframe.functions.scalars import parse_number_words
 from bidframe.functions.text import fold, sentences, warranty_by_category, warranty_months
+from bidframe.operators.compliance import matrix_requirements
 
 # Lines that are fields, addresses and titles; clause numbers; row serials; roles of table headers.
 FIELD_LINE = (
@@ -118,6 +119,20 @@ MATRIX_STATUS = {"Meets": "Complies", "Documents required": "Complies with note"
 #: Days a small supplier must be paid in, and the largest share of liquidated damages; fixed values.
 PAYMENT_DAYS, DAMAGES_CAP = 45, 10.0
 NOT_HARDWARE = ("software", "service", "cabling")
+# What a clause speaks of, in the order of the rules below.
+WITHIN = r"(?i)within\s+(\d+|one|two|three|four|five|six|seven|eight|nine|ten|twelve)\s+(business days|working days|days|weeks|months)"
+ABOUT_SUPPLY, NOT_SUPPLY, INSTALLS = r"(?i)\bdeliver|\bsuppl(?:y|ied)\b|complet|install|commission|go[- ]live", r"(?i)survey|submit|furnish|report|plan\b", r"(?i)install|commission"
+RESPONSE, HOURS, STANDBY = r"(?i)attend|respon|report", r"(?i)within\s+(\d+)\s*(?:hours|hrs)", r"(?i)standby|replacement unit"
+ROUND_THE_CLOCK, RESIDENT = r"(?i)24\s*[x×/]\s*7|round the clock|24 hours a day", r"(?i)resident engineer|onsite engineer|on-site engineer|dedicated (?:onsite )?engineer"
+PAID_WITHIN = r"(?i)within\s+(\d+)\s+days[^.]*invoice|payment[^.]*within\s+(\d+)\s+days"
+DAMAGES, DAMAGES_CAPPED = r"(?i)liquidated damages", r"(?i)(\d(?:\.\d+)?)\s*%[^.]{0,80}?(week|day|month)[^.]*?maximum (?:of )?(\d{1,2})\s*%"
+SECURITY = r"(?i)performance (?:security|bank guarantee|guarantee)[^.%]{0,60}?(\d{1,2}(?:\.\d+)?)\s*%"
+DEPOSIT, DEPOSIT_RULE = r"(?i)\bemd\b|earnest money|bid security", r"(?i)forfeit|refund|exempt"
+ADVANCE, GUARANTEE, FIRM_PRICE = r"(?i)advance", r"(?i)bank guarantee", r"(?i)firm|fixed|no price variation|price variation"
+UNLIMITED, INDEMNITY, CONVENIENCE = r"(?i)unlimited liability", r"(?i)indemnif", r"(?i)terminat\w* for convenience|terminate the contract for convenience"
+PRIVACY, SUBCONTRACT = r"(?i)data protection|dpdp|personal data", r"(?i)sub-?contract"
+WARRANTY_ROW, SYSTEM_ROW, WARRANTY_WORD = r"(?i)^\s*warranty", r"(?i)^\s*(operating system|os)\b", r"(?i)warrant"
+OFFERED_SYSTEM, EDITION, EDITION_ASKED = "windows 11", "pro", "professional"
 
 
 def standard_keys(s: Column) -> Column:
@@ -127,9 +142,8 @@ def standard_keys(s: Column) -> Column:
 
 def days_within(s: Column) -> Column:
     """Days of "within n days, weeks or months"; null without."""
-    pattern = r"(?i)within\s+(\d+|one|two|three|four|five|six|seven|eight|nine|ten|twelve)\s+(business days|working days|days|weeks|months)"
-    unit = F.lower(F.regexp_extract(s, pattern, 2))
-    return (parse_number_words(F.regexp_extract(s, pattern, 1)) * F.when(unit == "weeks", 7).when(unit == "months", 30).otherwise(1)).cast("int")
+    unit = F.lower(F.regexp_extract(s, WITHIN, 2))
+    return (parse_number_words(F.regexp_extract(s, WITHIN, 1)) * F.when(unit == "weeks", 7).when(unit == "months", 30).otherwise(1)).cast("int")
 
 
 def _answer(status: str, basis: str, severity: str | None = None, risk: str | None = None) -> Column:
@@ -137,32 +151,32 @@ def _answer(status: str, basis: str, severity: str | None = None, risk: str | No
 
 
 def _delivery(t: Column, otherwise: Column) -> Column:
-    supply = t.rlike(r"(?i)\bdeliver|\bsuppl(?:y|ied)\b|complet|install|commission|go[- ]live") & ~t.rlike(r"(?i)survey|submit|furnish|report|plan\b")
+    supply = t.rlike(ABOUT_SUPPLY) & ~t.rlike(NOT_SUPPLY)
     need = F.when(supply, days_within(t))
-    done = F.coalesce("lead_time_days", F.lit(0)) + F.when(F.col("domestic"), 2).otherwise(6) + F.when(t.rlike(r"(?i)install|commission"), 5).otherwise(0)
+    done = F.coalesce("lead_time_days", F.lit(0)) + F.when(F.col("domestic"), 2).otherwise(6) + F.when(t.rlike(INSTALLS), 5).otherwise(0)
     basis = "Lead times, transit and installation"
     return F.when(F.coalesce(need, F.lit(0)) == 0, otherwise).when(done <= need, _answer("Complies", basis)).when(done <= need * 1.5, _answer("Complies with note", basis)).otherwise(_answer("Deviation", basis))
 
 
 def _warranty(t: Column, otherwise: Column) -> Column:
-    need = F.when(t.rlike(r"(?i)warrant"), warranty_months(t))
+    need = F.when(t.rlike(WARRANTY_WORD), warranty_months(t))
     per = warranty_by_category(t)
     hardware = F.filter("lines", lambda x: ~x["category"].isin(*NOT_HARDWARE) & ((F.size(per) == 0) | F.map_contains_key(per, x["category"])))
     met = lambda x: x["warranty_months"] >= F.coalesce(F.try_element_at(per, x["category"]), need)
     basis = "Warranty quoted for each line"
     terms = F.when(F.exists(hardware, lambda x: ~met(x)), _answer("Deviation", basis)).when(F.exists(hardware, lambda x: x["extended"] & met(x)), _answer("Complies with note", basis)).otherwise(_answer("Complies", basis))
-    hours = F.when(t.rlike(r"(?i)attend|respon|report"), F.regexp_extract(t, r"(?i)within\s+(\d+)\s*(?:hours|hrs)", 1).try_cast("int"))
+    hours = F.when(t.rlike(RESPONSE), F.regexp_extract(t, HOURS, 1).try_cast("int"))
     near = F.col("client_city").isNull() | F.col("has_office")
     support = "Support levels of the company"
-    return F.when(need > 0, terms).when(t.rlike(r"(?i)standby|replacement unit"), _answer("Complies", "Support model")).when(
-        t.rlike(r"(?i)24\s*[x×/]\s*7|round the clock|24 hours a day"), F.when(F.col("helpdesk_24x7"), _answer("Complies", support)).otherwise(_answer("Complies with note", support, "medium", "24x7 helpdesk commitment"))).when(
+    return F.when(need > 0, terms).when(t.rlike(STANDBY), _answer("Complies", "Support model")).when(
+        t.rlike(ROUND_THE_CLOCK), F.when(F.col("helpdesk_24x7"), _answer("Complies", support)).otherwise(_answer("Complies with note", support, "medium", "24x7 helpdesk commitment"))).when(
         hours.isNotNull(), F.when((hours >= F.col("response_hours")) & near, _answer("Complies", support)).otherwise(_answer("Complies with note", support, "medium", "On-site response obligation"))).when(
-        t.rlike(r"(?i)resident engineer|onsite engineer|on-site engineer|dedicated (?:onsite )?engineer"), _answer("Complies with note", "Manpower commitment", "low", "Resident engineer")).otherwise(otherwise)
+        t.rlike(RESIDENT), _answer("Complies with note", "Manpower commitment", "low", "Resident engineer")).otherwise(otherwise)
 
 
-def _standards(t: Column, held: list[str], otherwise: Column) -> Column:
+def _standards(t: Column, held: Column, otherwise: Column) -> Column:
     asked = standard_keys(t)
-    missing = F.array_except(asked, F.array(*map(F.lit, held)) if held else F.array().cast("array<string>"))
+    missing = F.array_except(asked, F.coalesce(held, F.array().cast("array<string>")))
     basis = "Certificates held"
     return F.when(F.size(asked) == 0, otherwise).when(F.size(missing) == 0, _answer("Complies", basis)).when(F.size(missing) < F.size(asked), _answer("Complies with note", basis)).otherwise(_answer("Clarification required", basis))
 
@@ -170,63 +184,82 @@ def _standards(t: Column, held: list[str], otherwise: Column) -> Column:
 def _commercial(t: Column) -> Column:
     basis = "Commercial term accepted"
     yes, note = _answer("Complies", basis), _answer("Complies with note", basis)
-    days = F.coalesce(*(F.regexp_extract(t, p, 1).try_cast("int") for p in (r"(?i)within\s+(\d+)\s+days[^.]*invoice", r"(?i)payment[^.]*within\s+(\d+)\s+days")))
-    capped = r"(?i)(\d(?:\.\d+)?)\s*%[^.]{0,80}?(week|day|month)[^.]*?maximum (?:of )?(\d{1,2})\s*%"
-    cap = F.regexp_extract(t, capped, 3).try_cast("double")
+    days = F.coalesce(*(F.regexp_extract(t, PAID_WITHIN, g).try_cast("int") for g in (1, 2)))
+    cap = F.regexp_extract(t, DAMAGES_CAPPED, 3).try_cast("double")
     damages = F.when(cap.isNull(), yes).when(cap > DAMAGES_CAP, _answer("Complies with note", basis, "high", "Liquidated damages")).otherwise(_answer("Complies with note", basis, "low", "Liquidated damages"))
     late = _answer("Complies with note", basis, "medium", "Payment beyond 45 days")
-    return F.when(days.isNotNull(), F.when((days > PAYMENT_DAYS) & F.col("small_local"), late).otherwise(yes)).when(t.rlike(r"(?i)liquidated damages"), damages).when(
-        t.rlike(r"(?i)performance (?:security|bank guarantee|guarantee)[^.%]{0,60}?(\d{1,2}(?:\.\d+)?)\s*%"), _answer("Complies", basis, "low", "Performance security")).when(
-        t.rlike(r"(?i)\bemd\b|earnest money|bid security") & F.col("small_local") & t.rlike(r"(?i)forfeit|refund|exempt"), yes).when(
-        t.rlike(r"(?i)advance") & t.rlike(r"(?i)bank guarantee"), note).when(t.rlike(r"(?i)firm|fixed|no price variation|price variation"), note).otherwise(yes)
+    return F.when(days.isNotNull(), F.when((days > PAYMENT_DAYS) & F.col("small_local"), late).otherwise(yes)).when(t.rlike(DAMAGES), damages).when(
+        t.rlike(SECURITY), _answer("Complies", basis, "low", "Performance security")).when(
+        t.rlike(DEPOSIT) & F.col("small_local") & t.rlike(DEPOSIT_RULE), yes).when(
+        t.rlike(ADVANCE) & t.rlike(GUARANTEE), note).when(t.rlike(FIRM_PRICE), note).otherwise(yes)
 
 
 def _legal(t: Column, standards: Column) -> Column:
     basis = "Contract condition accepted"
     note = _answer("Complies with note", basis)
-    return F.when(t.rlike(r"(?i)unlimited liability"), _answer("Deviation", "Liability is capped at the contract value", "high", "Unlimited liability")).when(t.rlike(r"(?i)indemnif"), note).when(
-        t.rlike(r"(?i)terminat\w* for convenience|terminate the contract for convenience"), _answer("Complies with note", basis, "low", "Termination for convenience")).when(
-        t.rlike(r"(?i)data protection|dpdp|personal data"), standards).when(t.rlike(r"(?i)sub-?contract"), note).otherwise(_answer("Complies", basis))
+    return F.when(t.rlike(UNLIMITED), _answer("Deviation", "Liability is capped at the contract value", "high", "Unlimited liability")).when(t.rlike(INDEMNITY), note).when(
+        t.rlike(CONVENIENCE), _answer("Complies with note", basis, "low", "Termination for convenience")).when(
+        t.rlike(PRIVACY), standards).when(t.rlike(SUBCONTRACT), note).otherwise(_answer("Complies", basis))
 
 
 def _spec_row(t: Column) -> Column:
     parameter, want = F.substring_index(t, ":", 1), F.regexp_replace(t, r"^[^:]*:?", "")
-    need = F.when(parameter.rlike(r"(?i)^\s*warranty"), warranty_months(want))
+    need = F.when(parameter.rlike(WARRANTY_ROW), warranty_months(want))
     basis = "Compared with the catalogue"
     yes, note, no = (_answer(s, basis) for s in ("Complies", "Complies with note", "Deviation"))
     warranty = F.when(F.col("line_months") < need, no).when(F.col("line_extended"), note).otherwise(yes)
+    offered = fold(F.col("product_os"))
+    system = F.when(offered.contains(OFFERED_SYSTEM) & (offered.contains(EDITION) | ~fold(want).contains(EDITION_ASKED)), yes).otherwise(no)
     fit = F.when(F.col("failed"), no).when(F.col("fit") >= 0.99, yes).otherwise(note)
-    return F.when(F.col("line_months").isNull(), _answer("Clarification required", "Not linked to a priced line")).when(need > 0, warranty).when(F.col("fit").isNotNull(), fit).when(
+    return F.when(F.col("line_months").isNull(), _answer("Clarification required", "Not linked to a priced line")).when(need > 0, warranty).when(
+        parameter.rlike(SYSTEM_ROW) & F.col("product_os").isNotNull(), system).when(F.col("fit").isNotNull(), fit).when(
         F.col("met").isNotNull(), F.when(F.col("met"), yes).otherwise(no)).otherwise(_answer("Complies with note", "Not held in the catalogue"))
 
 
-def compliance_matrix(reqs: DataFrame, bids: DataFrame, lines: DataFrame, checks: DataFrame, held: list[str], overrides: DataFrame) -> DataFrame:
+def held_by_evidence(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """``bid_id, held``: the standards of each bid that the best passage of its search names.
+
+    ``asked``: bid_id, text of the clauses; ``hits``: bid_id, standard (as
+    ``standard_keys`` writes it), passage, rank of a search for each standard.
+    Only the passage of rank 1 counts. A bid's array is bounded by the names of
+    standards. Bids whose clauses name none, and standards without a passage,
+    give no entry.
+    """
+    wanted = asked.select("bid_id", F.explode(standard_keys(F.col("text"))).alias("standard")).distinct()
+    first = hits.where(F.col("rank") == 1).select("bid_id", "standard", F.regexp_replace(F.lower("passage"), r"[\s/]|iec", "").alias("_said"))
+    named = wanted.hint("merge").join(first, ["bid_id", "standard"]).where(F.col("_said").contains(F.col("standard")))
+    return named.groupBy("bid_id").agg(F.array_sort(F.collect_set("standard")).alias("held"))
+
+
+def compliance_matrix(reqs: DataFrame, bids: DataFrame, lines: DataFrame, checks: DataFrame, held: list[str] | None, overrides: DataFrame) -> DataFrame:
     """``bid_id, req_id, category, strength, status, basis, severity, risk, overridden``: an answer to each bidder's clause (PR19).
 
-    ``reqs``: bid_id, req_id, text, category, strength, actor, source, line_no,
-    evidenced (a passage supports the clause), fit, failed, met (of a
-    specification row against its product). ``bids``: bid_id, long_form,
+    ``reqs``: bid_id, req_id, text, category, type (of a clause), strength,
+    actor, source, line_no, evidenced (a passage supports the clause); fit,
+    failed, met and product_os of a specification row against its product, as
+    ``specs.spec_rows`` finds them. ``bids``: bid_id, long_form,
     lead_time_days, domestic, client_city, has_office, helpdesk_24x7,
     response_hours, small_local. ``lines``: bid_id, line_no, category,
-    warranty_months, extended. ``checks``: bid_id, text, verdict. ``held``:
-    standards as ``standard_keys`` writes them. ``overrides``: bid_id, req_id,
-    status; they win.
+    warranty_months, extended. ``checks``: bid_id, check_no, text, verdict; of
+    equal texts the last counts. ``held``: standards as ``standard_keys``
+    writes them, or None to read each bid's column ``held`` (see
+    ``held_by_evidence``). ``overrides``: bid_id, req_id, status; they win.
 
     One pass over the clauses: a bid's lines are gathered once (they bound the
     array), a row's own line and check come by equi joins, and the category
     picks the rule.
     """
     t, kind = F.col("text"), F.col("category")
-    rows = reqs.where("actor = 'bidder'").join(bids, "bid_id")
     told = F.col("strength") == "information"
-    rows = rows.where(~told | (F.col("long_form") & kind.isin("warranty", "standards", "delivery")) | (~F.col("long_form") & (kind != "scope")))
+    rows = matrix_requirements(reqs.join(bids, "bid_id"), F.col("long_form"))
     per_bid = lines.groupBy("bid_id").agg(F.collect_list(F.struct("category", "warranty_months", "extended")).alias("lines"))
     own = lines.select("bid_id", "line_no", F.col("warranty_months").alias("line_months"), F.col("extended").alias("line_extended"))
-    said = checks.groupBy("bid_id", fold(F.col("text")).alias("_text")).agg(F.first("verdict").alias("verdict"))
+    said = checks.groupBy("bid_id", fold(F.col("text")).alias("_text")).agg(F.max_by("verdict", "check_no").alias("verdict"))
     rows = rows.join(per_bid, "bid_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<struct<category:string,warranty_months:int,extended:boolean>>")))
     rows = rows.join(own, ["bid_id", "line_no"], "left").withColumn("_text", fold(t)).join(said, ["bid_id", "_text"], "left")
     grounded = F.when(F.col("evidenced"), _answer("Complies", "Evidence")).when(told, _answer("Noted", "Informational clause")).otherwise(_answer("Complies", "Undertaking"))
-    standards = _standards(t, held, grounded)
+    certified = F.col("held") if held is None else F.array(*map(F.lit, held)).cast("array<string>")
+    standards = _standards(t, certified, grounded)
     by_check = F.when(F.col("verdict").isNull(), _answer("Noted", "Eligibility statement"))
     for verdict, status in MATRIX_STATUS.items():
         by_check = by_check.when(F.col("verdict") == verdict, _answer(status, "Eligibility check"))

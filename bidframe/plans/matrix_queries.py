@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidframe.operators import matrix
+from bidframe.operators import specs as spec
 from bidframe.plans.bindings import TAX_RULES, bound, cte, table, tax_rules, values
 from bidframe.plans.queries import query
 from bidframe.plans.rule_queries import _pick, _pick_sql
@@ -40,12 +41,12 @@ def q_matrix(spark, d):
     reqs = rows.select(
         F.col("l_orderkey").alias("bid_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate").cast("string").alias("req_id"), _pick(k, [c[2] for c in CLAUSES]).alias("text"),
         _pick(k, [c[0] for c in CLAUSES]).alias("category"), F.lit("mandatory").alias("strength"), F.when((F.col("l_orderkey") % 2 == 0) | (F.col("l_suppkey") % 3 > 0), "bidder").otherwise("buyer").alias("actor"),
-        _pick(k, [c[1] for c in CLAUSES]).alias("source"), F.lit(None).cast("int").alias("line_no"), F.lit(False).alias("evidenced"), F.lit(None).cast("double").alias("fit"), F.lit(False).alias("failed"), F.lit(None).cast("boolean").alias("met"), "l_suppkey")
+        _pick(k, [c[1] for c in CLAUSES]).alias("source"), F.lit(None).cast("int").alias("line_no"), F.lit(False).alias("evidenced"), F.lit(None).cast("double").alias("fit"), F.lit(False).alias("failed"), F.lit(None).cast("boolean").alias("met"), F.lit("scope").alias("type"), F.lit(None).cast("string").alias("product_os"), "l_suppkey")
     bids = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("bid_id"), (F.col("o_orderkey") % 3 > 0).alias("long_form"), F.lit(10).alias("lead_time_days"), F.lit(True).alias("domestic"), F.lit("Town").alias("client_city"), F.lit(True).alias("has_office"),
         F.lit(True).alias("helpdesk_24x7"), F.lit(8).alias("response_hours"), F.lit(True).alias("small_local"))
     lines = bound(spark, d, "lines").join(bound(spark, d, "products").select("sku", "category", "warranty_months"), "sku").select("bid_id", "line_no", "category", "warranty_months", F.lit(False).alias("extended"))
-    checks = bids.select("bid_id", F.lit("nothing").alias("text"), F.lit("Meets").alias("verdict"))
+    checks = bids.select("bid_id", F.lit(1).alias("check_no"), F.lit("nothing").alias("text"), F.lit("Meets").alias("verdict"))
     fixed = reqs.where("l_suppkey % 11 = 0").select("bid_id", "req_id", F.lit("Deviation").alias("status")).distinct()
     found = matrix.compliance_matrix(reqs.drop("l_suppkey"), bids, lines, checks, HELD, fixed)
     return found.groupBy("category", "status", "risk").agg(F.count(F.lit(1)).alias("n"))
@@ -56,17 +57,64 @@ CASE bid_id % 4 WHEN 0 THEN 'Complies' WHEN 1 THEN 'Complies with note' WHEN 2 T
 def q_eligibility_matrix(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("bid_id"))
     k = F.col("bid_id")
-    base = [F.lit("mandatory").alias("strength"), F.lit("bidder").alias("actor"), F.lit("table").alias("source"), F.lit(False).alias("evidenced"), F.lit(False).alias("failed"), F.lit(None).cast("boolean").alias("met")]
+    base = [F.lit("mandatory").alias("strength"), F.lit("bidder").alias("actor"), F.lit("table").alias("source"), F.lit(False).alias("evidenced"), F.lit(False).alias("failed"), F.lit("eligibility").alias("type"), F.lit(None).cast("string").alias("product_os"), F.lit(None).cast("boolean").alias("met")]
     none = F.lit(None).cast("double")
     reqs = c.select("bid_id", F.lit(1).alias("req_id"), F.lit("Turnover of 3 crore").alias("text"), F.lit("eligibility").alias("category"), F.lit(None).cast("int").alias("line_no"), none.alias("fit"), *base).unionByName(
         c.select("bid_id", F.lit(2).alias("req_id"), F.lit("Memory: 16 GB").alias("text"), F.lit("technical").alias("category"), F.when(k % 4 < 3, 1).alias("line_no"), F.when(k % 4 == 0, 1.0).when(k % 4 == 1, 0.8).alias("fit"), *base[:-1], F.when(k % 4 == 2, False).alias("met")))
     bids = c.select("bid_id", F.lit(True).alias("long_form"), F.lit(0).alias("lead_time_days"), F.lit(True).alias("domestic"), F.lit("T").alias("client_city"), F.lit(True).alias("has_office"), F.lit(True).alias("helpdesk_24x7"), F.lit(8).alias("response_hours"), F.lit(True).alias("small_local"))
     lines = c.select("bid_id", F.lit(1).alias("line_no"), F.lit("laptop").alias("category"), F.lit(12).alias("warranty_months"), F.lit(False).alias("extended"))
-    checks = c.select("bid_id", F.lit("TURNOVER of 3 crore").alias("text"), _pick(k, ("Meets", "Documents required", "Needs review", "Does not meet", None)).alias("verdict"))
+    verdict = _pick(k, ("Meets", "Documents required", "Needs review", "Does not meet", None))
+    # of two checks of one text the later counts
+    checks = c.select("bid_id", F.lit("TURNOVER of 3 crore").alias("text"), F.explode(F.array(F.struct(F.lit(2).alias("check_no"), verdict.alias("verdict")), F.struct(F.lit(1).alias("check_no"), F.lit("Meets").alias("verdict")))).alias("c")).select("bid_id", "text", "c.*")
     found = matrix.compliance_matrix(reqs, bids, lines, checks, HELD, c.limit(0).select("bid_id", F.lit(1).alias("req_id"), F.lit("x").alias("status")))
     return found.groupBy("bid_id").agg(F.max(F.when(F.col("req_id") == 1, F.col("status"))).alias("eligibility"), F.max(F.when(F.col("req_id") == 2, F.col("status"))).alias("specification"))
 
 
+@query("matrix_thresholds", """WITH r AS (SELECT l_orderkey AS bid_id, l_linenumber, l_partkey % 5 AS k, CAST(l_quantity AS INT) AS n FROM lineitem),
+a AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN n >= 12 THEN 'Complies' WHEN 12 <= n * 1.5 THEN 'Complies with note' ELSE 'Deviation' END WHEN 1 THEN CASE WHEN n > 45 THEN 'Complies with note' ELSE 'Complies' END
+WHEN 2 THEN 'Complies with note' WHEN 3 THEN CASE WHEN n > 24 THEN 'Deviation' WHEN bid_id % 2 = 0 THEN 'Complies with note' ELSE 'Complies' END ELSE CASE WHEN n >= 8 THEN 'Complies' ELSE 'Complies with note' END END AS status,
+CASE WHEN k = 1 AND n > 45 THEN 'medium' WHEN k = 2 THEN CASE WHEN n > 10 THEN 'high' ELSE 'low' END WHEN k = 4 AND n < 8 THEN 'medium' END AS severity FROM r)
+SELECT k, n AS number, status, severity, count(*) AS clauses FROM a GROUP BY 1, 2, 3, 4""")
+def q_thresholds(spark, d):
+    k, n = F.col("l_partkey") % 5, F.col("l_quantity").cast("int")
+    said = lambda before, after: F.concat(F.lit(before), n.cast("string"), F.lit(after))
+    text = F.when(k == 0, said("Goods are delivered within ", " days")).when(k == 1, said("Payment falls due within ", " days")).when(k == 2, said("Liquidated damages of 0.5 % per week, maximum ", " %")).when(
+        k == 3, said("The goods carry a warranty of ", " months")).otherwise(said("Respond to complaints within ", " hours"))
+    reqs = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("bid_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", k.alias("k"), n.alias("n")).alias("req_id"), text.alias("text"), _pick(k, ("delivery", "commercial", "commercial", "warranty", "warranty")).alias("category"),
+        F.lit("commercial").alias("type"), F.lit("mandatory").alias("strength"), F.lit("bidder").alias("actor"), F.lit("text").alias("source"), F.lit(None).cast("int").alias("line_no"), F.lit(False).alias("evidenced"),
+        F.lit(None).cast("double").alias("fit"), F.lit(False).alias("failed"), F.lit(None).cast("boolean").alias("met"), F.lit(None).cast("string").alias("product_os"))
+    bids = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("bid_id"), F.lit(True).alias("long_form"), F.lit(10).alias("lead_time_days"), F.lit(True).alias("domestic"), F.lit(None).cast("string").alias("client_city"), F.lit(False).alias("has_office"),
+        F.lit(True).alias("helpdesk_24x7"), F.lit(8).alias("response_hours"), F.lit(True).alias("small_local"))
+    lines = bids.select("bid_id", F.lit(1).alias("line_no"), F.lit("laptop").alias("category"), F.lit(24).alias("warranty_months"), (F.col("bid_id") % 2 == 0).alias("extended"))
+    checks = bids.select("bid_id", F.lit(1).alias("check_no"), F.lit("nothing").alias("text"), F.lit("Meets").alias("verdict"))
+    none = reqs.select("bid_id", "req_id", F.lit("x").alias("status")).limit(0)
+    found = matrix.compliance_matrix(reqs, bids, lines, checks, HELD, none)
+    return found.groupBy(F.col("req_id.k").alias("k"), F.col("req_id.n").alias("number"), "status", "severity").agg(F.count(F.lit(1)).alias("clauses"))
+
+
+@query("spec_rows", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS n, p_size, l_partkey % 6 AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN p_size >= n THEN 1.0 ELSE 0.0 END WHEN 1 THEN CASE WHEN p_size < n THEN 0.0 ELSE greatest(0.5, 1 - (1000 * p_size - 1000 * n) / (1000.0 * n)) END WHEN 2 THEN CASE WHEN abs(p_size - n) <= 0.5 THEN 1.0 WHEN abs(p_size - n) <= 1.5 THEN 0.6 ELSE 0.0 END
+WHEN 3 THEN CASE WHEN p_size = n THEN 1.0 WHEN p_size > n THEN 0.6 ELSE 0.0 END WHEN 4 THEN CASE WHEN l_partkey % 4 = 0 THEN 1.0 ELSE 0.2 END END AS fit FROM r)
+SELECT k, count(*) AS n, round(sum(fit), 6) AS fit, count(*) FILTER (WHERE (k IN (0, 1) AND p_size < n) OR (k = 4 AND l_partkey % 4 <> 0)) AS failed, count(*) FILTER (WHERE k = 5) AS systems FROM s WHERE k <> 2 OR n >= 10 GROUP BY 1""")
+def q_spec_rows(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("k", F.col("l_partkey") % 6).withColumn("n", F.col("l_quantity").cast("int"))
+    k, n = F.col("k"), F.col("n").cast("string")
+    said = lambda before, after: F.concat(F.lit(before), n, F.lit(after))
+    text = F.when(k == 0, said("Memory: minimum ", " GB")).when(k == 1, said("UPS rating: ", " kVA")).when(k == 2, said("Display: ", "-inch")).when(k == 3, said("Switch: ", "-port")).when(k == 4, "Rack: 2U").otherwise("Operating system: any")
+    # screens are read from two digits on
+    reqs = rows.where((k != 2) | (F.col("n") >= 10)).select(F.col("l_orderkey").alias("bid_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").cast("string").alias("line_no"), "k", "n", text.alias("text"), "l_partkey")
+    lines = reqs.select("bid_id", "line_no", F.col("l_partkey").alias("sku"), F.lit("laptop").alias("category")).distinct()
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    thousands = (1000 * F.col("p_size")).cast("string")
+    specs = F.map_from_entries(F.array(*(F.struct(F.lit(a).alias("k"), v.alias("v")) for a, v in [
+        ("ram_gb", size), ("capacity_va", thousands), ("screen_in", size), ("ports", size), ("form_factor", F.when(key % 4 == 0, "2U rack").otherwise("tower")), ("os", F.lit("Windows 11 Pro"))])))
+    products = table(spark, d, "part").select(key.alias("sku"), specs.alias("specs"), F.lower("p_name").alias("described"))
+    found = spec.spec_rows(reqs.drop("l_partkey"), lines, products)
+    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("fit"), 6).alias("fit"), F.count_if("failed").alias("failed"), F.count_if(F.col("fit").isNull() & (F.col("product_os") == "Windows 11 Pro")).alias("systems"))
+
+
 @query("matrix_risks", """SELECT o_custkey % 50 AS bid_id, risk, CASE min(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity
 FROM (SELECT *, 'R' || (o_orderkey % 7) AS risk, ['high', 'medium', 'low'][o_orderkey % 3 + 1] AS severity FROM orders) GROUP BY 1, 2""")
 def q_matrix_risks(spark, d):

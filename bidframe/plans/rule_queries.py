@@ -186,11 +186,15 @@ def q_recommendation(spark, d):
     return compliance.bid_recommendation(_verdicts(spark, d), _items(spark, d), risks).select("bid_id", "recommendation", F.size("reasons").alias("reasons"))
 
 
-@query("matrix_requirements", f"""WITH r AS (SELECT l_orderkey, {_pick_sql('l_partkey', ('bidder', 'buyer'))} AS actor, {_pick_sql('l_suppkey', ('mandatory', 'information', 'desirable'))} AS strength, {_pick_sql('l_linenumber', ('scope', 'warranty', 'legal'))} AS category, l_orderkey % 2 = 0 AS long FROM lineitem)
-SELECT strength, category, count(*) AS n FROM r WHERE actor = 'bidder' AND (NOT long OR strength <> 'information' OR category = 'warranty') GROUP BY 1, 2""")
+@query("matrix_requirements", f"""WITH r AS (SELECT l_orderkey, {_pick_sql('l_partkey', ('bidder', 'buyer'))} AS actor, {_pick_sql('l_suppkey', ('mandatory', 'information', 'desirable'))} AS strength, {_pick_sql('l_linenumber', ('scope', 'warranty', 'legal'))} AS category,
+{_pick_sql('CAST(l_quantity AS INT)', ('scope', 'commercial', None))} AS type, l_orderkey % 2 = 0 AS long FROM lineitem)
+SELECT strength, category, coalesce(type, 'none') AS type, count(*) AS n FROM r WHERE actor = 'bidder' AND (strength <> 'information' OR (coalesce(type, '') <> 'scope' AND (NOT long OR category = 'warranty'))) GROUP BY 1, 2, 3""")
 def q_matrix_requirements(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", _pick(F.col("l_partkey"), ("bidder", "buyer")).alias("actor"), _pick(F.col("l_suppkey"), ("mandatory", "information", "desirable")).alias("strength"), _pick(F.col("l_linenumber"), ("scope", "warranty", "legal")).alias("category"))
-    return compliance.matrix_requirements(rows, F.col("l_orderkey") % 2 == 0).groupBy("strength", "category").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", _pick(F.col("l_partkey"), ("bidder", "buyer")).alias("actor"), _pick(F.col("l_suppkey"), ("mandatory", "information", "desirable")).alias("strength"), _pick(F.col("l_linenumber"), ("scope", "warranty", "legal")).alias("category"),
+        _pick(F.col("l_quantity").cast("int"), ("scope", "commercial", None)).alias("type"))
+    kept = compliance.matrix_requirements(rows, F.col("l_orderkey") % 2 == 0)
+    return kept.groupBy("strength", "category", F.coalesce("type", F.lit("none")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("requirement_counts", f"SELECT l_orderkey AS doc_id, l_linenumber AS section, count(*) AS n, count(*) FILTER (WHERE {_pick_sql('l_suppkey', ('mandatory', 'information', 'desirable'))} = 'mandatory') AS mandatory FROM lineitem GROUP BY 1, 2")
@@ -296,8 +300,8 @@ def q_alternative(spark, d):
 
 
 @query("spec_fit", """WITH a AS (SELECT l_partkey, l_suppkey, p_size, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT l_partkey % 10 AS k, count(*) AS n, round(sum((CASE WHEN p_size >= l_quantity THEN 1.0 ELSE 0.0 END + CASE WHEN l_suppkey % 4 = 0 THEN 0.5 WHEN abs(p_size - l_quantity) <= 0.5 THEN 1.0 WHEN abs(p_size - l_quantity) <= 1.5 THEN 0.5 ELSE 0.0 END
-+ CASE WHEN p_size < l_quantity THEN 0.0 ELSE greatest(0.5, 1 - (p_size - l_quantity) / l_quantity) END) / 3), 6) AS fit FROM a GROUP BY 1""")
+SELECT l_partkey % 10 AS k, count(*) AS n, round(sum((CASE WHEN p_size >= l_quantity THEN 1.0 ELSE 0.0 END + CASE WHEN l_suppkey % 4 = 0 THEN 0.0 WHEN abs(p_size - l_quantity) <= 0.5 THEN 1.0 WHEN abs(p_size - l_quantity) <= 1.5 THEN 0.6 ELSE 0.0 END
++ CASE WHEN p_size < l_quantity THEN 0.0 ELSE greatest(0.5, 1 - (p_size - l_quantity) / l_quantity) END) / CASE WHEN l_suppkey % 4 = 0 THEN 2 ELSE 3 END), 6) AS fit FROM a GROUP BY 1""")
 def q_spec_fit(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     w, g = F.col("l_quantity"), F.col("p_size")

@@ -168,7 +168,7 @@ def test_spec_fit_and_attributes(spark):
     schema = "a struct<ram:int,screen:double,va:int,cpu:string>, b struct<ram:int,screen:double,va:int,cpu:string>"
     rows = spark.createDataFrame([((16, 14.0, None, "i5"), (16, 15.0, None, "i7")), ((16, None, 1000, None), (8, None, 1500, None)), ((None, None, None, None), (1, 1.0, 1, "x"))], schema)
     got = [r.f for r in rows.select(compliance.spec_fit(F.col("a"), F.col("b"), {"ram": "least", "screen": "near", "va": "power", "cpu": "equal"}).alias("f")).collect()]
-    assert got == [pytest.approx((1 + 0.5 + 0.2) / 3), pytest.approx((0 + 0.5) / 2), None]
+    assert got == [pytest.approx((1 + 0.6 + 0.2) / 3), pytest.approx((0 + 0.5) / 2), None]
     mouse = "Wired USB optical mouse, ambidextrous, 3 buttons, scroll wheel, 800 dpi"
     texts = ["Minimum 1000 DPI", "Ambidextrous", "Wired USB optical mouse, 3 buttons with scroll wheel", "Black with RGB lighting"]
     df = spark.createDataFrame([(t, mouse, 800.0) for t in texts], "r string, c string, dpi double")
