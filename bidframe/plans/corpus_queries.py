@@ -81,7 +81,10 @@ def q_leak(spark, d):
     return corpus.leak_check(docs, _FORBIDDEN, F.col("allowed")).select("doc_id", F.array_join("terms", ",").alias("terms"), F.size("amounts").alias("amounts"), F.array_max("amounts").alias("largest"))
 
 
-@query("page_chunks")
+@query("page_chunks", """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+w AS (SELECT doc_id, pos, length(line) AS n, length(line) + 1 AS used, 1 AS page FROM l WHERE pos = 0
+  UNION ALL SELECT l.doc_id, l.pos, length(l.line), CASE WHEN w.used + length(l.line) + 1 > 3200 THEN 0 ELSE w.used END + length(l.line) + 1, w.page + CAST(w.used + length(l.line) + 1 > 3200 AS INT) FROM w JOIN l ON l.doc_id = w.doc_id AND l.pos = w.pos + 1)
+SELECT doc_id, CAST(page AS INT) AS page, count(*) AS lines, CAST(sum(n) AS BIGINT) AS chars FROM w GROUP BY 1, 2""")
 def q_pages(spark, d):
     return corpus.page_chunks(table(spark, d, "documents")).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
 
