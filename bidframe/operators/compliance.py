@@ -77,7 +77,7 @@ def similar_works_check(cred: DataFrame, options: DataFrame) -> DataFrame:
     Each work meets the few options of its own bid, and the pairs are counted
     with map-side combine.
     """
-    counts = options.join(cred, "bid_id", "left").groupBy("bid_id", "option_no", "n", "threshold").agg(F.sum(F.coalesce((F.col("value") >= F.col("threshold")).cast("long"), F.lit(0))).alias("works"))
+    counts = options.hint("merge").join(cred, "bid_id", "left").groupBy("bid_id", "option_no", "n", "threshold").agg(F.sum(F.coalesce((F.col("value") >= F.col("threshold")).cast("long"), F.lit(0))).alias("works"))
     return counts.groupBy("bid_id").agg(F.min(F.when(F.col("works") >= F.col("n"), F.col("option_no"))).alias("option_no")).withColumn(
         "verdict", F.when(F.col("option_no").isNotNull(), "Meets").otherwise("Does not meet"))
 
@@ -217,7 +217,7 @@ def align_items(gold: DataFrame, parsed: DataFrame, least: float = 0.25) -> Data
     """
     a = gold.select("doc_id", F.col("line_no").alias("left_no"), "quantity", tokens(F.col("description")).alias("t"))
     b = parsed.select("doc_id", F.col("line_no").alias("right_no"), "quantity", tokens(F.col("description")).alias("u"))
-    pairs = a.join(b, ["doc_id", "quantity"]).withColumn("score", jaccard(F.array_distinct("t"), F.array_distinct("u"))).where(F.col("score") > least)
+    pairs = a.join(b.hint("merge"), ["doc_id", "quantity"]).withColumn("score", jaccard(F.array_distinct("t"), F.array_distinct("u"))).where(F.col("score") > least)
     return pairs.select("doc_id", "left_no", "right_no", "score").groupBy("doc_id").applyInPandas(_greedy, "doc_id long, left_no int, right_no int, score double")
 
 
@@ -226,9 +226,10 @@ def reconcile_items(a: DataFrame, b: DataFrame, least: float = 0.3, bonus: float
     left = a.select("doc_id", F.col("line_no").alias("left_no"), F.col("quantity").alias("q"), tokens(F.col("description")).alias("t"))
     right = b.select("doc_id", F.col("line_no").alias("right_no"), F.col("quantity").alias("r"), tokens(F.col("description")).alias("u"))
     score = jaccard(F.array_distinct("t"), F.array_distinct("u")) + F.when(F.col("q") == F.col("r"), bonus).otherwise(0.0)
-    pairs = left.join(right, "doc_id").withColumn("score", score).where((F.col("score") >= least) & (F.size(F.array_intersect("t", "u")) > 0))
+    pairs = left.join(right.hint("merge"), "doc_id").withColumn("score", score).where((F.col("score") >= least) & (F.size(F.array_intersect("t", "u")) > 0))
     chosen = pairs.select("doc_id", "left_no", "right_no", "score").groupBy("doc_id").applyInPandas(_greedy, "doc_id long, left_no int, right_no int, score double")
-    both = chosen.join(left, ["doc_id", "left_no"]).join(right, ["doc_id", "right_no"]).select(
+    chosen = chosen.hint("merge")
+    both = chosen.join(left, ["doc_id", "left_no"]).hint("merge").join(right, ["doc_id", "right_no"]).select(
         "doc_id", "left_no", "right_no", F.when(F.col("q") == F.col("r"), "agreed").otherwise("quantity change").alias("outcome"))
     only_a = left.join(chosen, ["doc_id", "left_no"], "left_anti").select("doc_id", "left_no", F.lit(None).cast("int").alias("right_no"), F.lit("only first").alias("outcome"))
     only_b = right.join(chosen, ["doc_id", "right_no"], "left_anti").select("doc_id", F.lit(None).cast("int").alias("left_no"), "right_no", F.lit("only second").alias("outcome"))

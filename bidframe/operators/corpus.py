@@ -88,7 +88,7 @@ def date_contexts(docs: DataFrame, month_first: bool = False) -> DataFrame:
     """Dates with the text of their line up to them: the input of ``date_roles``."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("_key", F.struct("doc_id", "line"))
     dates = find_dates(lines.select(F.col("_key").alias("doc_id"), "text"), month_first).select(F.col("doc_id").alias("_of"), F.col("pos").alias("_pos"), "raw", "date")
-    joined = dates.join(lines, F.col("_of") == F.col("_key"))
+    joined = dates.hint("merge").join(lines, F.col("_of") == F.col("_key"))
     return joined.select("doc_id", (F.col("line") * 1000 + F.col("_pos")).alias("pos"), "date", F.expr("substring(text, 1, instr(text, raw) - 1)").alias("context"))
 
 
@@ -271,5 +271,5 @@ def find_places(docs: DataFrame, gazetteer: DataFrame, longest: int = 3) -> Data
         parts = rows if parts is None else parts.unionByName(rows)
     hits = parts.join(gazetteer, "alias").select("doc_id", "pos", "n", "place")
     covered = hits.where("n > 1").select("doc_id", F.col("n").alias("_n"), F.explode(F.sequence(F.col("pos") - longest + 1, F.col("pos") + F.col("n") - 1)).alias("pos"), F.col("pos").alias("_from"))
-    inside = hits.join(covered, ["doc_id", "pos"]).where("_n > n AND pos + n > _from AND pos < _from + _n").select("doc_id", "pos", "n").distinct()
-    return hits.join(inside, ["doc_id", "pos", "n"], "left_anti")
+    inside = hits.join(covered.hint("merge"), ["doc_id", "pos"]).where("_n > n AND pos + n > _from AND pos < _from + _n").select("doc_id", "pos", "n").distinct()
+    return hits.join(inside.hint("merge"), ["doc_id", "pos", "n"], "left_anti")

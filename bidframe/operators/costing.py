@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidframe.operators.policy import Policy
+from bidframe.sources.scratch import stored
 
 
 def with_price_metrics(products: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def tier_discount(lines: DataFrame, tiers: DataFrame) -> DataFrame:
 
 def eligible_value_adds(lines: DataFrame, value_adds: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Each line with each service for its category; percent rates apply to cost and list price."""
-    offered = value_adds.where(F.col("kind").isin(list(kinds))).withColumn("category", F.explode("categories")).drop("categories")
+    # written, so that the join's strategy follows the true size of the exploded table
+    offered = stored(value_adds.where(F.col("kind").isin(list(kinds))).withColumn("category", F.explode("categories")).drop("categories"), "offered")
     percent = F.col("basis") == "percent"
     return lines.join(offered, "category").withColumn(
         "bundle_cost", F.when(percent, F.col("unit_cost") * F.col("cost_rate") / 100).otherwise(F.col("cost_rate"))).withColumn(
@@ -65,8 +67,8 @@ def mandated_warranty(costed: DataFrame, extensions: DataFrame) -> DataFrame:
     """
     options = F.filter(
         F.col("_options"), lambda o: o["months"] >= F.col("need_months") - F.col("warranty_months"))
-    per_category = extensions.withColumn("category", F.explode("categories")).groupBy("category").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("warranty_extension_months").alias("months"), "cost_rate", "value_rate", "code"))).alias("_options"))
+    per_category = stored(extensions.withColumn("category", F.explode("categories")).groupBy("category").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("warranty_extension_months").alias("months"), "cost_rate", "value_rate", "code"))).alias("_options")), "options")
     rows = costed.join(per_category, "category", "left")
     needed = F.col("need_months") > F.col("warranty_months")
     rows = rows.withColumn("_pick", F.when(needed, F.get(options, F.lit(0))))

@@ -105,7 +105,7 @@ def market_view_asof(bids: DataFrame, obs: DataFrame, max_age: int = 180) -> Dat
     bucket = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / max_age)
     left = bids.withColumn("_bucket", F.explode(F.array(bucket("bid_date"), bucket("bid_date") - 1)))
     right = obs.withColumn("_bucket", bucket("observed_on"))
-    pairs = left.join(right, ["mpn", "_bucket"]).where((F.col("observed_on") <= F.col("bid_date")) & (F.col("observed_on") >= F.date_sub("bid_date", max_age)))
+    pairs = left.hint("merge").join(right, ["mpn", "_bucket"]).where((F.col("observed_on") <= F.col("bid_date")) & (F.col("observed_on") >= F.date_sub("bid_date", max_age)))
     return pairs.groupBy("bid_id", "line_no", "mpn", "bid_date", "competitor_id").agg(
         F.max(F.struct("observed_on", "unit_price")).alias("o")).select(
         "bid_id", "line_no", "mpn", "competitor_id", F.col("o.unit_price").alias("unit_price"), F.datediff("bid_date", "o.observed_on").alias("age_days"))
@@ -139,7 +139,7 @@ def nearest_equivalent(products: DataFrame, brands: list[str], ratio: float = 1.
     others = products.where(F.col("brand").isin(brands)).select("category", bucket.alias("_bucket"), F.col("sku").alias("other_sku"), F.col("list_price").alias("_other"))
     own = products.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     gap = F.abs(F.log(F.col("_other") / F.col("list_price")))
-    pairs = own.join(others, ["category", "_bucket"]).where(F.col("sku") != F.col("other_sku")).withColumn("gap", gap).where(F.col("gap") <= F.log(F.lit(ratio)))
+    pairs = own.hint("merge").join(others, ["category", "_bucket"]).where(F.col("sku") != F.col("other_sku")).withColumn("gap", gap).where(F.col("gap") <= F.log(F.lit(ratio)))
     return pairs.groupBy("sku").agg(F.min(F.struct("gap", "other_sku")).alias("m")).select("sku", F.col("m.other_sku").alias("other_sku"), F.col("m.gap").alias("gap"))
 
 

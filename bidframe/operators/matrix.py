@@ -35,7 +35,7 @@ def build_units(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     go. A row is worded by its header: parameter and value, or the criterion.
     """
     known = sections.select("doc_id", F.col("section").alias("owner"), F.col("kind").alias("_kind"), "number")
-    rows = blocks.where(~F.col("is_heading")).join(known, ["doc_id", "owner"], "left").withColumn("_kind", F.coalesce("_kind", F.lit("general")))
+    rows = blocks.where(~F.col("is_heading")).join(known.hint("merge"), ["doc_id", "owner"], "left").withColumn("_kind", F.coalesce("_kind", F.lit("general")))
     w = Window.partitionBy("doc_id", "table_no").orderBy("pos")
     tabled = rows.where("kind = 'row' AND table_no IS NOT NULL").withColumn("_header", F.first("cells").over(w)).withColumn("_n", F.row_number().over(w)).where("_n > 1")
     first = F.get("cells", F.lit(0))

@@ -57,7 +57,7 @@ def intake_by_day(bids: DataFrame, column: str, last_day: Column, days: int = 14
     """Counts of the last ``days`` days, zero where none."""
     calendar = bids.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last_day, days - 1), last_day)).alias("day"))
     counts = bids.groupBy(F.to_date(column).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return calendar.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+    return calendar.join(counts.hint("merge"), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def proposal_version(runs: DataFrame, key: str, order: list[str]) -> DataFrame:

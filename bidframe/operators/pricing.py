@@ -47,7 +47,7 @@ def price_configs(lines: DataFrame, bundles: DataFrame | None, policy: Policy |
     high = F.greatest("floor_price", "list_price")
     if bundles is not None:
         offered = bundles.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct(F.col("code").alias("bundle"), "bundle_cost", F.col("warranty_extension_months").alias("bundle_months")))).alias("_offered"))
-        lines = lines.join(offered, LINE, "left")
+        lines = lines.join(offered.hint("merge"), LINE, "left")
         wanted = (F.col("best_price") < F.col("unit_cost")) & (F.col("award") != "L1")
         offered = F.when(wanted, F.coalesce("_offered", F.array().cast("array<struct<bundle:string,bundle_cost:double,bundle_months:int>>"))).otherwise(F.array().cast("array<struct<bundle:string,bundle_cost:double,bundle_months:int>>"))
     else:
@@ -107,7 +107,7 @@ def classify_strategy(policy: Policy | None = None) -> Column:
 def optimise_prices(lines: DataFrame, bundles: DataFrame | None, policy: Policy | None = None, model: WinModel | None = None) -> DataFrame:
     """Chosen price, bundle, probability, profit and strategy of each line (PR3)."""
     chosen = choose_config(scored(price_configs(lines, bundles, policy).where(feasible(policy)), model), policy)
-    return lines.join(chosen, LINE).withColumn("strategy", classify_strategy(policy))
+    return lines.join(chosen.hint("merge"), LINE).withColumn("strategy", classify_strategy(policy))
 
 
 def no_market_price(lines: DataFrame, offers: DataFrame) -> DataFrame:

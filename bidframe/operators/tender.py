@@ -123,7 +123,7 @@ def type_sections(sections: DataFrame, lexicon: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "section").orderBy(F.desc("score"), "kind")
     ranked = scores.withColumn("_n", F.row_number().over(w)).withColumn("_second", F.lead("score").over(w)).where("_n = 1")
     best = ranked.select("doc_id", "section", "kind", (F.col("score") / (F.col("score") + F.coalesce("_second", F.lit(0.0)) + 0.5)).alias("confidence"))
-    return sections.join(best, ["doc_id", "section"], "left")
+    return sections.join(best.hint("merge"), ["doc_id", "section"], "left")
 
 
 def link_specs(lines: DataFrame, sections: DataFrame, least: float = 0.6) -> DataFrame:
@@ -134,11 +134,11 @@ def link_specs(lines: DataFrame, sections: DataFrame, least: float = 0.6) -> Dat
     plus 0.35 for the same category and 0.3 where a document has one section.
     """
     named = lines.withColumn("number", F.nullif(F.regexp_extract(F.lower("description"), r"spec(?:ification)?s?\.?\s*(?:no\.?\s*)?(\d+(?:\.\d+)*)", 1), F.lit("")))
-    exact = named.join(sections.select("doc_id", "number"), ["doc_id", "number"]).select("doc_id", "line_no", "number", F.lit(2.0).alias("score"))
+    exact = named.hint("merge").join(sections.select("doc_id", "number"), ["doc_id", "number"]).select("doc_id", "line_no", "number", F.lit(2.0).alias("score"))
     alone = Window.partitionBy("doc_id")
     held = sections.withColumn("_have", F.array_distinct(tokens(F.col("title"), True, True))).withColumn("_sole", F.count(F.lit(1)).over(alone) == 1)
     want = lines.withColumn("_want", F.array_distinct(tokens(F.col("description"), True, True)))
-    pairs = want.join(held.select("doc_id", "number", "_have", "_sole", F.col("category").alias("_cat")), "doc_id")
+    pairs = want.hint("merge").join(held.select("doc_id", "number", "_have", "_sole", F.col("category").alias("_cat")), "doc_id")
     score = F.size(F.array_intersect("_want", "_have")) / F.size("_have") + F.when(F.col("category") == F.col("_cat"), 0.35).otherwise(0.0) + F.when(F.col("_sole"), 0.3).otherwise(0.0)
     fuzzy = pairs.withColumn("score", score).where(F.col("score") >= least).select("doc_id", "line_no", "number", "score")
     best = exact.unionByName(fuzzy).groupBy("doc_id", "line_no").agg(F.max(F.struct("score", "number")).alias("m"))
