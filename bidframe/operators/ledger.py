@@ -93,7 +93,28 @@ def fit_win_model(deals: DataFrame, real_weight: float = 10.0, least: int = 50):
     n, total = rows.agg(F.count(F.lit(1)), F.sum("w")).first()
     if n < least:
         return None
-    return LogisticRegression(featuresCol="x", weightCol="w", standardization=True, regParam=1 / total, elasticNetParam=0.0, maxIter=100).fit(rows)
+    return LogisticRegression(featuresCol="x", weightCol="w", standardization=True, regParam=1 / total, elasticNetParam=0.0, maxIter=200, tol=1e-10).fit(rows)
+
+
+def win_model_moments(deals: DataFrame, model, real_weight: float = 10.0) -> DataFrame:
+    """``feature, fitted``: what the model says of each feature's weighted sum over won deals.
+
+    At the optimum of the penalised likelihood the sum over all deals of
+    weight, feature and probability, plus the coefficient's penalty, equals
+    the sum of weight and feature over the won ones; the intercept has no
+    penalty. One pass over the deals, one row in the driver.
+    """
+    weight = F.when(F.col("source") == "outcome", real_weight).otherwise(1.0)
+    z = sum((F.col(f) * float(c) for f, c in zip(FEATURES, model.coefficients)), F.lit(float(model.intercept)))
+    rows = deals.withColumn("_w", weight).withColumn("_p", 1 / (1 + F.exp(-z)))
+    sums = [F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_w")).alias("w2"), F.sum(F.col("_w") * F.col("_p")).alias("intercept")]
+    for f in FEATURES:
+        sums += [F.sum(F.col("_w") * F.col(f) * F.col("_p")).alias(f"p_{f}"), F.sum(F.col("_w") * F.col(f)).alias(f"x_{f}"), F.sum(F.col("_w") * F.col(f) * F.col(f)).alias(f"xx_{f}")]
+    one = rows.agg(*sums)
+    spread = lambda f: (F.col(f"xx_{f}") - F.col(f"x_{f}") * F.col(f"x_{f}") / F.col("w")) / (F.col("w") - F.col("w2") / F.col("w"))
+    found = [F.struct(F.lit("intercept").alias("feature"), F.col("intercept").alias("fitted"))]
+    found += [F.struct(F.lit(f).alias("feature"), (F.col(f"p_{f}") + float(c) * spread(f)).alias("fitted")) for f, c in zip(FEATURES, model.coefficients)]
+    return one.select(F.inline(F.array(*found)))
 
 
 def describe_win_model(spark, model) -> DataFrame:
@@ -120,6 +141,15 @@ def predict_distribution(model, df: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.array_max("distribution"))
 
 
+def label_moments(predicted: DataFrame) -> DataFrame:
+    """``label, expected``: the sum of each label's probability over rows of ``predict_distribution``.
+
+    Over the rows that fitted the model it equals the label's count, as the
+    intercepts carry no penalty.
+    """
+    return predicted.select(F.posexplode("distribution").alias("label", "p")).groupBy(F.col("label").cast("double").alias("label")).agg(F.sum("p").alias("expected"))
+
+
 def leave_one_group_out(df: DataFrame, key: str, fit, score, max_groups: int = 12) -> DataFrame:
     """Predictions for each of the largest groups by a model fitted on all others (M8); the bound on groups is the feature."""
     groups = [r[0] for r in df.groupBy(key).count().orderBy(F.desc("count"), key).limit(max_groups).collect()]

@@ -72,6 +72,33 @@ def q_text_documents(spark, d):
     return lines.where("line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("read_reference_json", "SELECT p_partkey AS id, p_name AS name, p_size % 5 AS places FROM part")
+def q_reference_json(spark, d):
+    """Files of about a thousand records each, written over several lines; a missing list is read as null."""
+    path = _path(spark, "reference")
+    record = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 5 > 0, F.array_repeat("p_brand", F.col("p_size") % 5)).alias("places"))
+    files = table(spark, d, "part").groupBy(F.expr("p_partkey div 1000").alias("file")).agg(F.to_json(F.collect_list(record), {"pretty": "true"}).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(path)
+    back = tabular.read_reference_json(spark, f"{path}/*/*.txt", "id bigint, name string, places array<string>")
+    return back.select("id", "name", F.coalesce(F.size("places"), F.lit(0)).cast("int").alias("places"))
+
+
+@query("load_if_empty", "SELECT p_brand AS brand, count(*) AS n, false AS on_rows, true AS on_empty, false AS again FROM part GROUP BY 1 UNION ALL SELECT 'sizes', CAST(count(DISTINCT p_size) AS BIGINT), false, true, false FROM part")
+def q_load_if_empty(spark, d):
+    """A table with rows is left alone, an empty one is loaded, once."""
+    sizes, brands = f"sizes_{uuid.uuid4().hex}", f"brands_{uuid.uuid4().hex}"
+    parts = table(spark, d, "part")
+    tabular.load_if_empty(parts.select("p_size").distinct(), sizes, _path(spark, "sizes"))
+    on_rows = tabular.load_if_empty(parts.select("p_size").where("p_size < 0"), sizes)
+    path = _path(spark, "brands")
+    tabular.load_if_empty(parts.select("p_brand").where("p_brand IS NULL"), brands, path)
+    on_empty = tabular.load_if_empty(parts.select("p_brand"), brands, path)
+    again = tabular.load_if_empty(parts.select("p_brand").distinct(), brands, path)
+    found = spark.table(brands).groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
+    found = found.unionByName(spark.table(sizes).agg(F.lit("sizes").alias("brand"), F.count(F.lit(1)).alias("n")))
+    return found.withColumns({"on_rows": F.lit(on_rows), "on_empty": F.lit(on_empty), "again": F.lit(again)})
+
+
 @query("read_tiers", "SELECT DISTINCT p_brand AS category, CAST(p_size AS INT) AS min_qty, p_size / 4.0::DOUBLE AS discount_pct FROM part")
 def q_tiers(spark, d):
     """One JSON file a brand; its steps are its distinct sizes."""

@@ -94,12 +94,13 @@ def read_tiers(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode("m").alias("category", "steps")).select("category", F.inline("steps"))
 
 
-def load_if_empty(df: DataFrame, name: str) -> bool:
-    """Save as a table unless it exists with rows (S6); tells if it wrote."""
+def load_if_empty(df: DataFrame, name: str, path: str | None = None) -> bool:
+    """Save as a table unless it exists with rows (S6); tells if it wrote. ``path`` places the files outside the warehouse."""
     spark = df.sparkSession
     if spark.catalog.tableExists(name) and not spark.table(name).isEmpty():
         return False
-    df.write.mode("overwrite").saveAsTable(name)
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return True
 
 
