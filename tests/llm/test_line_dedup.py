@@ -56,3 +56,20 @@ def test_text_and_empty_table(spark):
     assert {r.doc_id: r.kept_text for r in got.collect()} == {0: "own 0", 1: "own 1", 2: f"{line}\nown 2"}
     assert dedup_lines(documents(spark, [])).count() == 0
     assert dedup_lines(documents(spark, [(None, line)])).first().n_dropped == 0
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    runs = LineRuns(3)
+    for b in range(2):
+        runs.add(spark.createDataFrame([(10 - b, bytes([k])) for k in range(b, b + 3)], "doc_id long, key binary"))
+    plan = runs.compacted()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted((r.key[0], r.n_docs, r.keeper) for r in runs.compacted().collect()) == [(0, 1, 10), (1, 2, 10), (2, 2, 10), (3, 1, 9)]
+
+
+@pytest.mark.parametrize("often", [1, 200, 100_000])
+def test_rare_lines_merge_and_frequent_ones_are_broadcast(spark, often):
+    rows = [(d, "\n".join([f"a line of every document {d % 2}"] + [f"a line of three documents {d // 3}, {k}" for k in range(70)])) for d in range(180)]
+    rows += [(10**15, rows[0][1]), (None, rows[0][1]), (None, rows[4][1])]  # one id far away, two rows without
+    got = dedup_lines(documents(spark, rows), often=often).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows)
