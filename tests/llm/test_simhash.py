@@ -239,3 +239,17 @@ def test_component_size_does_not_change_links(spark, monkeypatch):
         monkeypatch.setattr(module, "TILE", tile)
         got.append({r.node: r.component for r in module.similar_components(documents(spark, list(texts.items())), blocks, 5, 150).collect()})
     assert got[0] == got[1] == {d: 0 if d < 6 else 6 for d in range(12)}
+
+
+@pytest.mark.parametrize("often", [1, 5, 100_000])
+def test_components_with_hubs(spark, often):
+    """Two stars joined by a chain, a star whose hub is its largest node, a ring; hubs are broadcast or merged alike."""
+    links = [(5, k) for k in range(100, 160)] + [(170, k) for k in range(159, 170)] + [(900, k) for k in range(800, 840)] + [(k, k % 7 + 301) for k in range(301, 308)]
+    nodes = {n for link in links for n in link}
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for u, v in links:
+            label[u] = label[v] = min(label[u], label[v])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), often=often).collect()}
+    linked = {n for u, v in links if u != v for n in (u, v)}
+    assert got == {n: label[n] for n in linked}
