@@ -62,6 +62,33 @@ def test_price_search(spark):
     assert not r.feasible and len(r.issues) == 3
 
 
+def test_price_search_in_the_row_follows_the_rule_over_the_whole_grid(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [line(bid_id=b, line_no=n, quantity=rng.choice([1, 7, 40]), best_price=rng.choice([80.0, 99.0, 112.5, 140.0, 400.0]) + rng.random(), list_price=rng.choice([105.0, 118.0, 150.0]), award=rng.choice(["L1", "QCBS"]),
+                 segment=rng.choice(["smb", "public", "enterprise"]), repeat_customer=rng.random() < 0.5, warranty_months=rng.choice([0, 12, 36]), price_weight=rng.choice([50.0, 100.0])) for b in range(60) for n in (1, 2)]
+    lines = spark.createDataFrame([*rows, line(bid_id=99, floor_price=None), line(bid_id=98, best_price=None)])
+    kinds = spark.createDataFrame([(c, "service", basis, rate, 0.0, m, ["x"]) for c, basis, rate, m in (("A", "percent", 2.0, 0), ("B", "flat", 2.0, 12), ("C", "flat", 90.0, 0))],
+                                  "code string, kind string, basis string, cost_rate double, value_rate double, warranty_extension_months int, categories array<string>")
+    lines = lines.withColumn("category", F.when(F.col("bid_id") % 5 > 0, "x").otherwise("y"))
+    services = costing.eligible_value_adds(lines, kinds, ("service",))
+    want = pricing.choose_config(pricing.scored(pricing.price_configs(lines, services).where(pricing.feasible())))
+    for found in (pricing.optimise_prices(lines, services), pricing.optimise_prices(costing.offered_value_adds(lines, kinds, ("service",)), None)):
+        assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert len({r.bundle for r in want.collect()}) > 1 and want.where("best_effort").count() and want.where("bid_id = 99").count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("Aggregate") == 1  # the only aggregation is over the services
+
+
+def test_tiers_never_gather_the_lines_of_a_category(spark):
+    from bidframe.plans.bindings import tiers
+
+    rows = spark.range(50).select("id", F.lit("T0").alias("category"), F.col("id").cast("int").alias("quantity"))
+    plan = costing.tier_discount(rows, tiers(spark))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_win_probability_is_monotone(spark):
     p = lambda ratio, seg, bundle=False: pricing.win_probability(F.lit(ratio), F.lit(0), F.lit(0), F.lit(bundle), F.lit(False), F.lit(seg))
     row = spark.range(1).select(*(p(r, "public").alias(f"p{i}") for i, r in enumerate((0.9, 1.0, 1.1, 1.2))), *(p(r, "enterprise").alias(f"e{i}") for i, r in enumerate((0.9, 1.2))), p(1.0, "smb", True).alias("b"), p(1.0, "smb").alias("n")).first()
