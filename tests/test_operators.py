@@ -57,6 +57,9 @@ def test_price_search(spark):
     assert got[2].strategy == "Value differentiation" and got[3].strategy == "Floor defence" and got[4].best_effort
     scenarios = pricing.price_scenarios(pricing.optimise_prices(lines, bundles)).where("bid_id = 2")
     assert {r.label for r in scenarios.collect()} == {"Recommended", "Match best competitor", "Standard price", "Margin floor"}
+    twice = pricing.price_scenarios(pricing.optimise_prices(lines, bundles).withColumn("standard_price", F.col("floor_price"))).where("bid_id = 2")
+    assert sorted(r.label for r in twice.collect()) == ["Match best competitor", "Recommended", "Standard price"]
+    assert "Window" not in twice._jdf.queryExecution().optimizedPlan().toString()
     what_if = lines.where("bid_id = 1").withColumns({"price": F.lit(105.0), "bundle": F.lit("B"), "bundle_cost": F.lit(9.0), "bundle_months": F.lit(0)})
     (r,) = pricing.assess_prices(what_if).collect()
     assert not r.feasible and len(r.issues) == 3
