@@ -285,3 +285,21 @@ def test_nearest_equivalent_by_neighbouring_prices(spark):
     assert hot.count() == 4000 and hot.where("gap > 0").count() == 0
     joins = [line for line in hot._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert len(joins) == 1 and "list_price" in joins[0]  # products meet prices, not products
+
+
+def test_alignment_of_many_documents_needs_no_group_of_its_own(spark):
+    rows = spark.range(12_000).select((F.col("id") % 3000).alias("doc_id"), (F.col("id") / 3000 + 1).cast("int").alias("line_no"), F.lit("same words").alias("description"), F.lit(1).alias("quantity"))
+    found = compliance.align_items(rows, rows)
+    assert {(r.left_no, r.right_no) for r in found.collect()} == {(k, k) for k in (1, 2, 3, 4)} and found.count() == 12_000
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.outcome, r.n) for r in compliance.reconcile_items(rows, rows.where("doc_id > 0")).groupBy("outcome").agg(F.count("*").alias("n")).collect()} == {("agreed", 11_996), ("only first", 4)}
+
+
+def test_compliant_alternative_compares_each_profile_once(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("a").alias("category"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("asked"))
+    products = spark.range(3000).select((F.col("id") + 5).alias("sku"), F.lit("a").alias("category"), (F.col("id") % 2).alias("held"))
+    calls = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: calls.add(1) or x, "long")
+    found = compliance.compliant_alternative(rows, products, F.when(F.coalesce("asked", F.lit(0)) <= seen(F.col("held")), 1.0).otherwise(0.0))
+    got = {r.row_id: r.alternative for r in found.collect()}
+    assert got == {k: 5 if k % 3 == 0 else 6 for k in range(3000) if k % 3 < 2} and calls.value <= 6
