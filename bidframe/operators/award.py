@@ -26,6 +26,49 @@ def rival_totals(lines: DataFrame, offers: DataFrame) -> DataFrame:
         (100 * F.col("_covered") / F.col("_all_revenue")).alias("coverage"))
 
 
+def bid_cells(lines: DataFrame, least: float = 50.0) -> DataFrame:
+    """Each bid's own sums and its serious rivals in one pass over its lines.
+
+    ``lines``: bid_id, line_no, revenue, quantity, floor_price, unit_cost and
+    ``offers``, an array of competitor_id and unit_price. Gives one row a bid
+    with a null ``competitor_id`` (our_total, floor_total, cost_total) and one
+    a serious rival (total, coverage), as ``rival_totals`` and
+    ``serious_rivals`` do. Offers without a competitor or price do not count. All steps go by bid, so lines that lie together by
+    bid are not shuffled again, and no line meets another one.
+    """
+    rows = lines.withColumn("offers", F.filter("offers", lambda o: o["competitor_id"].isNotNull() & o["unit_price"].isNotNull()))
+    # of two offers of a competitor the lower one
+    kept = F.filter("offers", lambda o, i: ~F.exists("offers", lambda x: (x["competitor_id"] == o["competitor_id"]) & (x["unit_price"] < o["unit_price"])) & ~F.exists(F.slice("offers", 1, i), lambda x: x == o))
+    rows = rows.withColumn("offers", kept)
+    nearest, half = F.array_sort(F.transform("offers", lambda o: o["unit_price"])), (F.size("offers") - 1) / 2
+    median = (F.get(nearest, F.floor(half).cast("int")) + F.get(nearest, F.ceil(half).cast("int"))) / 2
+    rows = rows.withColumn("_default", F.coalesce(median * F.col("quantity"), F.col("revenue")))
+    own = F.struct(F.lit(None).cast("bigint").alias("competitor_id"), F.lit(None).cast("double").alias("unit_price"))
+    value = lambda c: F.when(F.col("_o.competitor_id").isNull(), c)
+    cells = rows.select("bid_id", "revenue", "quantity", "floor_price", "unit_cost", "_default", F.explode(F.concat(F.array(own), F.col("offers").cast("array<struct<competitor_id:bigint,unit_price:double>>"))).alias("_o"))
+    sums = cells.groupBy("bid_id", F.col("_o.competitor_id").alias("competitor_id")).agg(
+        F.sum(F.col("_o.unit_price") * F.col("quantity")).alias("_offered"), F.sum("_default").alias("_default"), F.sum("revenue").alias("_revenue"),
+        F.sum(value(F.col("floor_price") * F.col("quantity"))).alias("floor_total"), F.sum(value(F.col("unit_cost") * F.col("quantity"))).alias("cost_total"))
+    ours = F.col("competitor_id").isNull()
+    w = Window.partitionBy("bid_id")
+    whole = lambda c: F.max(F.when(ours, F.col(c))).over(w)
+    cells = sums.withColumn("_all_default", whole("_default")).withColumn("_all_revenue", whole("_revenue"))
+    cells = cells.withColumn("coverage", F.when(~ours, 100 * F.col("_revenue") / F.col("_all_revenue"))).withColumn("_top", F.max("coverage").over(w))
+    return cells.where(ours | (F.col("coverage") >= least) | (F.col("_top") < least)).select(
+        "bid_id", "competitor_id", F.when(~ours, F.round(F.col("_offered") + F.col("_all_default") - F.col("_default"), 7)).alias("total"), "coverage",
+        F.when(ours, F.round("_revenue", 7)).alias("our_total"), "floor_total", "cost_total")
+
+
+def ranked_bids(cells: DataFrame) -> DataFrame:
+    """``bid_rank`` of the rows of ``bid_cells``, with each bid's own totals."""
+    w = Window.partitionBy("bid_id")
+    rows = cells.withColumn("_ours", F.max("our_total").over(w))
+    below = F.sum((F.col("total") < F.col("_ours")).cast("long"))
+    out = rows.groupBy("bid_id").agg(
+        F.max("our_total").alias("our_total"), F.when(F.count("total") > 0, 1 + below).alias("rank"), F.min("total").alias("lowest_total"), F.max("floor_total").alias("floor_total"), F.max("cost_total").alias("cost_total"))
+    return out.withColumn("gap_pct", 100 * (F.col("our_total") - F.col("lowest_total")) / F.col("lowest_total"))
+
+
 def serious_rivals(totals: DataFrame, least: float = 50.0) -> DataFrame:
     """Rivals with enough coverage, or all where none has it."""
     w = Window.partitionBy("bid_id")
@@ -66,10 +109,9 @@ def uniform_discount(lines: DataFrame, targets: DataFrame) -> DataFrame:
     piece = F.when(reach & (F.col("_free") > 0), F.greatest(F.lit(0.0), 1 - (F.col("target") - F.col("_fixed")) / F.col("_free")))
     rows = rows.withColumn("_piece", piece)
     # the first piece in break-point order: a later one's formula does not hold below its own break-point
-    found = rows.groupBy("bid_id").agg(F.min_by("_piece", F.when(F.col("_piece").isNotNull(), F.struct("_cut", "line_no"))).alias("_found"), F.max("_cut").alias("_most"))
-    discount = F.coalesce("_found", "_most")
-    return lines.join(found.select("bid_id", discount.alias("discount")), "bid_id").withColumn(
-        "new_price", F.when(F.col("price") > F.col("floor_price"), F.greatest(F.col("floor_price"), F.col("price") * (1 - F.col("discount")))).otherwise(F.col("price")))
+    found = F.min_by("_piece", F.when(F.col("_piece").isNotNull(), F.struct("_cut", "line_no"))).over(whole)
+    rows = rows.withColumn("discount", F.coalesce(found, F.max("_cut").over(whole)))
+    return rows.select(*lines.columns, "discount", F.when(F.col("price") > F.col("floor_price"), F.greatest(F.col("floor_price"), F.col("price") * (1 - F.col("discount")))).otherwise(F.col("price")).alias("new_price"))
 
 
 def award_l1(bids: DataFrame, reached: DataFrame, policy: Policy | None = None) -> DataFrame:

@@ -295,6 +295,27 @@ def test_alignment_of_many_documents_needs_no_group_of_its_own(spark):
     assert {(r.outcome, r.n) for r in compliance.reconcile_items(rows, rows.where("doc_id > 0")).groupBy("outcome").agg(F.count("*").alias("n")).collect()} == {("agreed", 11_996), ("only first", 4)}
 
 
+def test_bid_cells_are_the_rivals_in_one_pass(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(b, n, float(rng.randrange(1, 9) * 100), rng.randrange(1, 9), 3.0, 2.0, [(rng.randrange(3), float(rng.randrange(20, 200))) for _ in range(rng.randrange(4))]) for b in range(60) for n in range(1 + b % 4)]
+    lines = spark.createDataFrame(rows, "bid_id long, line_no int, revenue double, quantity int, floor_price double, unit_cost double, offers array<struct<competitor_id:bigint,unit_price:double>>")
+    offers = lines.select("bid_id", "line_no", F.inline("offers")).groupBy("bid_id", "line_no", "competitor_id").agg(F.min("unit_price").alias("unit_price"))
+    medians = offers.groupBy("bid_id", "line_no").agg(F.median("unit_price").alias("median_price"))
+    rivals = award.serious_rivals(award.rival_totals(lines.join(medians, ["bid_id", "line_no"], "left"), offers))
+    cells = award.bid_cells(lines)
+    pick = lambda df: sorted((r.bid_id, r.competitor_id, round(r.total, 6), round(r.coverage, 9)) for r in df.collect())
+    assert pick(cells.where("competitor_id IS NOT NULL")) == pick(rivals) and rivals.count() > 50
+    ours = lines.groupBy("bid_id").agg(F.round(F.sum("revenue"), 7).alias("our_total"))
+    rank = lambda df: sorted((r.bid_id, r.our_total, r.rank, r.lowest_total, r.gap_pct) for r in df.collect())
+    assert [str(x) for x in rank(award.ranked_bids(cells))] == [str(x) for x in rank(award.bid_rank(ours, rivals))]
+    plan = award.ranked_bids(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    cut = award.uniform_discount(lines.select("bid_id", "line_no", F.lit(9.0).alias("price"), "floor_price", "quantity"), ours.select("bid_id", F.lit(20.0).alias("target")))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_compliant_alternative_compares_each_profile_once(spark):
     rows = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("a").alias("category"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("asked"))
     products = spark.range(3000).select((F.col("id") + 5).alias("sku"), F.lit("a").alias("category"), (F.col("id") % 2).alias("held"))
