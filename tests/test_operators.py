@@ -316,6 +316,11 @@ def test_bid_cells_are_the_rivals_in_one_pass(spark):
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_key_lines_takes_equal_revenues_in_line_order(spark):
+    rows = spark.createDataFrame([(1, 1, 0.3, 1), (1, 2, 0.1, 3)], "bid_id long, line_no int, price double, quantity int").withColumn("flags", F.array().cast("array<string>"))
+    assert {r.line_no: r["rank"] for r in pricing.key_lines(rows).collect()} == {1: 1, 2: 2}
+
+
 def test_compliant_alternative_compares_each_profile_once(spark):
     rows = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("a").alias("category"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("asked"))
     products = spark.range(3000).select((F.col("id") + 5).alias("sku"), F.lit("a").alias("category"), (F.col("id") % 2).alias("held"))
