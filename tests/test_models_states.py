@@ -79,3 +79,12 @@ def test_load_if_empty_writes_once(spark, tmp_path):
     assert not tabular.load_if_empty(spark.range(9), "loaded_once", path)
     assert spark.table("loaded_once").count() == 3
     spark.sql("DROP TABLE loaded_once")
+
+
+def test_win_model_queries_join_the_deals_once_and_round_half_way_sums_up(spark):
+    from bidframe.plans import model_queries, queries
+
+    rows = queries.fit_rows(spark, "/root/testdata/sf0.001")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.feature: r.fitted for r in model_queries.q_win_moments(spark, "/root/testdata/sf0.01").collect()}
+    assert got["gap_education"] == 1794.0  # its exact sum is 1793.95
