@@ -87,7 +87,7 @@ def test_price_search_in_the_row_follows_the_rule_over_the_whole_grid(spark):
 def test_tiers_never_gather_the_lines_of_a_category(spark):
     from bidframe.plans.bindings import tiers
 
-    rows = spark.range(50).select("id", F.lit("T0").alias("category"), F.col("id").cast("int").alias("quantity"))
+    rows = spark.range(50).select("id", F.concat(F.lit("T"), (F.col("id") % 4).cast("string")).alias("category"), F.col("id").cast("int").alias("quantity"))
     plan = costing.tier_discount(rows, tiers(spark))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
 
