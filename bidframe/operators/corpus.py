@@ -51,7 +51,8 @@ def extract_client(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(labelled, F.trim(named)).alias("client"))
 
 
-_MONTHS = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_MONTH_NAMES = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_MONTHS = f"(?:{_MONTH_NAMES})[a-z]*"
 _DATES = rf"(?i)\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}(?:st|nd|rd|th)? {_MONTHS},? \d{{4}}\b|\b{_MONTHS} \d{{1,2}},? \d{{4}}\b|\b\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{4}}\b"
 
 
@@ -60,21 +61,42 @@ def raw_dates(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_DATES), F.lit(0))
 
 
-def date_of(raw: Column, month_first: bool = False) -> Column:
-    """The date that a match of ``raw_dates`` states; null for an invalid one."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(\d)(st|nd|rd|th)\b", "$1"), ",", ""), r"(?i)\b([a-z]{3})[a-z]*", "$1")
-    a, b, y = (F.regexp_extract(raw, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", k).try_cast("int") for k in (1, 2, 3))
-    us = F.lit(month_first)
-    day, month = F.when((b > 12) | (us & (a <= 12)), b).otherwise(a), F.when((b > 12) | (us & (a <= 12)), a).otherwise(b)
-    title = F.initcap(plain)
-    return F.coalesce(F.to_date(F.try_to_timestamp(title, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(title, F.lit("d MMM yyyy"))), F.to_date(F.try_to_timestamp(title, F.lit("MMM d yyyy"))),
-                      F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, month, day), F.lit("yyyy-MM-dd"))))
+def dated(text: Column, month_first: bool = False) -> Column:
+    """``pos, raw, date`` of the valid dates of a text, an array in its order; ``pos`` also counts invalid ones.
+
+    A match has three parts, which are taken as numbers: no layout is tried in
+    vain. Each step names what the next one uses more than once.
+    """
+    digits = lambda x: F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz", "")
+    number = lambda x: F.when(digits(x) != "", digits(x).cast("int"))  # noqa: E731 - a cast that fails is slow
+    month = lambda x: F.array_position(F.lit(_MONTH_NAMES.split("|")), F.lower(F.left(x, F.lit(3)))).cast("int")
+    keep = lambda m: (m["pos"].alias("pos"), m["raw"].alias("raw"))
+
+    def numbers(m: Column) -> Column:
+        a, b, c = (F.get(m["p"], F.lit(k)) for k in range(3))
+        return F.struct(*keep(m), (F.length(a) == 4).alias("iso"), number(a).alias("a"), number(b).alias("b"), number(c).alias("c"), F.greatest(month(a), month(b)).alias("named"))
+
+    def ordered(m: Column) -> Column:
+        a, b, named, iso = m["a"], m["b"], m["named"] > 0, m["iso"]
+        swapped = (b > 12) | (F.lit(month_first) & (a <= 12))
+        day = F.when(named, F.coalesce(a, b)).when(iso, m["c"]).when(swapped, b).otherwise(a)
+        mon = F.when(named, m["named"]).when(iso, b).when(swapped, a).otherwise(b)
+        return F.struct(*keep(m), day.alias("d"), mon.alias("m"), F.when(~named & iso, a).otherwise(m["c"]).alias("y"))
+
+    def date(m: Column) -> Column:
+        d, mon = m["d"], m["m"]
+        most = F.when(mon.isin(4, 6, 9, 11), 30).when(mon != 2, 31).when((m["y"] % 4 == 0) & ((m["y"] % 100 != 0) | (m["y"] % 400 == 0)), 29).otherwise(28)
+        return F.struct(*keep(m), F.when(mon.between(1, 12) & (d >= 1) & (d <= most), F.make_date(m["y"], mon, d)).alias("date"))
+
+    steps = F.transform(raw_dates(text), lambda x, i: F.struct(i.alias("pos"), x.alias("raw"), F.split(x, "[ ,/.-]+").alias("p")))
+    for step in (numbers, ordered, date):
+        steps = F.transform(steps, step)
+    return F.filter(steps, lambda m: m["date"].isNotNull())
 
 
 def find_dates(docs: DataFrame, month_first: bool = False) -> DataFrame:
     """``doc_id, pos, raw, date``: ISO, day-month-name, month-name-day and numeric dates; invalid ones go (TX5)."""
-    rows = docs.select("doc_id", F.posexplode(raw_dates(F.col("text"))).alias("pos", "raw"))
-    return rows.withColumn("date", date_of(F.col("raw"), month_first)).where("date IS NOT NULL")
+    return docs.select("doc_id", F.explode(dated(F.col("text"), month_first)).alias("m")).select("doc_id", "m.pos", "m.raw", "m.date")
 
 
 def date_roles(contexts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidframe.functions.scalars import first_match, parse_inr, parse_number_words
-from bidframe.operators.corpus import date_of, find_places, raw_dates
+from bidframe.operators.corpus import dated, find_places
 
 _WORDS = {w: n for n, w in enumerate("one two three four five six seven eight nine ten".split(), 1)}
 
@@ -90,8 +90,7 @@ def key_dates(units: DataFrame, month_first: bool = False) -> DataFrame:
     """
     pairs = labelled_pairs(units).select("doc_id", F.lit(0).alias("stage"), "pos", "label", "value")
     texts = units.where(F.col("source").isin("text", "field")).select("doc_id", F.lit(1).alias("stage"), "pos", F.col("text").alias("label"), F.col("text").alias("value"))
-    found = F.get(F.filter(F.transform(raw_dates(F.col("value")), lambda x: F.struct(x.alias("raw"), date_of(x, month_first).alias("date"))), lambda x: x["date"].isNotNull()), F.lit(0))
-    rows = pairs.unionByName(texts).withColumn("_d", found).where("_d IS NOT NULL").withColumn("_at", F.instr("value", F.col("_d.raw")))
+    rows = pairs.unionByName(texts).select("*", F.explode(F.slice(dated(F.col("value"), month_first), 1, 1)).alias("_d")).withColumn("_at", F.instr("value", F.col("_d.raw")))
     own = F.col("label") != F.col("value")
     named = F.when(own, F.col("label")).otherwise(F.substring(F.col("value"), F.lit(1), F.col("_at")))
     behind = F.substring(F.col("value"), F.col("_at") + F.length("_d.raw"), F.length("value"))
@@ -99,7 +98,8 @@ def key_dates(units: DataFrame, month_first: bool = False) -> DataFrame:
     time = F.when(hour < 24, F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), _take(behind, TIME, 2)))
     offer = F.struct("stage", "pos", F.array(*(_says(named, p) for _, _, p in DATE_ROLES)).alias("fits"), F.col("_d.date").alias("date"), time.alias("time"),
                      F.substring(F.when(own, F.concat_ws(": ", "label", "value")).otherwise(F.col("value")), 1, 220).alias("evidence"))
-    offers = rows.select("doc_id", offer.alias("o")).where("exists(o.fits, x -> x)").groupBy("doc_id").agg(F.sort_array(F.collect_list("o")).alias("offers"))
+    fitting = F.filter(F.array(offer), lambda o: F.exists(o["fits"], lambda x: x))  # a condition on the row would match every role twice
+    offers = rows.select("doc_id", F.explode(fitting).alias("o")).groupBy("doc_id").agg(F.sort_array(F.collect_list("o")).alias("offers"))
     none = F.array().cast("array<struct<role:int,pos:int,date:date,time:string,evidence:string>>")
 
     def take(taken: Column, offer: Column) -> Column:

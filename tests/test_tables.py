@@ -42,3 +42,13 @@ def test_outermost_keeps_columns_and_empty_tables(spark):
     found = spark.sql("SELECT * FROM outermost(TABLE(SELECT * FROM {hits}))", hits=hits)
     assert found.columns == hits.columns and rows(found, "doc_id", "pos", "weight") == rows(hits.where("weight <> 1.0"), "doc_id", "pos", "weight")
     assert spark.sql("SELECT * FROM outermost(TABLE(SELECT * FROM {hits}))", hits=hits.where(F.lit(False))).count() == 0
+
+
+def test_find_dates_by_parts(spark):
+    """Ordinals in capitals, leap days and months out of range; the table function reads the same."""
+    text = "5TH May 2024, 29-02-2024, 29-02-2023, 29.02.1900, 31 April 2024, June 31 2024, sept 30, 2024, 13/12/2024, 12/13/2024, 2024-13-01, 2024-00-10"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    want = {(0, "2024-05-05"), (1, "2024-02-29"), (6, "2024-09-30"), (7, "2024-12-13"), (8, "2024-12-13")}
+    assert {(r.pos, str(r.date)) for r in corpus.find_dates(docs).collect()} == want
+    tables.register(spark)
+    assert {(r.pos, str(r.date)) for r in tables.dates_of(docs).collect()} == want
