@@ -88,3 +88,12 @@ def test_win_model_queries_join_the_deals_once_and_round_half_way_sums_up(spark)
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     got = {r.feature: r.fitted for r in model_queries.q_win_moments(spark, "/root/testdata/sf0.01").collect()}
     assert got["gap_education"] == 1794.0  # its exact sum is 1793.95
+
+
+def test_label_moments_are_exact_though_the_coefficients_end_before_their_optimum(spark):
+    r = random.Random(5)
+    rows = spark.createDataFrame([(" ".join(f"w{int(r.random() ** 3 * 400)}" for _ in range(r.randint(0, 60))), float(r.random() ** 2 * 3 // 1)) for _ in range(300)], "text string, label double")
+    found = ledger.label_moments(ledger.predict_distribution(ledger.fit_text_classifier(rows), rows))
+    got = {x.label: x.expected for x in found.collect()}
+    counts = {x.label: x["count"] for x in rows.groupBy("label").count().collect()}
+    assert len(counts) == 3 and got == {k: pytest.approx(n, abs=1e-4) for k, n in counts.items()}
