@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bidframe.functions.scalars import first_match, parse_inr, parse_number_words
 from bidframe.operators.corpus import dated, find_places
+from bidframe.sources.scratch import stored
 
 _WORDS = {w: n for n, w in enumerate("one two three four five six seven eight nine ten".split(), 1)}
 
@@ -309,14 +310,18 @@ def extract_eligibility(units: DataFrame, gazetteer: DataFrame | None = None) ->
     rows = rows.select("doc_id", "pos", F.when(table, cell(F.col("_c"))).otherwise(F.col("text")).alias("text"), F.when(table, cell(F.col("_p"))).alias("documents"))
     t = F.col("text")
     rows = rows.where((F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) >= 5) & _says(t, DEMAND) & ~_says(t, ANNOUNCED))
-    pick = lambda k: F.coalesce(first_match(t, [(r[k], f"(?i){r[2]}") for r in CRITERIA]), F.lit(("other", "Other requirement")[k]))
-    rows = rows.withColumn("kind", pick(0)).withColumn("label", pick(1)).withColumn("params", criterion_params(F.col("kind"), t))
+    which = first_match(t, [(str(i), f"(?i){r[2]}") for i, r in enumerate(CRITERIA)], str(len(CRITERIA))).cast("int")
+    # Written once: parameters and places read the kind without matching its cues again.
+    rows = stored(rows.withColumn("_k", which), "criteria")
+    pick = lambda k: F.get(F.array(*(F.lit(r[k]) for r in (*CRITERIA, ("other", "Other requirement")))), F.col("_k"))
+    named_kind = rows.withColumn("kind", pick(0)).withColumn("label", pick(1))
+    local = named_kind.where(F.col("_k") == [r[0] for r in CRITERIA].index("local_presence")).select(F.struct("doc_id", "pos").alias("doc_id"), "text")
+    rows = named_kind.withColumn("params", criterion_params(F.col("kind"), t)).drop("_k")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
     rows = rows.withColumn("id", F.concat(F.lit("EC"), F.lpad(number.cast("string"), 2, "0")))
     if gazetteer is None:
         rows = rows.withColumn("places", F.lit(None).cast("array<string>"))
     else:
-        local = rows.where("kind = 'local_presence'").select(F.struct("doc_id", "pos").alias("doc_id"), "text")
         named = find_places(local, gazetteer).groupBy("doc_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "place"))), lambda x: x["place"])).alias("places"))
         named = named.select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.pos").alias("_at"), "places").hint("merge")
         rows = rows.join(named, (F.col("doc_id") == F.col("_d")) & (F.col("pos") == F.col("_at")), "left")

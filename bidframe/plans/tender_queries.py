@@ -25,6 +25,8 @@ def _unit(text, source: str = "text", cells=None, header=None, kind: str = "noti
 
 
 def _units(rows, key: str, *units: Column):
+    """Units of each row; a small file of many rows is one task until its rows are spread, and the texts made from it are large."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     return rows.select(F.col(key).alias("doc_id"), F.posexplode(F.array_compact(F.array(*units))).alias("pos", "u")).select("doc_id", "pos", "u.*")
 
 

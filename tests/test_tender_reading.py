@@ -101,3 +101,12 @@ def test_no_units(spark):
     none = spark.createDataFrame([], SCHEMA)
     for found in (reading.extract_facts(none), reading.key_dates(none), reading.extract_evaluation(none), reading.extract_eligibility(none)):
         assert found.count() == 0
+
+
+def test_criteria_are_written_once_before_their_parameters(spark):
+    """Neither the parameters nor the places read the units or match the kinds' cues again."""
+    u = units(spark, "eligibility> The firm should keep an office in Pune or within 5 km of it.")
+    found = reading.extract_eligibility(u, spark.createDataFrame([("pune", "Pune")], "alias string, place string"))
+    assert "blacklist|debar" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert (row.kind, row.places, row.params.radius_km) == ("local_presence", ["Pune"], 5)
