@@ -110,3 +110,10 @@ def test_criteria_are_written_once_before_their_parameters(spark):
     assert "blacklist|debar" not in found._jdf.queryExecution().optimizedPlan().toString()
     row = found.first()
     assert (row.kind, row.places, row.params.radius_km) == ("local_presence", ["Pune"], 5)
+
+
+def test_units_of_a_small_file_are_spread(spark):
+    from bidframe.plans import tender_queries
+
+    made = tender_queries._units(spark.range(100).coalesce(1), "id", tender_queries._unit("A"), tender_queries._unit("B"))
+    assert made.count() == 200 and "Repartition" in made._jdf.queryExecution().optimizedPlan().toString()
