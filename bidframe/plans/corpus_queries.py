@@ -143,7 +143,7 @@ SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3
 def q_char(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
     queries = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    return retrieval.topk(retrieval.char_tfidf_cosine(queries, docs), 3, 6)
+    return retrieval.nearest_by_grams(queries, docs, 3, 6)
 
 
 @query("knn", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0),
