@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidframe.llm._common import written
@@ -332,6 +332,21 @@ def _whole(classes: DataFrame, length: int) -> DataFrame:
     return classes.where("n > 1").select("cls", F.explode(F.filter(pieces, lambda x: (x["low"] <= x["high"]) & (x["mask"] > 0))).alias("x")).select("cls", "x.low", "x.high", "x.mask")
 
 
+def _runs(ranges: DataFrame) -> DataFrame:
+    """``cls, low, high, mask`` with ranges of a class and mark that overlap or touch as one; a class has at most one for two offsets and mark."""
+    marks = F.filter(F.array(F.lit(LONG), F.lit(SHARED)), lambda m: F.col("mask").bitwiseAND(m) > 0)
+    rows = ranges.select("cls", "low", "high", F.explode(marks).alias("mask")).groupBy("cls", "mask").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("x"))
+    ends = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+
+    def add(runs: Column, x: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(ends(last["low"], F.greatest(last["high"], x["high"]))))
+        return F.when((F.size(runs) > 0) & (last["high"] >= x["low"] - 1), longer).otherwise(F.concat(runs, F.array(ends(x["low"], x["high"]))))
+
+    rows = rows.select("cls", "mask", F.explode(F.aggregate("x", F.array().cast("array<struct<low:int,high:int>>"), add)).alias("x"))
+    return rows.select("cls", "x.low", "x.high", "mask")
+
+
 def _compared(parts: DataFrame, length: int, passage: int, width: int, size: int) -> DataFrame:
     """``cls, low, high, mask``: marked offsets of the classes that share their key with another class.
 
@@ -353,7 +368,8 @@ def _compared(parts: DataFrame, length: int, passage: int, width: int, size: int
     classes = members.groupBy("key", F.col("fine").alias("cls")).agg(
         F.count(F.lit(1)).alias("n"), F.first(F.struct("bytes", "low", "high")).alias("r"), F.min("doc_low").alias("doc_low"), F.max("doc_high").alias("doc_high"))
     classes = written(classes.select("cls", "n", "key", "r.*", F.length("r.bytes").alias("size"), "doc_low", "doc_high"), "fine")
-    deeper = _whole(classes, length).unionByName(_compared(classes.select(*_PART_NAMES), length, passage, width, size))
+    # single offsets of the deeper levels become runs before they meet the members, so a member has a few rows whatever the depth
+    deeper = _runs(_whole(classes, length).unionByName(_compared(classes.select(*_PART_NAMES), length, passage, width, size)))
     back = members.select(F.col("fine"), F.col("cls").alias("of"))
     back = deeper.join(back.hint("merge"), deeper.cls == back.fine).select(F.col("of").alias("cls"), "low", "high", "mask")
     return found.unionByName(written(back, "back"))
@@ -439,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, passa
     sources = long.join(wanted.hint("merge"), long.doc_id.eqNullSafe(F.col("d")) & (long.text_key == F.col("k"))).select("doc_id", "text", "wanted")
     # repeated rows would give their classes twice
     parts = written(sources.mapInArrow(_regions, PARTS), "parts").dropDuplicates(["cls"])
-    ranges = _whole(classes, length).unionByName(_compared(parts, length, passage, width, width)).distinct()
+    ranges = _runs(_whole(classes, length).unionByName(_compared(parts, length, passage, width, width)))
     cuts = kept.join(ranges.hint("merge").withColumnsRenamed({"low": "from", "high": "to"}), "cls").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
         F.collect_set(F.struct((F.col("anchor") - F.col("to")).alias("a"), (F.col("anchor") - F.col("from")).alias("z"), "mask")).alias("cuts"))
     joined = rows.join(cuts.hint("merge"), rows.doc_id.eqNullSafe(F.col("d")) & (rows.text_key == F.col("k")), "left").select("doc_id", "text", "cuts")

@@ -122,3 +122,10 @@ def test_full_length(spark):
 def test_empty(spark):
     assert remove_repeats(documents(spark, [])).count() == 0
     assert [tuple(r)[:4] for r in remove_repeats(documents(spark, [(1, "short")])).collect()] == [(1, 5, 0, 0)]
+
+
+def test_ranges_of_a_class_become_runs(spark):
+    """Single offsets of the deeper levels do not meet the members one by one."""
+    rows = [(1, k, k, suffix.SHARED) for k in range(60)] + [(1, 3, 9, suffix.LONG), (1, 8, 12, suffix.LONG | suffix.SHARED), (1, 70, 71, suffix.SHARED), (2, 4, 4, suffix.LONG)]
+    got = suffix._runs(spark.createDataFrame(rows, suffix.RANGES)).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 59, suffix.SHARED), (1, 3, 12, suffix.LONG), (1, 70, 71, suffix.SHARED), (2, 4, 4, suffix.LONG)]
