@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -147,19 +148,30 @@ def quantity(sentence: Column) -> Column:
     cues = [
         (r"(?i)\b(?:qty|quantity)\s*[:.\-]?\s*(\d+)", 1), (r"(?i)^\s*(\d+)\s*[x×]\s", 1), (rf"(?i)\b(\d+)\s*{units} of\b", 1), (rf"(?i)\b(\d+)\s*{units}\b", 1),
         (rf"(?i)^\s*(\d+)\s+(?!(?:{spec})\b)[a-z]", 1), (r"(?i)\s[-–x]\s*(\d+)\s*$", 1)]
-    digits = F.coalesce(*(F.regexp_extract(s, p, g).try_cast("int") for p, g in cues))
-    words = parse_number_words(F.regexp_extract(F.lower(s), r"\b((?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|dozen|ten|eleven|twelve|two|three|four|five|six|seven|eight|nine)(?:[ -](?:one|two|three|four|five|six|seven|eight|nine|hundred|dozen))*)\b(?! (?:year|month|week|day))", 1)).cast("int")
-    blocked = s.rlike(r"(?i)\b(rfq|ref|reference|tender) no|warranty")
-    q = F.when(~blocked, F.coalesce(digits, F.when(~s.rlike(r"\d+\s*(?:gb|tb)\b(?i)"), words)))
-    return F.when((q > 0) & (q < 100_000), q)
+
+    def named(s: Column) -> Column:
+        return F.regexp_extract(F.lower(s), r"\b((?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|dozen|ten|eleven|twelve|two|three|four|five|six|seven|eight|nine)(?:[ -](?:one|two|three|four|five|six|seven|eight|nine|hundred|dozen))*)\b(?! (?:year|month|week|day))", 1)
+
+    def cue(s: Column) -> Column:
+        digits = F.coalesce(*(F.regexp_extract(s, p, g).try_cast("int") for p, g in cues))
+        spelled = _once(named(s), lambda w: F.when(w != "", parse_number_words(w).cast("int")))
+        return F.when(~s.rlike(r"(?i)\b(rfq|ref|reference|tender) no|warranty"), F.coalesce(digits, F.when(~s.rlike(r"\d+\s*(?:gb|tb)\b(?i)"), spelled)))
+
+    # the sentence without its bullet and the number found in it are made once each, not once for every pattern that looks at them
+    return _once(_once(s, cue), lambda q: F.when((q > 0) & (q < 100_000), q))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def extract_line_items(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, description, quantity``: sentences with a quantity (TX13)."""
-    rows = split_sentences(docs).withColumn("quantity", quantity(F.col("sentence"))).where("quantity IS NOT NULL")
+    """``doc_id, line_no, description, quantity``: sentences with a quantity (TX13), numbered within their row; one row a document."""
+    found = F.filter(F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), quantity(s).alias("quantity"))), lambda x: x["quantity"].isNotNull())
+    rows = docs.select("doc_id", F.posexplode(found).alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "x.sentence", "x.quantity")
     described = F.trim(F.regexp_replace(F.regexp_replace("sentence", r"(?i)\b(?:qty|quantity)\s*[:.\-]?\s*\d+|^\s*\d+\s*[x×]\s*|\(\s*\d+\s*(?:units?|nos\.?|pcs)\s*\)", ""), r"[-:,\s]+$", ""))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return rows.select("doc_id", F.row_number().over(w).alias("line_no"), described.alias("description"), "quantity")
+    return rows.select("doc_id", "line_no", described.alias("description"), "quantity")
 
 
 def extract_specs(s: Column) -> Column:

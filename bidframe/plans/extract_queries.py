@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidframe.operators import compliance, corpus, costing, ledger, pricing, retrieval, tender
-from bidframe.plans.bindings import bound, cte, table
+from bidframe.plans.bindings import bound, cte, spread, table
 from bidframe.plans.queries import _TABLES, GRID_SQL, PRICED_SQL, _optimised, query
 from bidframe.plans.rule_queries import _pick, _pick_sql
 from bidframe.sources import imports
@@ -14,7 +14,7 @@ from bidframe.sources import imports
 def _text(spark, d, *parts):
     """A document of each product: the parts, strings or columns, in a row."""
     said = F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), said.alias("text"), "p_size", "p_name")
+    return spread(table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), said.alias("text"), "p_size", "p_name")
 
 
 def _size():

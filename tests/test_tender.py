@@ -52,3 +52,12 @@ def test_evidence_and_reports(spark):
     added = spark.createDataFrame([(1, 3, "reviewer")], "bid_id long, line_no int, origin string")
     fixed, kept = tender.apply_review_edits(bids, edits, lines, added)
     assert sorted(map(tuple, fixed.collect())) == [(1, "AE", None, None), (2, "IN", "MH", "Pune")] and sorted(r.line_no for r in kept.collect()) == [1, 3]
+
+
+def test_line_items_are_numbered_in_their_row(spark):
+    from bidframe.operators import corpus
+
+    docs = spark.createDataFrame([(1, "We ask.\n- 5 x laptops with 16 GB RAM\n- no number\n- twelve office chairs\n- RFQ No. 12\n"), (2, None), (3, "- Qty: 100000\n- Qty: 7")], "doc_id long, text string")
+    found = corpus.extract_line_items(docs)
+    assert [(r.doc_id, r.line_no, r.quantity) for r in found.orderBy("doc_id", "line_no").collect()] == [(1, 1, 5), (1, 2, 12), (3, 1, 7)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
