@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bidframe.operators import matrix
 from bidframe.operators import specs as spec
-from bidframe.plans.bindings import TAX_RULES, bound, cte, table, tax_rules, values
+from bidframe.plans.bindings import TAX_RULES, bound, cte, spread, table, tax_rules, values
 from bidframe.plans.queries import query
 from bidframe.plans.rule_queries import _pick, _pick_sql
 
@@ -80,7 +80,8 @@ def q_thresholds(spark, d):
     said = lambda before, after: F.concat(F.lit(before), n.cast("string"), F.lit(after))
     text = F.when(k == 0, said("Goods are delivered within ", " days")).when(k == 1, said("Payment falls due within ", " days")).when(k == 2, said("Liquidated damages of 0.5 % per week, maximum ", " %")).when(
         k == 3, said("The goods carry a warranty of ", " months")).otherwise(said("Respond to complaints within ", " hours"))
-    reqs = table(spark, d, "lineitem").select(
+    lineitem = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    reqs = spread(lineitem, "l_orderkey").select(
         F.col("l_orderkey").alias("bid_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", k.alias("k"), n.alias("n")).alias("req_id"), text.alias("text"), _pick(k, ("delivery", "commercial", "commercial", "warranty", "warranty")).alias("category"),
         F.lit("commercial").alias("type"), F.lit("mandatory").alias("strength"), F.lit("bidder").alias("actor"), F.lit("text").alias("source"), F.lit(None).cast("int").alias("line_no"), F.lit(False).alias("evidenced"),
         F.lit(None).cast("double").alias("fit"), F.lit(False).alias("failed"), F.lit(None).cast("boolean").alias("met"), F.lit(None).cast("string").alias("product_os"))
@@ -99,7 +100,7 @@ s AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN p_size >= n THEN 1.0 ELSE 0.0 END W
 WHEN 3 THEN CASE WHEN p_size = n THEN 1.0 WHEN p_size > n THEN 0.6 ELSE 0.0 END WHEN 4 THEN CASE WHEN l_partkey % 4 = 0 THEN 1.0 ELSE 0.2 END END AS fit FROM r)
 SELECT k, count(*) AS n, round(sum(fit), 6) AS fit, count(*) FILTER (WHERE (k IN (0, 1) AND p_size < n) OR (k = 4 AND l_partkey % 4 <> 0)) AS failed, count(*) FILTER (WHERE k = 5) AS systems FROM s WHERE k <> 2 OR n >= 10 GROUP BY 1""")
 def q_spec_rows(spark, d):
-    rows = table(spark, d, "lineitem").withColumn("k", F.col("l_partkey") % 6).withColumn("n", F.col("l_quantity").cast("int"))
+    rows = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), "l_orderkey").withColumn("k", F.col("l_partkey") % 6).withColumn("n", F.col("l_quantity").cast("int"))
     k, n = F.col("k"), F.col("n").cast("string")
     said = lambda before, after: F.concat(F.lit(before), n, F.lit(after))
     text = F.when(k == 0, said("Memory: minimum ", " GB")).when(k == 1, said("UPS rating: ", " kVA")).when(k == 2, said("Display: ", "-inch")).when(k == 3, said("Switch: ", "-port")).when(k == 4, "Rack: 2U").otherwise("Operating system: any")

@@ -92,3 +92,17 @@ def test_standards_by_evidence(spark):
     clause = [dict(text="ISO 9001 and ISO 27001", category="standards"), dict(text="ISO 9001", category="standards"), dict(text="RoHS", category="standards")]
     assert answers(spark, clause, held=None, bid_held=["iso9001"]) == {0: "Complies with note", 1: "Complies", 2: "Clarification required"}
     assert answers(spark, clause, held=None)[1] == "Clarification required"
+
+
+def test_rows_are_spread_before_texts_are_made(spark, tmp_path):
+    """One small file is one task; its rows are dealt over the shuffle partitions before their texts are read."""
+    from bidframe.plans.bindings import spread
+
+    spark.range(0, 4000, 1, 1).write.parquet(str(tmp_path / "one"))
+    rows = spread(spark.read.parquet(str(tmp_path / "one")), "id")
+    assert rows.rdd.getNumPartitions() == 8 and min(rows.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) > 0
+    for name in ("matrix_thresholds", "spec_rows", "extract_line_items"):
+        from __spark_entry__ import queries
+
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan
