@@ -38,6 +38,19 @@ def test_freshest_price_expires(spark):
     assert last == {1: None, 2: None, 3: 9.0}
 
 
+def test_freshest_prices_of_a_product_share_one_state(spark):
+    """Competitors of one product come and are forgotten at their own times, over restarts."""
+    schema = "mpn long, competitor_id long, observed_on timestamp, unit_price double"
+    parts = [[(1, c, h(24 * c), float(c)) for c in range(6)] + [(2, 1, h(0), 4.0)], [(1, 0, h(240), 9.0), (1, 4, h(24), 3.0)], [(1, 7, h(24 * 14), 7.0)], [(3, 1, h(24 * 14), 1.0)]]
+    found = replay([spark.createDataFrame(p, schema) for p in parts], lambda x: stateful.freshest_price(x, "10 days", "12 hours"), "update", 2)
+    rows = sorted(((r.mpn, r.competitor_id, r.batch, r.unit_price) for r in found.collect()), key=str)
+    last = {(m, c): p for m, c, _, p in sorted(rows, key=lambda r: r[2])}
+    assert last == {(1, 0): 9.0, (1, 1): None, (1, 2): None, (1, 3): None, (1, 4): 4.0, (1, 5): 5.0, (1, 7): 7.0, (2, 1): None, (3, 1): 1.0}
+    assert sum(p is None for *_, p in rows) == 4 and len(rows) == 14
+    state = stateful.FreshestPrice(1000)
+    assert state._forget_at({1: (5_000, 1.0), None: (3_000, 2.0)}) == 1003
+
+
 def test_alerts_do_not_depend_on_the_cut(spark):
     rows = [(1, h(k), p, k) for k, p in enumerate((100.0, 130.0, 131.0, 90.0, 90.0, 10.0))] + [(2, h(1), 5.0, 9), (2, h(900), 1.0, 10)]
     schema = "sku long, effective_from timestamp, unit_price double, tie long"
