@@ -123,7 +123,7 @@ bm AS (SELECT query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 @query("bm25_topk", f"WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def q_bm25(spark, d):
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.topk(retrieval.bm25(queries, table(spark, d, "documents").select("doc_id", "text")), 5, 6)
+    return retrieval.bm25_topk(queries, table(spark, d, "documents").select("doc_id", "text"), 5, 6)
 
 
 @query("corpus_stats", f"WITH {_BM} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM st CROSS JOIN k")
