@@ -108,7 +108,9 @@ def read_markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     """``file, title, pos, heading, body`` of files with ``# title`` and ``## `` sections."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     title = F.trim(F.regexp_extract("value", r"(?m)^# (.+)$", 1))
-    parts = files.select("file", title.alias("title"), F.posexplode(F.split("value", r"(?m)^## ")).alias("pos", "part")).where("pos > 0")
+    # the title and the parts first: a file's text must not go along with each of its sections
+    read = files.select("file", title.alias("title"), F.split("value", r"(?m)^## ").alias("_parts"))
+    parts = read.select("file", "title", F.posexplode("_parts").alias("pos", "part")).where("pos > 0")
     return parts.select("file", "title", "pos", F.trim(F.substring_index("part", "\n", 1)).alias("heading"), F.btrim(F.expr("substring(part, instr(part, '\n') + 1)"), F.lit(" \n\r\t")).alias("body"))
 
 

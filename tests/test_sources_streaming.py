@@ -32,6 +32,14 @@ def test_stock_xml(spark, tmp_path):
         tabular.read_stock_xml(spark, str(path))
 
 
+def test_a_markdown_text_does_not_go_along_with_its_sections(spark, tmp_path):
+    (tmp_path / "many.md").write_text("# Guide\n" + "".join(f"## S{i}\nbody {i}\n" for i in range(500)))
+    found = tabular.read_markdown_sections(spark, str(tmp_path / "many.md"))
+    assert sorted((r.title, r.pos, r.heading, r.body) for r in found.collect()) == [("Guide", i + 1, f"S{i}", f"body {i}") for i in range(500)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("regexp_extract")  # below it: once a file, not once a section
+
+
 def test_json_markdown_and_text(spark, tmp_path):
     (tmp_path / "tiers.json").write_text(json.dumps({"*": [{"min_qty": 10, "discount_pct": 2}], "a": [{"min_qty": 5, "discount_pct": 1.5}]}))
     assert sorted(map(tuple, tabular.read_tiers(spark, str(tmp_path / "tiers.json")).collect())) == [("*", 10, 2.0), ("a", 5, 1.5)]
