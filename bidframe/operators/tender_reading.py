@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidframe.functions.scalars import first_match, parse_inr, parse_number_words
+from bidframe.functions.scalars import first_match, let, parse_inr, parse_number_words
 from bidframe.operators.corpus import dated, find_places
 from bidframe.sources.scratch import stored
 
@@ -136,13 +136,12 @@ PORTAL = (r"(gem portal|government e-?marketplace|cppp|eprocure\.gov\.in|mahaten
 
 
 def _text_facts() -> list[tuple[str, str, Column, Column, Column]]:
-    """Key, name, condition, value and amount of the facts of running text."""
+    """Key, name, condition, value and amount of the facts of running text; the value of a sum of money is its amount in words."""
     t, money, none = F.col("text"), parse_inr(F.col("text")), F.lit(None).cast("double")
-    some = F.coalesce(money, F.lit(0.0)) != 0
     rate, cap, mode = _take(t, DAMAGES), _take(t, DAMAGES, 3), _take(t, PORTAL)
     return [
-        ("estimated_value", "Estimated value", _says(t, ESTIMATE) & some, format_inr(money), money),
-        ("emd", "Earnest money (EMD)", _says(t, DEPOSIT) & some, format_inr(money), money),
+        ("estimated_value", "Estimated value", _says(t, ESTIMATE), none, money),
+        ("emd", "Earnest money (EMD)", _says(t, DEPOSIT), none, money),
         ("bid_validity", "Bid validity", _says(t, VALIDITY), F.concat(_take(t, VALIDITY), F.lit(" days")), none),
         ("performance_security", "Performance security", _says(t, SECURITY), F.concat(_take(t, SECURITY), F.lit("% of contract value")), _take(t, SECURITY).cast("double")),
         ("ld", "Liquidated damages", _says(t, DAMAGES), F.concat(rate, F.lit("% per "), F.lower(_take(t, DAMAGES, 2)), F.lit(", capped at "), cap, F.lit("%")), cap.cast("double")),
@@ -165,7 +164,9 @@ def extract_facts(units: DataFrame, references: DataFrame | None = None) -> Data
         F.lit(key).alias("key"), F.lit(label).alias("label"), value.alias("value"), amount.cast("double").alias("amount"), F.substring(said, 1, 260).alias("evidence")))
     pair, said = F.col("value"), F.concat_ws(": ", "label", "value")
     from_pairs = [fact(k, n, _says(F.col("label"), p), pair, parse_inr(pair) if k in MONEY_FACTS else F.lit(None), said) for k, n, p in PAIR_FACTS]
-    from_text = [fact(k, n, fits, value, amount, F.col("text")) for k, n, fits, value, amount in _text_facts()]
+    # a sum is read once, and only where its cue stands
+    money = lambda key, label, fits, amount: let(F.when(fits, amount), lambda m: fact(key, label, F.coalesce(m, F.lit(0.0)) != 0, format_inr(m), m, F.col("text")))
+    from_text = [money(k, n, fits, amount) if k in MONEY_FACTS else fact(k, n, fits, value, amount, F.col("text")) for k, n, fits, value, amount in _text_facts()]
     every = lambda options: F.explode(F.array_compact(F.array(*options))).alias("f")
     rows = labelled_pairs(units).select("doc_id", "pos", F.lit(0).alias("stage"), every(from_pairs)).unionByName(
         units.where(F.col("source").isin("text", "field")).select("doc_id", "pos", F.lit(1).alias("stage"), every(from_text)))

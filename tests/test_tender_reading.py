@@ -117,3 +117,10 @@ def test_units_of_a_small_file_are_spread(spark):
 
     made = tender_queries._units(spark.range(100).coalesce(1), "id", tender_queries._unit("A"), tender_queries._unit("B"))
     assert made.count() == 200 and "Repartition" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sum_is_read_once(spark):
+    units = spark.createDataFrame([(1, 0, "text", "The estimated cost is Rs. 2,500 lakh, EMD none.", None, None)], "doc_id int, pos int, source string, text string, cells array<string>, header array<string>")
+    found = reading.extract_facts(units)
+    assert {r.key: (r.value, r.amount) for r in found.collect()} == {"estimated_value": ("Rs. 25.00 crore", 2.5e8), "emd": ("Rs. 25.00 crore", 2.5e8)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 80
