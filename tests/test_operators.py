@@ -65,6 +65,28 @@ def test_price_search(spark):
     assert not r.feasible and len(r.issues) == 3
 
 
+def test_scenarios_hold_the_best_price_without_a_bundle(spark):
+    from bidframe.operators.policy import Policy
+
+    # cheap service, rival below cost: every line carries a bundle; the rival's price decides how far the odds of a bare offer reach
+    lines = spark.createDataFrame([line(bid_id=b, best_price=p, segment="enterprise") for b, p in ((1, 99.0), (2, 60.0))] + [line(bid_id=3), line(bid_id=4, best_price=99.0, award="L1")])
+    bundles = spark.createDataFrame([(b, 1, "WTY", 2.0, 24) for b in (1, 2, 3, 4)], "bid_id long, line_no long, code string, bundle_cost double, warranty_extension_months int")
+    priced = pricing.optimise_prices(lines, bundles)
+    got = {(r.bid_id, r.label): r for r in pricing.price_scenarios(priced, policy=Policy()).collect()}
+    assert {b for b, label in got if label == pricing.UNBUNDLED} == {1, 2}
+    bare = pricing.scored(pricing.price_configs(lines, None)).where("bid_id < 3").collect()
+    for b in (1, 2):
+        rows = [r for r in bare if r.bid_id == b]
+        viable = [r for r in rows if r.win_probability >= 0.2]
+        best = max(viable, key=lambda r: (r.expected_profit, -r.idx)) if viable else max(rows, key=lambda r: (r.win_probability, -r.idx))
+        found = got[b, pricing.UNBUNDLED]
+        assert (found.price, found.bundle, found.bundle_cost) == (best.price, None, 0.0) and abs(found.win_probability - best.win_probability) < 1e-12
+    # the same offer as the floor's keeps one row, under the new label
+    assert got[2, pricing.UNBUNDLED].price == 110.0 and (2, "Margin floor") not in got and (3, "Margin floor") in got
+    for r in priced.collect():  # the recommended offer's extension counts
+        assert abs(got[r.bid_id, "Recommended"].win_probability - r.win_probability) < 1e-12
+
+
 def test_price_search_in_the_row_follows_the_rule_over_the_whole_grid(spark):
     import random
 
