@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import Row
@@ -87,6 +88,21 @@ def test_scenarios_hold_the_best_price_without_a_bundle(spark):
         assert abs(got[r.bid_id, "Recommended"].win_probability - r.win_probability) < 1e-12
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are absent")
+def test_win_curve_moves_no_line_to_its_rival(spark):
+    """Lines move to be numbered, to their bid and to their product; not to a rival, and not back to the bid with all columns."""
+    from bidframe.plans.queries import QUERIES
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["win_curve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Exchange hashpartitioning(supplier_id" not in plan and "BroadcastHashJoin [supplier_id" in plan
+    assert plan.index("SortMergeJoin [sku") < plan.index("SortMergeJoin [bid_id")  # the bid is met below the product
+
+
 def test_price_search_in_the_row_follows_the_rule_over_the_whole_grid(spark):
     import random
 
